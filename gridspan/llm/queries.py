@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, histogram_sort, imatch, license_scan, packing, pii, quality_bands, unigram_counts
+from . import byte_bpe, chat_format, histogram_sort, imatch, jaccard_join, license_scan, packing, pii, quality_bands, unigram_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op3_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_components(_documents(spark, sf_dir))
+
+
 def op5_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram_counts.count_tokens(_documents(spark, sf_dir))
 
@@ -82,5 +86,5 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.compare_with_edits(_documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hierarchical_packing, op2_byte_bpe, op3_histogram_sort, op5_unigram_counts, op6_license_scan, op7_chat_format, op8_quality_bands, op9_personal_data, op10_imatch)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hierarchical_packing, op2_byte_bpe, op3_histogram_sort, op4_jaccard_join, op5_unigram_counts, op6_license_scan, op7_chat_format, op8_quality_bands, op9_personal_data, op10_imatch)}
 ORACLES: dict[str, str] = {}
