@@ -8,12 +8,20 @@ common ones within the first n - ceil(t * n) + k of each. From this two kinds of
 * heavy sets scan inverted lists of single shingles of the prefix, k = 1. Light sets that can be similar
   to a heavy one have those keys as well.
 
+An entry also knows its set's size and its place in the set's order. The first shingle that two similar
+sets have in common lies early enough in both for the rest to hold all they must share; a list gives a
+pair only where that holds, so shared passages, which come late, give next to none.
+
 The boundary minimises rows written plus list entries scanned, from the counted sizes and list lengths.
 Shingles that very many documents share come last in the order, so that lists stay short; which ones
 those are changes the cost, never the result.
 
+A candidate pair is first held against the sets' parity signatures, a bit per bucket of hashes that says
+whether an odd number of shingles fell into it: bits that differ are at most the shingles that differ,
+so too many of them prove a pair dissimilar. Full sets are read for the pairs that are left alone.
+
 All links are found without all pairs of a list being written. Sets that are equal become one. Each
-list first links its members to its two hubs; sets that verified links join are one component, and a
+list first links its members to its two hubs and to their neighbours by size and by name; sets that verified links join are one component, and a
 list within one component is done. Only lists of at least four members that still hold several
 components give their remaining pairs across components, which are verified too. So every pair that
 could connect two components has been compared exactly.
@@ -28,8 +36,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .histogram_sort import written
 
@@ -37,13 +46,15 @@ WORDS, PERCENT = 5, 75
 #: Greatest boundary tried between light and heavy sets.
 MOST_LIGHT = 64
 #: A shingle counts towards the late ones from so many in one batch, and is one from so many in all.
-BATCH_COUNT, LATE_COUNT = 4, 64
+BATCH_COUNT, LATE_COUNT = 2, 8
 #: At most so many shingles are broadcast as late ones (8 MB), the most frequent first.
 LATE_ENTRIES = 1_000_000
 #: Up to so many rows of numbers are broadcast; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BYTES = np.random.default_rng(20240229).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Words of 64 bits in a sketch, the shortest signature.
+SKETCH = 8
 #: Shingles gathered before they are counted or sent on.
 CHUNK = 2_000_000
 
@@ -87,16 +98,44 @@ def least_common(n: int, percent: int = PERCENT) -> int:
     return -(-percent * n // 100)
 
 
+def signature(hashes: np.ndarray) -> bytes:
+    """Parity bits of the hashes' last digits; two bits or more for each shingle."""
+    bits = max(64 * SKETCH, 1 << (2 * len(hashes) - 1).bit_length())
+    return np.packbits((np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketch(signature_bytes: bytes) -> list[int]:
+    """A parity signature of one fixed size, for join conditions."""
+    bits, size = int.from_bytes(signature_bytes, "little"), len(signature_bytes) * 8
+    while size > 64 * SKETCH:
+        size //= 2
+        bits = (bits >> size) ^ (bits & (1 << size) - 1)
+    return np.frombuffer(bits.to_bytes(8 * SKETCH, "little"), np.int64).tolist()
+
+
+def least_different(x: bytes, y: bytes) -> int:
+    """A number of shingles that is in one set alone, at least."""
+    a, b = int.from_bytes(x, "little"), int.from_bytes(y, "little")
+    n, m = len(x) * 8, len(y) * 8
+    while n > m:  # the parity of two buckets together
+        n //= 2
+        a = (a >> n) ^ (a & (1 << n) - 1)
+    while m > n:
+        m //= 2
+        b = (b >> m) ^ (b & (1 << m) - 1)
+    return (a ^ b).bit_count()
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
 
 
 def describe(texts: DataFrame) -> DataFrame:
-    """A row doc_id, n, sid for each document, and rows token, count for shingles that are frequent in a batch."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("token", pa.int64()), ("count", pa.int64())])
+    """A row doc_id, n, sid, signature, sketch for each document, and rows token, count for shingles that are frequent in a batch."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("signature", pa.binary()), ("sketch", pa.list_(pa.int64())), ("token", pa.int64()), ("count", pa.int64())])
 
     def out(size: int, **columns) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], pa.int64()) if f.name in columns else pa.nulls(size, pa.int64()) for f in schema], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
 
     def frequent(sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
@@ -106,12 +145,13 @@ def describe(texts: DataFrame) -> DataFrame:
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ns, sids, sets, seen, size = [], [], [], set(), 0
+            ns, sids, signatures, sets, seen, size = [], [], [], [], set(), 0
             for value in batch.column(1):
                 hashes = shingles(value.as_py())
                 sid = set_id(hashes)
                 ns.append(len(hashes))
                 sids.append(sid)
+                signatures.append(signature(hashes))
                 if sid not in seen:
                     seen.add(sid)
                     sets.append(hashes)
@@ -121,9 +161,9 @@ def describe(texts: DataFrame) -> DataFrame:
                     sets, size = [], 0
             if sets:
                 yield from frequent(sets)
-            yield out(batch.num_rows, doc_id=batch.column(0), n=ns, sid=sids)
+            yield out(batch.num_rows, doc_id=batch.column(0), n=ns, sid=sids, signature=signatures, sketch=[sketch(x) for x in signatures])
 
-    return texts.mapInArrow(walk, "doc_id long, n long, sid long, token long, count long")
+    return texts.mapInArrow(walk, "doc_id long, n long, sid long, signature binary, sketch array<long>, token long, count long")
 
 
 def choose_boundary(sizes: dict[int, int], scanned: float, percent: int = PERCENT) -> int:
@@ -137,70 +177,76 @@ def choose_boundary(sizes: dict[int, int], scanned: float, percent: int = PERCEN
     return min(range(3, MOST_LIGHT + 1), key=lambda x: (cost(x), x))
 
 
-def keys_of(hashes: np.ndarray, late: np.ndarray, boundary: int, percent: int = PERCENT) -> np.ndarray:
-    """The keys of a set: single shingles of its prefix, pairs of them, or both. ``late``: sorted shingles that come last in the order."""
+def keys_of(hashes: np.ndarray, late: np.ndarray, boundary: int, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of a set, single shingles of its prefix, pairs of them, or both; and the place of each.
+
+    The place of a pair is one before its second shingle's, as if its first were next to it. ``late``: sorted shingles that come last in the order.
+    """
     n = len(hashes)
     if n < 3:  # equal sets alone are similar
-        return hashes[:0]
+        return hashes[:0], np.empty(0, np.int64)
     if len(late):
         at = np.minimum(np.searchsorted(late, hashes), len(late) - 1)
         is_late = late[at] == hashes
         hashes = np.concatenate((hashes[~is_late], hashes[is_late]))
     spare = n - least_common(n, percent)
-    parts = []
+    parts, places = [], []
     if n < boundary:
         a, b = np.triu_indices(min(n, spare + 2), 1)
         parts.append(_mix(hashes[a] * np.uint64(0xD6E8FEB86659FD93) + _mix(hashes[b])))
+        places.append(b - 1)
     if n >= least_common(boundary, percent):
         parts.append(hashes[: spare + 1])
-    return np.concatenate(parts)
+        places.append(np.arange(spare + 1, dtype=np.int64))
+    return np.concatenate(parts), np.concatenate(places)
+
+
+ENTRY = pa.schema([("key", pa.int64()), ("sid", pa.int64()), ("place", pa.int64())])
+ENTRY_DDL = "key long, sid long, place long"
+
+
+def _entries(rows: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, i])) for i in range(3)], schema=ENTRY)
 
 
 def list_entries(texts: DataFrame, late: np.ndarray, boundary: int) -> DataFrame:
-    """Rows key, sid: entries of the inverted lists, sets that a batch repeats once."""
+    """Rows key, sid, place: entries of the inverted lists, sets that a batch repeats once. ``place``: the set's size times 2**32, plus the place in its order."""
     shared = texts.sparkSession.sparkContext.broadcast(late)
-    schema = pa.schema([("key", pa.int64()), ("sid", pa.int64())])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = shared.value
         for batch in batches:
-            seen, keys, sids, size = set(), [], [], 0
-
-            def out():
-                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(sids))], schema=schema)
-
+            seen, rows, size = set(), [], 0
             for value in batch.column(1):
                 hashes = shingles(value.as_py())
                 if (sid := set_id(hashes)) in seen:
                     continue
                 seen.add(sid)
-                own = keys_of(hashes, late, boundary)
-                keys.append(own)
-                sids.append(np.full(len(own), sid, np.int64))
+                own, places = keys_of(hashes, late, boundary)
+                rows.append(np.column_stack((own.view(np.int64), np.full(len(own), sid, np.int64), places + (len(hashes) << 32))))
                 size += len(own)
                 if size > CHUNK // 4:
-                    yield out()
-                    keys, sids, size = [], [], 0
+                    yield _entries(np.concatenate(rows))
+                    rows, size = [], 0
             if size:
-                yield out()
+                yield _entries(np.concatenate(rows))
 
-    return texts.mapInArrow(walk, "key long, sid long")
+    return texts.mapInArrow(walk, ENTRY_DDL)
 
 
 def shared_lists(entries: DataFrame) -> DataFrame:
     """The entries of lists that hold two sets or more. Lists are streams of sorted rows: none is held in memory."""
-    schema = pa.schema([("key", pa.int64()), ("sid", pa.int64())])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.empty((0, 2), np.int64)  # the last row, and before it the row of the same list, if any
+        held = np.empty((0, 3), np.int64)  # the last row, and before it the row of the same list, if any
         for batch in batches:
-            rows = np.column_stack((batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)))
+            rows = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
             known = max(0, len(held) - 1)
             rows = np.concatenate((held, rows))
             if not len(rows):
                 continue
             fresh = np.ones(len(rows), bool)
-            fresh[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+            fresh[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
             rows = rows[fresh]
             same = rows[1:, 0] == rows[:-1, 0]
             inside = np.zeros(len(rows), bool)
@@ -209,15 +255,23 @@ def shared_lists(entries: DataFrame) -> DataFrame:
             done = rows[known:-1][inside[known:-1]]
             held = rows[-2:] if len(rows) > 1 and same[-1] else rows[-1:]
             if len(done):
-                yield pa.RecordBatch.from_arrays([pa.array(done[:, 0].copy()), pa.array(done[:, 1].copy())], schema=schema)
+                yield _entries(done)
         if len(held) == 2:
-            yield pa.RecordBatch.from_arrays([pa.array(held[1:, 0].copy()), pa.array(held[1:, 1].copy())], schema=schema)
+            yield _entries(held[1:])
 
-    return entries.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(walk, "key long, sid long")
+    return entries.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(walk, ENTRY_DDL)
+
+
+def can_match(x: Column, y: Column, percent: int = PERCENT) -> Column:
+    """Whether the sets of two entries can be similar if they have nothing in common before these places."""
+    n, m = F.shiftright(x, 32), F.shiftright(y, 32)
+    i, j = x.bitwiseAND(F.lit(0xFFFFFFFF)), y.bitwiseAND(F.lit(0xFFFFFFFF))
+    common = F.floor((percent * (n + m) + (99 + percent)) / (100 + percent))
+    return (F.least(n - i, m - j) >= common) & (100 * F.least(n, m) >= percent * F.greatest(n, m))
 
 
 def full_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """sid, n and hashes of the sets whose sid is in ``wanted``, once each."""
+    """sid and hashes of the sets whose sid is in ``wanted``, once each."""
     spark = texts.sparkSession
     few = wanted.count() <= BROADCAST_ROWS
     shared = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in wanted.toLocalIterator()], np.int64)) if few else None)
@@ -241,14 +295,31 @@ def full_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     sets = texts.mapInArrow(walk, "sid long, hashes array<long>")
     if not few:
         sets = sets.join(wanted, "sid", "left_semi")
-    return sets.groupBy("sid").agg(F.first("hashes").alias("hashes")).withColumn("n", F.size("hashes"))
+    return sets.groupBy("sid").agg(F.first("hashes").alias("hashes"))
+
 
+def plausible(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs a, b that sizes and signatures do not rule out. ``classes`` has sid, n and signature."""
+    x, y = classes.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("signature").alias("sa")), classes.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("sb"))
+    sized = pairs.join(x, "a").join(y, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # With d shingles in one set alone, (n - d) / 2 of n in both together are common.
+            keep = [100 * (n - d) >= percent * (n + d) for n, d in ((n + m, least_different(p, q)) for n, m, p, q in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=schema).filter(pa.array(keep, pa.bool_()))
+
+    return sized.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(walk, "a long, b long")
+
+
+def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs a, b whose similarity is ``percent`` or more."""
-    sizes = sets.select("sid", "n")
-    able = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
-    both = able.join(sets.select(F.col("sid").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("sid").alias("b"), F.col("hashes").alias("y")), "b")
+    left = written(plausible(pairs, classes, percent), "jaccard-plausible")
+    if left.isEmpty():
+        return left
+    sets = written(full_sets(texts, left.select(F.col("a").alias("sid")).union(left.select("b")).distinct()), "jaccard-full")
+    both = left.join(sets.select(F.col("sid").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("sid").alias("b"), F.col("hashes").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
@@ -291,26 +362,36 @@ def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     late = np.sort(np.array([r[0] for r in late.collect()], np.int64).view(np.uint64))
 
     lists = written(shared_lists(list_entries(texts, late, boundary)), "jaccard-lists")
-    sets = written(full_sets(texts, lists.select("sid").distinct()), "jaccard-full")
-
-    hubs = written(lists.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high"), F.count("*").alias("members")), "jaccard-hubs")
-    member = lists.join(hubs.where("members > 2").select("key", "low", "high"), "key")
-    pair = lambda df, a, b: df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b")
-    tested = written(pair(hubs, "low", "high").unionByName(pair(member, "sid", "low")).unionByName(pair(member, "sid", "high")).distinct(), "jaccard-pairs")
-    links = written(verified(tested, sets), "jaccard-links")
+    classes = written(rows.where("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("least")), "jaccard-classes")
+
+    entry = F.struct("sid", "place")
+    hubs = written(lists.groupBy("key").agg(F.min(entry).alias("low"), F.max(entry).alias("high"), F.count("*").alias("members")), "jaccard-hubs")
+    member = lists.join(hubs.where("members > 2").select("key", "low", "high"), "key").withColumn("own", entry)
+    pair = lambda df, a, b: df.where(can_match(F.col(f"{a}.place"), F.col(f"{b}.place"))).select(F.least(f"{a}.sid", f"{b}.sid").alias("a"), F.greatest(f"{a}.sid", f"{b}.sid").alias("b")).where("a < b")
+    by_size, by_sid = Window.partitionBy("key").orderBy("place", "sid"), Window.partitionBy("key").orderBy("sid")
+    chained = member.withColumns({f"after{k}": F.lag("own", k).over(by_size) for k in (1, 2)} | {f"near{k}": F.lag("own", k).over(by_sid) for k in (1, 2)})
+    first = pair(hubs, "low", "high").unionByName(pair(member, "own", "low")).unionByName(pair(member, "own", "high"))
+    for other in ("after1", "after2", "near1", "near2"):
+        first = first.unionByName(pair(chained, "own", other))
+    tested = written(first.distinct(), "jaccard-pairs")
+    links = written(verified(tested, classes, texts), "jaccard-links")
     labels = components(links)
 
     # Lists of up to three sets have had all their pairs compared.
-    open_lists = lists.join(hubs.where("members > 3").select("key"), "key").join(labels, "sid", "left").select("key", "sid", F.coalesce("label", "sid").alias("label"))
+    open_lists = lists.join(hubs.where("members > 3").select("key"), "key").join(labels, "sid", "left").select("key", "sid", "place", F.coalesce("label", "sid").alias("label"))
     mixed = open_lists.groupBy("key").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p < q").select("key")
-    rest = written(open_lists.join(mixed, "key"), "jaccard-rest")
-    across = rest.alias("x").join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.label") != F.col("y.label"))).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
-    more = written(verified(across.join(tested, ["a", "b"], "left_anti"), sets), "jaccard-links")
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
-
-    first = rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
-    named = first.join(labels, "sid", "left").select("sid", F.coalesce("label", "sid").alias("label"), "least")
+    rest = written(open_lists.join(mixed, "key").join(classes.select("sid", "sketch"), "sid"), "jaccard-rest")
+    different = sum((F.bit_count(F.get("x.sketch", F.lit(i)).bitwiseXOR(F.get("y.sketch", F.lit(i)))) for i in range(SKETCH)), F.lit(0))
+    total = F.shiftright("x.place", 32) + F.shiftright("y.place", 32)
+    near = 100 * (total - different) >= PERCENT * (total + different)
+    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.label") != F.col("y.label")) & can_match(F.col("x.place"), F.col("y.place")) & near
+    across = written(rest.alias("x").join(rest.alias("y"), meet).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "jaccard-across")
+    if not across.isEmpty():
+        more = written(verified(across, classes, texts), "jaccard-links")
+        if not more.isEmpty():
+            labels = components(links.unionByName(more))
+
+    named = classes.join(labels, "sid", "left").select("sid", F.coalesce("label", "sid").alias("label"), "least")
     names = named.groupBy("label").agg(F.min("least").alias("component_id"))
     by_set = named.select("sid", "label").join(names, "label").select("sid", "component_id")
     return rows.join(by_set, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
