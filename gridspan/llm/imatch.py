@@ -30,7 +30,7 @@ LEAST, MOST = 0.001, 0.1
 COPIES, HALVINGS = 4, 8
 SEED = 20240229
 EDGES = b".,;:!?()[]{}|\"'"
-MEMO_ENTRIES = 700_000
+MEMO_ENTRIES = 400_000
 COUNT_ENTRIES = 500_000
 HEX = 8
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLANK = "▁"
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 400_000
 #: How far a byte of an unknown character lies below the least likely piece.
 BYTE_PENALTY = 10.0
 

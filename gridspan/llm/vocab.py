@@ -16,8 +16,8 @@ from tokenizers import Regex, Tokenizer
 from tokenizers.models import BPE
 from tokenizers.pre_tokenizers import Split
 
-#: Entries a memo may hold before it starts afresh; bounds a worker's memory to about 200 MB.
-MEMO_ENTRIES = 1_000_000
+#: Entries a memo may hold before it starts afresh; bounds a worker's memory to about 80 MB.
+MEMO_ENTRIES = 400_000
 EDGE_MARKS = frozenset(b".,;:!?")
 # Letters of these ranges are in NFC, are \p{L} in every Unicode version and have one-to-one lower case.
 PLAIN_WORD = re.compile(r"[A-Za-zÀ-ÖØ-Þß-öø-ÿ]+").fullmatch
