@@ -33,47 +33,45 @@ class Unigram:
         ranked = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
         norm = math.log(sum(1 / (r + 1) for r in range(len(ranked))))
         self.scores = {piece: -math.log(r + 1) - norm for r, piece in enumerate(ranked)}
-        self.longest = max(map(len, self.scores))
         self.byte = min(self.scores.values()) - BYTE_PENALTY
+        # Endings of pieces: where a text's ending is none of them, no longer piece ends there either.
+        self.suffixes = {piece[i:]: -math.inf for piece in ranked for i in range(len(piece))} | self.scores
         self.memo: dict[bytes, int] = {}
 
-    def extend(self, states: list[tuple[float, int]], text: str, end: int) -> tuple[float, int]:
-        """The best (score, -tokens) of text[:end], given the states of its proper prefixes; more score first, then fewer tokens."""
-        best = (-math.inf, 0)
-        for begin in range(max(0, end - self.longest), end):
-            if (score := self.scores.get(text[begin:end])) is not None:
-                before = states[begin]
-                best = max(best, (before[0] + score, before[1] - 1))
-        n = len(text[end - 1].encode())
-        before = states[end - 1]
-        return max(best, (before[0] + n * self.byte, before[1] - n))
-
     def walk(self, words: Iterable[str]) -> Iterator[tuple[str, int]]:
-        """Token counts of words, which must be sorted."""
-        states, path = [(0.0, 0)], ""
+        """Token counts of words, which must be sorted. The best state of a prefix has more score, then fewer tokens."""
+        scores, tokens, path, suffixes = [0.0], [0], "", self.suffixes
         for word in words:
             shared, most = 0, min(len(path), len(word))
             while shared < most and path[shared] == word[shared]:
                 shared += 1
-            del states[shared + 1 :]
+            del scores[shared + 1 :], tokens[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                states.append(self.extend(states, word, end))
+                n = len(word[end - 1].encode())
+                best, fewest = scores[-1] + n * self.byte, tokens[-1] + n
+                for begin in range(end - 1, -1, -1):
+                    if (own := suffixes.get(word[begin:end])) is None:
+                        break
+                    score = scores[begin] + own
+                    if score > best or score == best and tokens[begin] + 1 < fewest:
+                        best, fewest = score, tokens[begin] + 1
+                scores.append(best)
+                tokens.append(fewest)
             path = word
-            yield word, -states[-1][1]
+            yield word, tokens[-1]
 
     def count(self, documents: list[bytes]) -> list[tuple[int, int]]:
         """(pre-tokens, tokens) of each document."""
         if len(self.memo) > MEMO_ENTRIES:
             self.memo.clear()
         split = [d.split() for d in documents]
-        new = {BLANK + w.decode("utf-8", "replace"): w for words in split for w in words if w not in self.memo}
+        missing = set().union(*split).difference(self.memo)
+        new = {BLANK + w.decode("utf-8", "replace"): w for w in missing}
         for word, n in self.walk(sorted(new)):
             self.memo[new[word]] = n
         # Malformed bytes may read alike; they are counted by themselves.
-        for words in split:
-            for w in words:
-                if w not in self.memo:
-                    self.memo[w] = next(n for _, n in self.walk([BLANK + w.decode("utf-8", "replace")]))
+        for w in missing.difference(self.memo):
+            self.memo[w] = next(n for _, n in self.walk([BLANK + w.decode("utf-8", "replace")]))
         return [(len(words), sum(map(self.memo.__getitem__, words))) for words in split]
 
 
