@@ -30,6 +30,8 @@ _ARROW = pa.schema(
 )
 #: Rows of an output batch; with pieces of at most 4096 ids, 64 MB at most.
 OUT_ROWS = 4096
+#: Bytes of ids that wait for windows before these are packed: 2 million tokens.
+POOL_BYTES = 8 << 20
 
 
 class TierPacker:
@@ -132,8 +134,13 @@ def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
         for batch in batches:
+            waiting = 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                packer.add(doc_id, memo.encode(text.as_py()) + end)
+                packer.add(doc_id, ids := memo.encode(text.as_py()) + end)
+                waiting += len(ids)
+                if waiting > POOL_BYTES:
+                    yield from rows(list(packer.full()))
+                    waiting = 0
             yield from rows(list(packer.full()))
         yield from rows(list(packer.rest()))
 
