@@ -367,12 +367,14 @@ def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     entry = F.struct("sid", "place")
     hubs = written(lists.groupBy("key").agg(F.min(entry).alias("low"), F.max(entry).alias("high"), F.count("*").alias("members")), "jaccard-hubs")
     member = lists.join(hubs.where("members > 2").select("key", "low", "high"), "key").withColumn("own", entry)
-    pair = lambda df, a, b: df.where(can_match(F.col(f"{a}.place"), F.col(f"{b}.place"))).select(F.least(f"{a}.sid", f"{b}.sid").alias("a"), F.greatest(f"{a}.sid", f"{b}.sid").alias("b")).where("a < b")
     by_size, by_sid = Window.partitionBy("key").orderBy("place", "sid"), Window.partitionBy("key").orderBy("sid")
     chained = member.withColumns({f"after{k}": F.lag("own", k).over(by_size) for k in (1, 2)} | {f"near{k}": F.lag("own", k).over(by_sid) for k in (1, 2)})
-    first = pair(hubs, "low", "high").unionByName(pair(member, "own", "low")).unionByName(pair(member, "own", "high"))
-    for other in ("after1", "after2", "near1", "near2"):
-        first = first.unionByName(pair(chained, "own", other))
+    # One pass gives a member's pairs with its hubs and neighbours; those that cannot match never become rows.
+    others = F.filter(F.array("low", "high", "after1", "after2", "near1", "near2"), lambda x: x.isNotNull() & (x["sid"] != F.col("sid")) & can_match(F.col("place"), x["place"]))
+    paired = chained.select("sid", F.explode(F.array_distinct(F.transform(others, lambda x: x["sid"]))).alias("other")).select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b"))
+    # Lists of two sets are their hubs.
+    two = hubs.where((F.col("members") == 2) & can_match(F.col("low.place"), F.col("high.place"))).select(F.col("low.sid").alias("a"), F.col("high.sid").alias("b"))
+    first = two.unionByName(paired)
     tested = written(first.distinct(), "jaccard-pairs")
     links = written(verified(tested, classes, texts), "jaccard-links")
     labels = components(links)
