@@ -271,10 +271,15 @@ def can_match(x: Column, y: Column, percent: int = PERCENT) -> Column:
 
 
 def full_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """sid and hashes of the sets whose sid is in ``wanted``, once each."""
+    """sid and hashes of the sets whose sid is in ``wanted``, once each. ``wanted`` has with each sid the least id of a document that has that set.
+
+    Only those documents' texts are read anew, where ``wanted`` is small enough to broadcast.
+    """
     spark = texts.sparkSession
     few = wanted.count() <= BROADCAST_ROWS
-    shared = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in wanted.toLocalIterator()], np.int64)) if few else None)
+    if few:
+        texts = texts.join(F.broadcast(wanted.select(F.col("least").alias("id")).distinct()), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    shared = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in wanted.select("sid").toLocalIterator()], np.int64)) if few else None)
     schema = pa.schema([("sid", pa.int64()), ("hashes", pa.list_(pa.int64()))])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,7 +299,7 @@ def full_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
     sets = texts.mapInArrow(walk, "sid long, hashes array<long>")
     if not few:
-        sets = sets.join(wanted, "sid", "left_semi")
+        sets = sets.join(wanted.select("sid"), "sid", "left_semi")
     return sets.groupBy("sid").agg(F.first("hashes").alias("hashes"))
 
 
@@ -318,7 +323,8 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: in
     left = written(plausible(pairs, classes, percent), "jaccard-plausible")
     if left.isEmpty():
         return left
-    sets = written(full_sets(texts, left.select(F.col("a").alias("sid")).union(left.select("b")).distinct()), "jaccard-full")
+    wanted = classes.select("sid", "least").join(left.select(F.col("a").alias("sid")).union(left.select("b")).distinct(), "sid", "left_semi")
+    sets = written(full_sets(texts, wanted), "jaccard-full")
     both = left.join(sets.select(F.col("sid").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("sid").alias("b"), F.col("hashes").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
