@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspan.operators import metrics, patches, reductions, report, selection, transforms
+from gridspan.operators import augment, losses, metrics, patches, reductions, report, selection, transforms
 from gridspan.sources import logs
 from gridspan.streaming import windows
 
@@ -390,6 +390,129 @@ def log_parse(spark, sf_dir):
     return logs.parse(e, "line", {"step": (r"step ([0-9]+)", "bigint"), "k": (r'"k": ?([0-9]+)', "bigint")}).select("event_id", "stage", "step", "k")
 
 
+def copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three copies of each array, as doubles."""
+    return augment.copies(table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v")), 3)
+
+
+def draw(salt: int) -> str:
+    return f"((((vec_id % 2147483648 + copy * 7919 + {salt * 104729}) * 1103515245 + 12345) % 2147483648 * 1103515245 + 12345) % 2147483648 / 2147483648e0)"
+
+
+def bell(salt: int) -> str:
+    return f"(sqrt(-2 * ln(1 - {draw(salt)})) * cos(2 * pi() * {draw(salt + 1)}))"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    return rounded(df.select("vec_id", "copy", F.posexplode("v").alias("x", "value")))
+
+
+COPIES = "c AS (SELECT vec_id, unnest(range(3)) AS copy, embedding::DOUBLE[] AS v FROM embeddings), d AS (SELECT vec_id, copy, unnest(range(64))::INT AS x, v FROM c)"
+
+
+@query(f"WITH {COPIES} SELECT vec_id, copy, x, round(CASE WHEN {draw(0)} < 0.33 THEN v[64 - x] ELSE v[x + 1] END, 4) AS value FROM d")
+def augment_flip(spark, sf_dir):
+    return spread(copies(spark, sf_dir).withColumn("v", augment.flip(F.col("v"), augment.uniform(F.col("vec_id"), F.col("copy"), 0) < 0.33)))
+
+
+@query(f"WITH {COPIES}, e AS (SELECT *, abs(x - (floor({draw(1)} * 21) - 10)::INT) AS pos FROM d) SELECT vec_id, copy, x, round(v[CASE WHEN pos > 63 THEN 126 - pos ELSE pos END + 1], 4) AS value FROM e")
+def augment_translate(spark, sf_dir):
+    shift = (F.floor(augment.uniform(F.col("vec_id"), F.col("copy"), 1) * 21) - 10).cast("int")
+    return spread(copies(spark, sf_dir).withColumn("shift", shift).withColumn("v", augment.translate(F.col("v"), F.col("shift"))))
+
+
+@query(f"WITH {COPIES} SELECT vec_id, copy, x, round((v[x + 1] + 0.1e0 * {bell(2)}) * 2 ** (0.2e0 * {bell(4)}), 4) AS value FROM d")
+def augment_brightness_contrast(spark, sf_dir):
+    own = {n: augment.normal(F.col("vec_id"), F.col("copy"), salt) * size for n, salt, size in (("added", 2, 0.1), ("exponent", 4, 0.2))}
+    return spread(copies(spark, sf_dir).withColumns(own).withColumn("v", augment.brightness_contrast(F.col("v"), F.col("added"), F.col("exponent"))))
+
+
+@query(f"WITH {COPIES} SELECT vec_id, copy, x, round(CASE WHEN abs((x + 0.5e0) / 64 - {draw(6)}) < 0.125e0 THEN 0 ELSE v[x + 1] END, 4) AS value FROM d")
+def augment_cutout(spark, sf_dir):
+    return spread(copies(spark, sf_dir).withColumn("centre", augment.uniform(F.col("vec_id"), F.col("copy"), 6)).withColumn("v", augment.cut_out(F.col("v"), F.col("centre"), 0.25, 0.0)))
+
+
+@query("WITH vox AS (SELECT label, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT label, round(avg(greatest(x, 0) - x + ln(1 + exp(-abs(x)))), 4) AS bce, round(avg(x * x), 4) AS patch_gan, round(avg((x - 1) * (x - 1)), 4) AS wgp FROM vox GROUP BY label")
+def adversarial_losses(spark, sf_dir):
+    x = F.col("x")
+    vox = table(spark, sf_dir, "embeddings").select("label", F.explode(F.col("embedding").cast("array<double>")).alias("x"))
+    return rounded(vox.groupBy("label").agg(F.avg(losses.bce_with_logits(x, 1.0)).alias("bce"), F.avg(x * x).alias("patch_gan"), F.avg((x - 1) * (x - 1)).alias("wgp")))
+
+
+def beside(spark: SparkSession, sf_dir: str, others: int) -> DataFrame:
+    """Arrays v0, v1, ... of each id and of those that follow it."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v0"))
+    out = e
+    for k in range(1, others + 1):
+        out = out.join(e.select((F.col("vec_id") - k).alias("vec_id"), F.col("v0").alias(f"v{k}")), "vec_id")
+    return out
+
+
+BESIDE = "s AS (SELECT a.vec_id, a.label, unnest(range(64))::INT AS x, unnest(a.embedding)::DOUBLE AS a, unnest(b.embedding)::DOUBLE AS b FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"
+
+
+@query("WITH s AS (SELECT a.vec_id, a.label, unnest(a.embedding)::DOUBLE AS a, unnest(b.embedding)::DOUBLE AS b, unnest(c.embedding)::DOUBLE AS c FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 JOIN embeddings c ON c.vec_id = a.vec_id + 2), t AS (SELECT vec_id, label, sqrt(sum((a - b + 1e-7) ** 2)) - sqrt(sum((a - c + 1e-7) ** 2)) + 1 AS d FROM s GROUP BY ALL) SELECT label, round(avg(greatest(d, 0)), 4) AS loss FROM t GROUP BY label")
+def triplet_loss(spark, sf_dir):
+    return rounded(beside(spark, sf_dir, 2).groupBy("label").agg(F.avg(losses.triplet(F.col("v0"), F.col("v1"), F.col("v2"))).alias("loss")))
+
+
+@query("WITH s AS (SELECT vec_id, label, unnest(embedding[1:32])::DOUBLE AS m, unnest(embedding[33:64])::DOUBLE AS s FROM embeddings), t AS (SELECT vec_id, label, -0.5e0 * sum(1 + s - m * m - exp(s)) AS kl FROM s GROUP BY ALL) SELECT label, round(avg(kl), 4) AS loss FROM t GROUP BY label")
+def latent_kl(spark, sf_dir):
+    v = F.col("embedding").cast("array<double>")
+    return rounded(table(spark, sf_dir, "embeddings").groupBy("label").agg(F.avg(losses.latent_kl(F.slice(v, 1, 32), F.slice(v, 33, 32))).alias("loss")))
+
+
+@query(f"WITH {BESIDE}, g AS (SELECT vec_id, (lead(a - b) OVER (PARTITION BY vec_id ORDER BY x)) - (a - b) AS d FROM s) SELECT vec_id, round(sqrt(sum(d * d)), 4) AS loss FROM g GROUP BY vec_id")
+def gradient_images(spark, sf_dir):
+    return rounded(beside(spark, sf_dir, 1).select("vec_id", losses.gradient_difference(F.col("v0"), F.col("v1")).alias("loss")))
+
+
+@query(f"WITH {BESIDE}, p AS (SELECT label, x, avg(abs(a - b)) AS l1, var_samp(a) AS va, var_samp(b) AS vb FROM s GROUP BY ALL) SELECT label, round(avg(l1) + avg(greatest(1 - va, 0)) + avg(greatest(1 - vb, 0)), 4) AS loss FROM p GROUP BY label")
+def representation_loss(spark, sf_dir):
+    return rounded(losses.representation(beside(spark, sf_dir, 1), ["label"], "v0", "v1"))
+
+
+@query(f"WITH {BESIDE}, w AS (SELECT vec_id, x, avg(a) OVER r AS mx, avg(b) OVER r AS my, avg(a * a) OVER r AS xx, avg(b * b) OVER r AS yy, avg(a * b) OVER r AS xy FROM s WINDOW r AS (PARTITION BY vec_id ORDER BY x ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)) SELECT vec_id, round(avg((2 * mx * my + 0.0004e0) * (2 * 7e0 / 6 * (xy - mx * my) + 0.0036e0) / ((mx * mx + my * my + 0.0004e0) * (7e0 / 6 * (xx - mx * mx + yy - my * my) + 0.0036e0))), 4) AS ssim FROM w WHERE x BETWEEN 3 AND 60 GROUP BY vec_id")
+def ssim(spark, sf_dir):
+    vox = beside(spark, sf_dir, 1).select("vec_id", F.posexplode(F.arrays_zip(F.col("v0").alias("a"), F.col("v1").alias("b"))).alias("x", "v")).select("vec_id", "x", "v.a", "v.b")
+    return rounded(losses.ssim(vox, "vec_id", "x", "a", "b", 2.0, EXTENT))
+
+
+@query("WITH w AS (SELECT event_type, event_id, avg(value) OVER r AS mean, count(*) OVER r AS held FROM events WINDOW r AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) SELECT event_type, event_id, round(mean, 4) AS mean FROM w WHERE held = 20")
+def measure_last_values(spark, sf_dir):
+    return rounded(losses.last_values(table(spark, sf_dir, "events").select("event_type", "event_id", "value"), ["event_type"], "event_id", "value", 20).drop("value"))
+
+
+@query("SELECT event_id, CASE WHEN event_id < 100 THEN 'warm' WHEN event_id < 600 THEN 'flat' ELSE 'decay' END AS scheduler FROM events")
+def scheduler_at(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", losses.scheduler_at(F.col("event_id"), [("warm", 100), ("flat", 500), ("decay", 300)]).alias("scheduler"))
+
+
+@query("SELECT label, max(len(embedding))::BIGINT AS worst_extent, sum(len(embedding) * 4 * 3)::BIGINT AS cached_bytes FROM embeddings GROUP BY label")
+def cache_plan(spark, sf_dir):
+    extent = F.size("embedding").cast("long")
+    return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.max(extent).alias("worst_extent"), F.sum(extent * 4 * 3).alias("cached_bytes"))
+
+
+@query("WITH s AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT vec_id, round(sqrt(sum(v * v)), 4) AS norm, round(sum(v / 2 * 100), 3) AS percentage FROM s GROUP BY vec_id")
+def norm_percentage(spark, sf_dir):
+    v = F.col("embedding").cast("array<double>")
+    return rounded(table(spark, sf_dir, "embeddings").select("vec_id", F.sqrt(losses.total(F.transform(v, lambda x: x * x))).alias("norm"), losses.total(F.transform(v, lambda x: x / 2 * 100)).alias("percentage")), percentage=3)
+
+
+@query(f"WITH {BESIDE} SELECT vec_id, x, round(CASE WHEN b > 0 THEN a ELSE -1 END, 4) AS value FROM s")
+def mask_fill(spark, sf_dir):
+    filled = F.zip_with("v0", "v1", lambda a, m: F.when(m > 0, a).otherwise(F.lit(-1.0)))
+    return rounded(beside(spark, sf_dir, 1).select("vec_id", F.posexplode(filled).alias("x", "value")))
+
+
+@query("WITH p AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings), q AS (SELECT vec_id, -y + 1 AS x, x + 2 AS y, z + 3 AS z FROM p) SELECT vec_id, round(2 * x, 4) AS x, round(y + 0.5e0 * z, 4) AS y, round(z - 1, 4) AS z FROM q")
+def affine_points(spark, sf_dir):
+    points = table(spark, sf_dir, "embeddings").select("vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate("xyz")])
+    turn, stretch = [[0.0, -1.0, 0.0, 1.0], [1.0, 0.0, 0.0, 2.0], [0.0, 0.0, 1.0, 3.0]], [[2.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.5, 0.0], [0.0, 0.0, 1.0, -1.0]]
+    return rounded(losses.move_points(points, ["x", "y", "z"], losses.compose(turn, stretch)))
+
+
 @query()
 def mutual_information(spark, sf_dir):
     v = voxels(spark, sf_dir).select("vec_id", "x", F.least(F.greatest(F.col("value") / 4 + 0.5, F.lit(0.0)), F.lit(1.0)).alias("a")).withColumn("b", 1 - F.col("a"))
