@@ -234,6 +234,24 @@ def test_quality_keeps_clean_rejects_junk(spark, sf_dir, documents):
     assert kept.columns == documents.columns
 
 
+def test_quality_bands_tell_junk_from_clean(spark):
+    # Scale 0.01: none of its texts was used to fit the limits.
+    tables = "/root/testdata/sf0.01"
+    judged = quality_bands.score_quality(spark.read.parquet(f"{tables}/documents.parquet")).join(spark.read.parquet(f"{tables}/labels.parquet"), "doc_id").where("not quality_report.base_failed")
+    rows = [(r["quality"], r["n_bytes"], r["quality_report"]) for r in judged.select("quality", F.octet_length("text").alias("n_bytes"), "quality_report").collect()]
+    clean, junk = [r for r in rows if r[0] == 1], [r for r in rows if r[0] == 0]
+    assert all(v["kept"] for _, _, v in clean) and len(clean) > 300
+    assert sum(v["in_band"] for _, _, v in junk) < len(junk) / 3
+    assert not any(v["kept"] for _, n, v in junk if n > 2048)
+
+
+def test_quality_limits_join_up():
+    bands = quality_bands.Bands()
+    for n, low, high in bands.whole:
+        assert bands.limits(n) == pytest.approx((low, high)) and bands.limits(n + 1) == pytest.approx((low, high), abs=0.01)
+    assert bands.limits(0) == bands.limits(1) == bands.whole[0][1:] and bands.limits(10**9) == bands.whole[-1][1:]
+
+
 PII = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
