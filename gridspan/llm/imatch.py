@@ -2,7 +2,8 @@
 
 Terms whose inverse document frequency lies in a band make the lexicon. A document's distinct terms in
 the lexicon, sorted, are hashed once for each of several random lexicon subsets. Subsets come in halving
-sizes, so that documents of any length have some that hold few of their terms: those survive edits.
+sizes, down to one that holds a term of the lexicon or none, so that documents of any length have some that
+hold few of their terms: those survive edits. Only these are compared; denser ones differ after any edit.
 
 Document frequencies are counted over all documents: each task sums its own before the shuffle. The
 lexicon is broadcast; a term in it occurs in at least ``least`` of all documents, so it has at most
@@ -19,20 +20,23 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .histogram_sort import written
 
 #: Share of documents that hold a term: the band of inverse document frequencies is -log of these.
 LEAST, MOST = 0.001, 0.1
-#: Subsets per size, and sizes as halvings of the lexicon.
-COPIES, HALVINGS = 4, 8
+#: Subsets per size.
+COPIES = 4
+#: Sizes that are compared before the sparsest one in which half of the subsets or more hold a term.
+DENSER = 3
 SEED = 20240229
 EDGES = b".,;:!?()[]{}|\"'"
 MEMO_ENTRIES = 400_000
 COUNT_ENTRIES = 500_000
 HEX = 8
+EMPTY = "0" * HEX
 
 
 class TermMemo(dict):
@@ -84,15 +88,20 @@ def lexicon_of(docs: DataFrame, *, text_col: str = "text", least: float = LEAST,
     return np.sort(np.array([r[0] for r in band.select("term").toLocalIterator()], np.int64))
 
 
+def halvings(lexicon: np.ndarray) -> int:
+    """Sizes of subsets, one at least: no document has more terms than the lexicon, so the sparsest subset has one of any document's at the mean, or fewer."""
+    return max(1, len(lexicon).bit_length())
+
+
 def subset_masks(lexicon: np.ndarray) -> np.ndarray:
     """For each lexicon term, a row of booleans: the subsets that hold it. Subset k has one term in 2**(k // COPIES + 1)."""
     x = lexicon.astype(np.uint64)
-    masks = np.empty((len(x), COPIES * HALVINGS), bool)
-    for k in range(COPIES * HALVINGS):
+    masks = np.empty((len(x), COPIES * halvings(lexicon)), bool)
+    for k in range(masks.shape[1]):
         z = x + np.uint64((SEED + k) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        masks[:, k] = (z >> np.uint64(40)) % np.uint64(2 << k // COPIES) == 0
+        masks[:, k] = (z >> np.uint64(32)) % np.uint64(2 << k // COPIES) == 0
     return masks
 
 
@@ -108,22 +117,28 @@ class Fingerprinter:
         if places:
             # The lexicon is sorted, so sorted places are sorted terms.
             rows = np.sort(np.array(places))
-            hashes, held = self.lexicon[rows], self.masks[rows].T
+            subset, at = np.nonzero(self.masks[rows].T)
+            data, ends = self.lexicon[rows[at]].tobytes(), (8 * np.cumsum(np.bincount(subset, minlength=self.masks.shape[1]))).tolist()
         else:
             # No term in the band: all terms stand in, in each subset of the first size.
-            hashes = np.sort(np.array(list(terms), np.int64))
-            held = np.zeros((COPIES * HALVINGS, len(hashes)), bool)
-            held[:COPIES] = True
-        return "".join(hashlib.blake2b(part.tobytes(), digest_size=HEX // 2).hexdigest() if len(part := hashes[own]) else "0" * HEX for own in held)
+            all_terms, rest = np.sort(np.array(list(terms), np.int64)).tobytes(), self.masks.shape[1] - COPIES
+            data, ends = all_terms * COPIES, [len(all_terms) * k for k in range(1, COPIES + 1)] + [len(all_terms) * COPIES] * rest
+        return "".join(hashlib.blake2b(data[start:end], digest_size=HEX // 2).hexdigest() if start < end else EMPTY for start, end in zip([0, *ends], ends))
 
 
 def likeness(a: str, b: str) -> float:
-    """Among the subsets that either document has terms in, the part with equal hashes; 1 for equal fingerprints."""
+    """Among the subsets of compared sizes that either document has terms in, the part with equal hashes; 1 for equal fingerprints.
+
+    Where the subsets of a size begin to be empty tells how many terms a document has: sizes are compared from DENSER before that on.
+    """
     if a == b:
         return 1.0
     pairs = [(a[i : i + HEX], b[i : i + HEX]) for i in range(0, len(a), HEX)]
-    used = [x == y for x, y in pairs if x != "0" * HEX or y != "0" * HEX]
-    return sum(used) / len(used) if used else 0.0
+    used = [x != EMPTY or y != EMPTY for x, y in pairs]
+    sparse = max((k for k in range(0, len(used), COPIES) if 2 * sum(used[k : k + COPIES]) >= COPIES), default=0)
+    first = max(0, sparse - DENSER * COPIES)
+    n = sum(used[first:])
+    return sum(x == y for (x, y), u in zip(pairs[first:], used[first:], strict=True) if u) / n if n else 0.0
 
 
 def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lexicon: np.ndarray | None = None) -> DataFrame:
@@ -148,13 +163,21 @@ def edited_text(text: str, after: str) -> str:
 
 
 COMPARED = pa.schema(
-    [("part", pa.int32()), ("edge", pa.string()), ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("text", pa.string())]
+    [("part", pa.int32()), ("edge", pa.string()), ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("text", pa.string())]
 )
-COMPARED_DDL = "part int, edge string, doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, text string"
-RESULT = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+COMPARED_DDL = "part int, edge string, doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, text string"
 OUT_ROWS = 2000
 
 
+def _digits(column: str) -> Column:
+    return F.lower(F.hex(column))
+
+
+def _result(compared: DataFrame) -> DataFrame:
+    """Fingerprints are bytes on disk, half as long as their digits."""
+    return compared.select("doc_id", "n_chars", "edited_sha256", _digits("fingerprint").alias("fingerprint"), _digits("edited_fingerprint").alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 def _record(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), COMPARED, strict=True)], schema=COMPARED)
 
@@ -162,7 +185,7 @@ def _record(rows: list[tuple]) -> pa.RecordBatch:
 def _compared(of: Fingerprinter, doc_id, text: str, own: str, after: str, after_print: str) -> tuple:
     edited = edited_text(text, after)
     edited_print = of(edited.encode())
-    return doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), own, edited_print, likeness(own, edited_print), likeness(own, after_print)
+    return doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), bytes.fromhex(own), bytes.fromhex(edited_print), likeness(own, edited_print), likeness(own, after_print)
 
 
 def compare_with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lexicon: np.ndarray | None = None) -> DataFrame:
@@ -185,7 +208,7 @@ def compare_with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                 text = value.as_py()
                 own = of(text.encode())
                 if held is None:
-                    rows.append((part, "first", doc_id, len(text), None, own, None, None, None, text))
+                    rows.append((part, "first", doc_id, len(text), None, bytes.fromhex(own), None, None, None, text))
                 else:
                     rows.append((part, None, *_compared(of, *held, text, own), None))
                 held = doc_id, text, own
@@ -193,7 +216,7 @@ def compare_with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                     yield _record(rows)
                     rows = []
         if held is not None:
-            rows.append((part, "last", held[0], len(held[1]), None, held[2], None, None, None, held[1]))
+            rows.append((part, "last", held[0], len(held[1]), None, bytes.fromhex(held[2]), None, None, None, held[1]))
             yield _record(rows)
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -202,8 +225,8 @@ def compare_with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     filled = sorted(r[0] for r in walked.where("edge = 'first'").select("part").collect())
     following = spark.createDataFrame([(p, filled[(i + 1) % len(filled)]) for i, p in enumerate(filled)], "part int, next_part int")
-    first = walked.where("edge = 'first'").select(F.col("part").alias("next_part"), F.col("text").alias("next_text"), F.col("fingerprint").alias("next_print"))
-    last = walked.where("edge = 'last'").join(F.broadcast(following), "part").join(first, "next_part").select("doc_id", "text", "fingerprint", "next_text", "next_print")
+    first = walked.where("edge = 'first'").select(F.col("part").alias("next_part"), F.col("text").alias("next_text"), _digits("fingerprint").alias("next_print"))
+    last = walked.where("edge = 'last'").join(F.broadcast(following), "part").join(first, "next_part").select("doc_id", "text", _digits("fingerprint").alias("fingerprint"), "next_text", "next_print")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Fingerprinter(shared.value)
@@ -212,4 +235,4 @@ def compare_with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             if rows:
                 yield _record(rows)
 
-    return walked.where("edge is null").select(*RESULT).unionByName(last.mapInArrow(finish, COMPARED_DDL).select(*RESULT))
+    return _result(walked.where("edge is null").unionByName(last.mapInArrow(finish, COMPARED_DDL)))

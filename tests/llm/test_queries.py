@@ -321,6 +321,30 @@ def test_imatch_tells_edits_from_neighbours(documents):
     assert r[0] > 5 * r[1]
 
 
+def test_imatch_finds_near_copies_of_any_length():
+    import random
+
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(40_000)]
+    of = imatch.Fingerprinter(np.sort(np.array(list(imatch._memo.terms(" ".join(vocabulary).encode())))))
+    for n in (60, 400, 3000, 9000):
+        near, far = [], []
+        for _ in range(20):
+            text, other = (" ".join(rng.choices(vocabulary, k=n)) for _ in range(2))
+            near.append(imatch.likeness(of(text.encode()), of(imatch.edited_text(text, other).encode())))
+            far.append(imatch.likeness(of(text.encode()), of(other.encode())))
+        assert near.count(0) <= 1 and sum(near) > 0.25 * 20 and sum(near) > 4 * sum(far), n
+
+
+def test_imatch_near_edited_by_length(spark):
+    length = F.when(F.col("n_chars") < 2000, 0).when(F.col("n_chars") < 8000, 1).otherwise(2).alias("class")
+    rows = imatch.compare_with_edits(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("n_chars >= 400").groupBy(length).agg(F.avg("near_edited").alias("near"), F.avg((F.col("near_edited") == 0).cast("int")).alias("lost"), F.avg("near_next").alias("next"))
+    classes = {r["class"]: r for r in rows.collect()}
+    assert len(classes) == 3
+    for r in classes.values():
+        assert r["near"] > 0.25 and r["lost"] < 0.06 and r["near"] > 5 * r["next"]
+
+
 def test_empty_tables(empty_docs):
     assert packing.pack_documents(empty_docs).count() == 0
     assert byte_bpe.decode_documents(byte_bpe.encode_documents(empty_docs)).count() == 0
