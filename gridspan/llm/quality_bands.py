@@ -47,10 +47,11 @@ class Bands:
         (65536, 2.2, 2.65),
         (131072, 2.2, 2.72),
     )
-    chunk_bytes: int = 4096
-    #: Fit likewise, on their full chunks.
-    chunk: tuple[float, float] = (1.98, 2.3)
-    #: A text is rejected when more than this part of its full chunks is out of the chunk band.
+    #: From this length on a text has chunks; the last one ends where the text ends and may overlap the one before.
+    chunk_bytes: int = 2048
+    #: Fit likewise, on their chunks.
+    chunk: tuple[float, float] = (1.82, 2.17)
+    #: A text is rejected when more than this part of its chunks is out of the chunk band.
     bad_chunks: float = 0.25
     level: int = 3
     least_words: int = 50
@@ -97,8 +98,9 @@ def measure(data: bytes, bands: Bands, compress) -> tuple:
     ratio = len(data) / len(compress(data)) if data else 0.0
     low, high = bands.limits(len(data))
     bad, size = 0.0, bands.chunk_bytes
-    if (full := len(data) // size) > 1:
-        bad = sum(not bands.chunk[0] <= size / len(compress(data[i * size : (i + 1) * size])) <= bands.chunk[1] for i in range(full)) / full
+    if len(data) >= size:
+        starts = [*range(0, len(data) - size, size), len(data) - size]
+        bad = sum(not bands.chunk[0] <= size / len(compress(data[i : i + size])) <= bands.chunk[1] for i in starts) / len(starts)
     failed = n < bands.least_words or 100 * repeated > bands.most_repeated * n
     within = low <= ratio <= high and bad <= bands.bad_chunks
     return n, characters, symbols, len(lines) - len(set(lines)), repeated, ratio, bad, failed, within, within and not failed

@@ -252,6 +252,24 @@ def test_quality_limits_join_up():
     assert bands.limits(0) == bands.limits(1) == bands.whole[0][1:] and bands.limits(10**9) == bands.whole[-1][1:]
 
 
+def test_quality_chunks_reach_to_the_end(documents):
+    import base64
+    import random
+
+    import zstandard
+
+    bands, compress = quality_bands.Bands(), zstandard.ZstdCompressor(level=3).compress
+    text = next(r["text"] for r in documents.where("lang = 'en' and n_chars > 12000").orderBy("doc_id").collect() if quality_bands.measure(r["text"].encode(), bands, compress)[-1]).encode()
+    noise, tail = base64.b64encode(random.Random(1).randbytes(6000)), b"all rights are reserved by us " * 200
+    bad = lambda data: quality_bands.measure(data, bands, compress)[6]
+    assert bad(text[:8000]) == bad(text[:4500]) == bad(text[:2048]) == 0
+    for end in (noise, tail):
+        assert bad(text[:4000] + end[:4000]) == 0.5
+        assert bad(text[:4096] + end[:3900]) > bands.bad_chunks
+        assert bad(text[:2048] + end[:1500]) == 0.5
+        assert bad(end[:2048]) == 1 and bad(end[:2047]) == 0
+
+
 PII = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
