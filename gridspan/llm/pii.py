@@ -28,13 +28,31 @@ class Kind:
     context: str
 
 
+#: Characters of an account number, by its country's registered format.
+IBAN_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_pattern() -> str:
+    """Registered countries at their own length, so that no word behind is taken in; other codes, and other lengths, as long as groups go on."""
+
+    def rest(n: int) -> str:
+        return rf"(?:\x20?[A-Z0-9]{{4}}){{{n // 4}}}" + (rf"\x20?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+
+    own = "|".join(rf"(?:{codes.replace(' ', '|')})[0-9]{{2}}{rest(n - 4)}" for n, codes in IBAN_COUNTRIES.items())
+    return rf"\b(?=[A-Z]{{2}}[0-9]{{2}})(?:(?:{own})\b|[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{2,7}}(?:\x20?[A-Z0-9]{{1,3}})?\b)"
+
+
 #: Base patterns first, in the order in which results list them.
 KINDS = (
     Kind("email", r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 0.8, "mail|contact|write|kontakt|correo|courriel"),
     Kind("ip", r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", 0.6, "ip|address|server|host|login|adresse"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "", 0.4, "card|visa|credit|master|karte|carte|tarjeta"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.6, "phone|call|tel|mobile|fax|ruf|appel"),
-    Kind("iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b", "", 0.4, "iban|bank|account|konto|compte|cuenta"),
+    Kind("iban", _iban_pattern(), "", 0.4, "iban|bank|account|konto|compte|cuenta"),
 )
 BASE = ("email", "ip", "card", "phone")
 CHECKED, CONTEXT = 0.3, 0.15

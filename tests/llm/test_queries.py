@@ -320,6 +320,15 @@ def test_personal_data_checks_and_redaction(spark):
     assert red[0] == "iban <IBAN> or DE88 3704 0044 0532 0130 00"
 
 
+def test_personal_data_accounts_before_upper_case_words(spark):
+    numbers = ["ES91 2100 0418 4502 0005 1332", "BE68 5390 0754 7034", "AT61 1904 3002 3457 3201", "SE45 5000 0000 0583 9825 7466", "PL61109010140000071219812874", "NO93 8601 1117 947", "DE89 3704 0044 0532 0130 00", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"]
+    ends = ["", " BIC", " EUR 250", " BIC BBRUBEBB", " 1234 ABCD", ", paid", " BE68 5390 0754 7034"]
+    rows = [(k, n + e, n, e) for k, (n, e) in enumerate((n, e) for n in numbers for e in ends)] + [(-1, "BE69 5390 0754 7034 EUR", "", ""), (-2, "ZZ59 1234 5678 9012 3456", "ZZ59 1234 5678 9012 3456", "")]
+    red = {r["doc_id"]: r["text"] for r in pii.redact(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    for k, text, number, end in rows:
+        assert red[k] == (text if k == -1 else "<IBAN>" + end.replace("BE68 5390 0754 7034", "<IBAN>")), text
+
+
 def test_imatch(docs):
     rows = sorted(pairs(docs), key=lambda x: (x[0] is not None, x[0], x[1]))
     got = {(r["doc_id"], r["n_chars"], r["edited_sha256"]): r for r in imatch.compare_with_edits(docs).collect()}
