@@ -354,6 +354,11 @@ def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     another; rows that repeat an id or a text get a row each. An empty table gives no rows. Sets are told apart by a
     64-bit hash. Other columns are not carried along.
     """
+    return _linked(docs, id_col, text_col)[0]
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """``link_components``, and sid, label, component_id of each set: the label names the component, whatever the ids."""
     spark = docs.sparkSession
     texts = _texts(docs, id_col, text_col)
     described = written(describe(texts), "jaccard-sets")
@@ -401,12 +406,46 @@ def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     named = classes.join(labels, "sid", "left").select("sid", F.coalesce("label", "sid").alias("label"), "least")
     names = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_set = named.select("sid", "label").join(names, "label").select("sid", "component_id")
-    return rows.join(by_set, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    by_set = named.select("sid", "label").join(names, "label").select("sid", "label", "component_id")
+    found = rows.join(by_set.drop("label"), "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return found, by_set
+
+
+def sid_of(text: Column) -> Column:
+    """The id of a text's set of shingles, null for texts that have none."""
+
+    @F.arrow_udf("long")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            sets = [shingles(value.as_py()) for value in batch]
+            yield pa.array([set_id(x) if len(x) else None for x in sets], pa.int64())
+
+    return of(F.coalesce(text, F.lit("")).cast("binary"))
 
 
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each component the document with the least id, with the columns of ``docs``. Documents without text or id stay; rows that repeat an id stay or go together."""
-    found = written(link_components(docs, id_col=id_col, text_col=text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "jaccard-gone")
+    """Of each component one row, one with the least id, with the columns of ``docs``. Rows without shingles stay.
+
+    Where an id is null or in several rows, the set decides which component a row belongs to. Rows of a component that share its
+    least id go but for the one of least set and text hash; null ids come last.
+    """
+    linked, by_set = _linked(docs, id_col, text_col)
+    linked = written(linked, "jaccard-linked")
+    ids = F.col(id_col).cast("long")
+    # Null ids are told by themselves: as one key they would land in one task.
+    again = written(linked.where("doc_id is not null").groupBy(F.col("doc_id").alias("__again")).agg(F.count("*").alias("n")).where("n > 1").select("__again"), "jaccard-again")
+    repeats, nulls = again.count(), not linked.where("doc_id is null").isEmpty()
+    found = written(linked.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "jaccard-gone")
     gone = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    if not repeats and not nulls:
+        return docs.join(gone, ids == gone["__gone"], "left_anti")
+
+    few = F.broadcast(again) if repeats <= BROADCAST_ROWS else again
+    unclear = docs.where(ids.isNull()).unionByName(docs.join(few, ids == few["__again"], "left_semi"))
+    clear = docs.where(ids.isNotNull()).join(few, ids == few["__again"], "left_anti").join(gone, ids == gone["__gone"], "left_anti")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    unclear = written(unclear.select(row, ids.alias("__id"), sid_of(F.col(text_col)).alias("__sid"), F.xxhash64(text_col).alias("__text")), "jaccard-unclear")
+    apart = unclear.where("__sid is null").select("__row.*")
+    sets = by_set.join(unclear.select(F.col("__sid").alias("sid")).where("sid is not null").distinct(), "sid", "left_semi")
+    least = unclear.join(sets, F.col("__sid") == F.col("sid")).where("__id <=> component_id").groupBy("label").agg(F.min_by("__row", F.struct("__sid", "__text")).alias("__row"))
+    return clear.unionByName(apart).unionByName(least.select("__row.*"))

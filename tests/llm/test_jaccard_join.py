@@ -59,3 +59,21 @@ def test_keep_first(near_docs, empty_docs):
     kept = jaccard_join.keep_first(near_docs)
     assert kept.columns == near_docs.columns and {r["doc_id"] for r in kept.collect()} == want
     assert jaccard_join.link_components(empty_docs).count() == 0
+
+
+def test_keep_first_decides_by_row(spark):
+    text = lambda name: " ".join(f"{name}{i}" for i in range(60))
+    near = lambda name: text(name) + " more"
+    rows = [
+        *[(1, text("a"), "1"), (1, text("a"), "2"), (2, near("a"), "3"), (5, near("a"), "4"), (None, text("a").upper(), "5")],
+        *[(5, text("b"), "6"), (6, text("b"), "7")],
+        *[(None, text("c"), "8"), (None, text("c"), "9"), (None, near("c"), "10")],
+        *[(7, "", "11"), (7, " ", "12"), (None, None, "13")],
+        *[(8, text("d"), "14"), (8, near("d"), "15"), (8, text("e"), "16"), (9, text("f"), "17"), (None, text("g"), "18"), (10, text("f"), "19")],
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `odd.name` string")
+    kept = jaccard_join.keep_first(docs)
+    assert kept.columns == docs.columns
+    got = sorted(int(r["odd.name"]) for r in kept.collect())
+    groups = [{1, 2}, {6}, {8, 9, 10}, {11}, {12}, {13}, {14, 15}, {16}, {17}, {18}]
+    assert len(got) == len(groups) and all(len(g & set(got)) == 1 for g in groups)
