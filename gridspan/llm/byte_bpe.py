@@ -66,7 +66,8 @@ def _batches(rows: Iterator[tuple[tuple, int]], schema: pa.Schema) -> Iterator[p
 def encode_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None, pattern: str = public_tokenizers.PATTERN, offsets: bool = False) -> DataFrame:
     """doc_id, n_tokens and ids (little-endian unsigned 32-bit integers); with ``offsets`` also token_start and token_end in characters.
 
-    Null text is empty text: no ids. Null ids and repeated rows are kept, other columns are not carried along.
+    Null text is empty text: no ids. Null ids and repeated rows are kept; other columns, whatever their names, are not carried
+    along; an empty table gives no rows. Texts of any length are encoded whole, one at a time.
     """
     path = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())]
@@ -95,7 +96,11 @@ def encode_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def decode_documents(encoded: DataFrame, *, id_col: str = "doc_id", ids_col: str = "ids", ranks: str | None = None, pattern: str = public_tokenizers.PATTERN, pieces: bool = False) -> DataFrame:
-    """doc_id, ids and the decoded bytes; with ``pieces`` also the text of each token. Null ids decode to no bytes."""
+    """doc_id, ids and the decoded bytes; with ``pieces`` also the text of each token.
+
+    Null or empty ids decode to no bytes. A null doc_id and repeated rows are kept; other columns, whatever their names, are not
+    carried along; an empty table gives no rows. Ids of any number are decoded whole; an id outside of the table is an error.
+    """
     path = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
     fields = [("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())] + ([("pieces", pa.list_(pa.string()))] if pieces else [])
     schema = pa.schema(fields)

@@ -7,7 +7,10 @@ hold few of their terms: those survive edits. Only these are compared; denser on
 
 Document frequencies are counted over all documents: each task sums its own before the shuffle. The
 lexicon is broadcast; a term in it occurs in at least ``least`` of all documents, so it has at most
-(mean distinct terms of a document) / ``least`` entries, however large the corpus.
+(mean distinct terms of a document) / ``least`` entries, however large the corpus. With a mean of 500 terms that
+is 500,000 entries at most: 4 MB broadcast, and in each Python worker a dictionary and a table of subsets of some 100 MB.
+
+A document without a term in the lexicon takes all its terms in their place, in the subsets of the first size.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .histogram_sort import written
+from .vocab import BoundedMemo
 
 #: Share of documents that hold a term: the band of inverse document frequencies is -log of these.
 LEAST, MOST = 0.001, 0.1
@@ -33,21 +37,17 @@ COPIES = 4
 DENSER = 3
 SEED = 20240229
 EDGES = b".,;:!?()[]{}|\"'"
-MEMO_ENTRIES = 400_000
 COUNT_ENTRIES = 500_000
 HEX = 8
 EMPTY = "0" * HEX
 
 
-class TermMemo(dict):
+class TermMemo(BoundedMemo):
     """A chunk between ASCII white space -> the 64-bit hash of its term: lower case in ASCII, no edge punctuation; 0 for none."""
 
-    def __missing__(self, chunk: bytes) -> int:
-        if len(self) > MEMO_ENTRIES:
-            self.clear()
+    def compute(self, chunk: bytes) -> int:
         term = chunk.strip(EDGES).lower()
-        value = self[chunk] = xxhash.xxh64_intdigest(term, SEED) - (1 << 63) if term else 0
-        return value
+        return xxhash.xxh64_intdigest(term, SEED) - (1 << 63) if term else 0
 
     def terms(self, data: bytes) -> set[int]:
         found = set(map(self.__getitem__, set(data.split())))
@@ -142,7 +142,11 @@ def likeness(a: str, b: str) -> float:
 
 
 def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lexicon: np.ndarray | None = None) -> DataFrame:
-    """doc_id and fingerprint of each row. Equal texts have equal fingerprints; null and empty texts have all zeros. Other columns are not carried along."""
+    """doc_id and fingerprint of each row. Equal texts have equal fingerprints; null and empty texts have all zeros.
+
+    Null ids and repeated rows are kept; an empty table gives no rows; very long texts are read whole. Other columns, whatever
+    their names, are not carried along.
+    """
     chosen = lexicon_of(docs, text_col=text_col) if lexicon is None else lexicon
     shared = docs.sparkSession.sparkContext.broadcast(chosen)
     schema = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.string())])
@@ -191,9 +195,11 @@ def _compared(of: Fingerprinter, doc_id, text: str, own: str, after: str, after_
 def compare_with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lexicon: np.ndarray | None = None) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row.
 
-    The next document is the one with the next higher id, ties by text, null ids first; after the last comes the first,
-    and a single document is its own next one. Texts are dealt once, by ranges of ids, and each task walks its range in
-    order. The last row of a range waits for the first of the next one; those two rows per task are written with
+    The next document is the one with the next higher id, ties by hash of the text, null ids first; after the last comes the
+    first, and a single document is its own next one. Null and empty texts have no terms; repeated rows follow one another; an
+    empty table gives no rows; very long texts are read whole; other columns, whatever their names, are not carried along.
+    Texts are dealt once, by ranges of ids and text hashes, so that one id in many rows is divided too, and each task walks its
+    range in order. The last row of a range waits for the first of the next one; those two rows per task are written with
     their texts and joined afterwards.
     """
     spark = docs.sparkSession
@@ -221,7 +227,8 @@ def compare_with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    walked = written(texts.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(walk, COMPARED_DDL), "imatch-ranges")
+    order = [F.col("doc_id"), F.xxhash64("text")]
+    walked = written(texts.repartitionByRange(parts, *order).sortWithinPartitions(*order, "text").mapInArrow(walk, COMPARED_DDL), "imatch-ranges")
 
     filled = sorted(r[0] for r in walked.where("edge = 'first'").select("part").collect())
     following = spark.createDataFrame([(p, filled[(i + 1) % len(filled)]) for i, p in enumerate(filled)], "part int, next_part int")

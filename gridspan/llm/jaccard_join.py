@@ -31,7 +31,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +39,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .histogram_sort import written
+from .histogram_sort import discard, written
+from .vocab import BoundedMemo
 
 WORDS, PERCENT = 5, 75
 #: Greatest boundary tried between light and heavy sets.
@@ -51,21 +51,23 @@ BATCH_COUNT, LATE_COUNT = 2, 8
 LATE_ENTRIES = 1_000_000
 #: Up to so many rows of numbers are broadcast; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BYTES = np.random.default_rng(20240229).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Members of a list that one task pairs; longer lists are dealt into blocks of this size.
+BLOCK = 4_000
 #: Words of 64 bits in a sketch, the shortest signature.
 SKETCH = 8
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Shingles gathered before they are counted or sent on.
 CHUNK = 2_000_000
 
 
-@lru_cache(maxsize=1)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-    up, down = np.full(size, _BASE), np.full(size, inverse)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
+class WordHashes(BoundedMemo):
+    """A word -> its 64-bit hash."""
+
+    def compute(self, word: bytes) -> int:
+        return xxhash.xxh3_64_intdigest(word)
+
+
+_words = WordHashes()
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -79,14 +81,13 @@ def shingles(data: bytes, width: int = WORDS) -> np.ndarray:
     words = data.lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    plain = np.frombuffer(b" ".join(words) + b" ", np.uint8)
-    up, down = _powers(1 << max(16, (len(plain) + 1).bit_length()))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES[plain] * up[: len(plain)])))
-    ends = np.flatnonzero(plain == 32)
-    starts = np.concatenate((np.zeros(1, np.int64), ends[:-1] + 1))
-    runs = max(1, len(words) - width + 1)
-    first, last = starts[:runs], ends[min(width, len(words)) - 1 :]
-    return np.unique(_mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64)))
+    own = np.array([_words[w] for w in words], np.uint64)
+    width = min(width, len(words))
+    # The number of words is part of a run, so that a short text's only run is no other text's.
+    run = np.full(len(words) - width + 1, width, np.uint64)
+    for k in range(width):
+        run = _mix(run * _STEP + own[k : k + len(run)])
+    return np.unique(run)
 
 
 def set_id(hashes: np.ndarray) -> int:
@@ -270,6 +271,15 @@ def can_match(x: Column, y: Column, percent: int = PERCENT) -> Column:
     return (F.least(n - i, m - j) >= common) & (100 * F.least(n, m) >= percent * F.greatest(n, m))
 
 
+def blocks_of(members: Column) -> Column:
+    """Into how many blocks a list is dealt."""
+    return F.ceil(members / BLOCK).cast("int")
+
+
+def block_of(sid: Column, blocks: Column) -> Column:
+    return F.pmod(F.xxhash64(sid), blocks).cast("int")
+
+
 def full_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """sid and hashes of the sets whose sid is in ``wanted``, once each. ``wanted`` has with each sid the least id of a document that has that set.
 
@@ -340,7 +350,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = near.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("w"), "u", "m")
-        edges = written(small.select(F.col("w").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "components")
+        before, edges = edges, written(small.select(F.col("w").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "components")
+        discard(before)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == mark:
             return edges.select(F.col("u").alias("sid"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("sid"), F.col("v").alias("label")).distinct())
@@ -352,7 +363,8 @@ def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Null, empty and blank texts have no shingles and no links. A null id is never a component's name while the component has
     another; rows that repeat an id or a text get a row each. An empty table gives no rows. Sets are told apart by a
-    64-bit hash. Other columns are not carried along.
+    64-bit hash, and so are words and shingles. Very long texts have as many shingles as they have, none left out. Other
+    columns, whatever their names, are not carried along.
     """
     return _linked(docs, id_col, text_col)[0]
 
@@ -377,8 +389,9 @@ def _linked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
 
     entry = F.struct("sid", "place")
     hubs = written(lists.groupBy("key").agg(F.min(entry).alias("low"), F.max(entry).alias("high"), F.count("*").alias("members")), "jaccard-hubs")
-    member = lists.join(hubs.where("members > 2").select("key", "low", "high"), "key").withColumn("own", entry)
-    by_size, by_sid = Window.partitionBy("key").orderBy("place", "sid"), Window.partitionBy("key").orderBy("sid")
+    # A long list is chained by blocks, each with neighbours of its own: which pairs come first changes the cost, never the result.
+    member = lists.join(hubs.where("members > 2").select("key", "low", "high", blocks_of(F.col("members")).alias("blocks")), "key").withColumns({"own": entry, "block": block_of(F.col("sid"), F.col("blocks"))})
+    by_size, by_sid = Window.partitionBy("key", "block").orderBy("place", "sid"), Window.partitionBy("key", "block").orderBy("sid")
     chained = member.withColumns({f"after{k}": F.lag("own", k).over(by_size) for k in (1, 2)} | {f"near{k}": F.lag("own", k).over(by_sid) for k in (1, 2)})
     # One pass gives a member's pairs with its hubs and neighbours; those that cannot match never become rows.
     others = F.filter(F.array("low", "high", "after1", "after2", "near1", "near2"), lambda x: x.isNotNull() & (x["sid"] != F.col("sid")) & can_match(F.col("place"), x["place"]))
@@ -392,12 +405,16 @@ def _linked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
 
     # Lists of up to three sets have had all their pairs compared.
     open_lists = lists.join(hubs.where("members > 3").select("key"), "key").join(labels, "sid", "left").select("key", "sid", "place", F.coalesce("label", "sid").alias("label"))
-    mixed = open_lists.groupBy("key").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p < q").select("key")
-    rest = written(open_lists.join(mixed, "key").join(classes.select("sid", "sketch"), "sid"), "jaccard-rest")
+    mixed = open_lists.groupBy("key").agg(F.min("label").alias("p"), F.max("label").alias("q"), F.count("*").alias("members")).where("p < q").select("key", blocks_of(F.col("members")).alias("blocks"))
+    # A long list is dealt into blocks, and each pair of blocks is a list: a pair of entries meets in the one of its own two blocks.
+    dealt = open_lists.join(mixed, "key").withColumn("block", block_of(F.col("sid"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sid", "place", "label")
+    rest = written(dealt.join(classes.select("sid", "sketch"), "sid"), "jaccard-rest")
     different = sum((F.bit_count(F.get("x.sketch", F.lit(i)).bitwiseXOR(F.get("y.sketch", F.lit(i)))) for i in range(SKETCH)), F.lit(0))
     total = F.shiftright("x.place", 32) + F.shiftright("y.place", 32)
     near = 100 * (total - different) >= PERCENT * (total + different)
-    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.label") != F.col("y.label")) & can_match(F.col("x.place"), F.col("y.place")) & near
+    own_blocks = (F.least("x.block", "y.block") == F.col("x.i")) & (F.greatest("x.block", "y.block") == F.col("x.j"))
+    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j")) & own_blocks & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.label") != F.col("y.label")) & can_match(F.col("x.place"), F.col("y.place")) & near
     across = written(rest.alias("x").join(rest.alias("y"), meet).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "jaccard-across")
     if not across.isEmpty():
         more = written(verified(across, classes, texts), "jaccard-links")
@@ -424,7 +441,9 @@ def sid_of(text: Column) -> Column:
 
 
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each component one row, one with the least id, with the columns of ``docs``. Rows without shingles stay.
+    """Of each component one row, one with the least id, with the columns of ``docs``. Rows without shingles (null, empty and blank texts) stay.
+
+    An empty table stays empty.
 
     Where an id is null or in several rows, the set decides which component a row belongs to. Rows of a component that share its
     least id go but for the one of least set and text hash; null ids come last.

@@ -98,13 +98,15 @@ def step_groups(windows: list[tuple[int, list[tuple]]], step_tokens: int) -> lis
     return out
 
 
-def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 2, tiers: tuple[int, ...] = TIERS, step_tokens: int = 32 * 4096) -> DataFrame:
+def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 2, tiers: tuple[int, ...] = TIERS, step_tokens: int = 32 * 4096, spell_special: bool = False) -> DataFrame:
     """One row per piece of a document: where it starts in the document, and in which sequence at which offset it lies.
 
     ``tiers`` are window sizes, powers of two. Null and empty texts are ``end_id`` alone; a null id stays
-    null; repeated rows are packed once each; other columns are not carried along. An empty table gives no rows. ``sequence_id`` and
+    null; repeated rows are packed once each; other columns, whatever their names, are not carried along. An empty table gives
+    no rows. A text of any length is cut into pieces of the longest window and a rest. ``sequence_id`` and
     ``step_group`` hold the task's number in their upper bits: unique, not gapless. A step group holds windows of
-    one tier with ``step_tokens`` tokens at most, and at least one window.
+    one tier with ``step_tokens`` tokens at most, and at least one window. Texts that hold a special token's string get that
+    token, as the tokenizer does when loaded; ``spell_special`` spells such strings out, so that texts can't forge them.
     """
     if any(t < 1 or t & (t - 1) for t in tiers):
         raise ValueError("tiers must be powers of two")
@@ -112,7 +114,7 @@ def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     end = end_id.to_bytes(4, "little")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, packer = word_memo(path), TierPacker(tiers)
+        memo, packer = word_memo(path, spell_special), TierPacker(tiers)
         context = TaskContext.get()
         sequence = group = (context.partitionId() if context else 0) << 33
 

@@ -1,7 +1,8 @@
 """Personal data: patterns propose spans, checksums confirm them, nearby context words adjust the score.
 
 Each pattern runs once over a text. Where it matches, the text is split at the matches, and the running
-lengths of the pieces give the spans in code points. No shuffle; no Python.
+lengths of the pieces give the spans in code points. Context and redaction cut from the text as UTF-32, where a
+code point has a place of its own, so that cost grows with the spans and not with their square. No shuffle; no Python.
 """
 
 from __future__ import annotations
@@ -90,19 +91,57 @@ def accepted(kind: str, found: Column) -> Column:
     return F.lit(True)
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once: a lambda's variable is bound, where a repeated column would be computed anew for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+#: Elements that one fold appends to; a longer array is folded by blocks, since each append copies the array so far.
+BLOCK = 256
+
+
+def _fold(xs: Column, first: Column, merge) -> Column:
+    """first, then first merged with each of the elements in turn."""
+    return F.aggregate(xs, F.array(first), lambda done, x: F.concat(done, F.array(merge(F.element_at(done, -1), x))))
+
+
+def running(xs: Column, zero: Column, merge) -> Column:
+    """For each element of an array, ``zero`` merged with all elements before it. ``merge`` must be associative."""
+
+    def over(xs):
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / BLOCK).cast("int")), lambda k: F.slice(xs, k * BLOCK + 1, F.lit(BLOCK)))
+        return let(blocks, lambda blocks: let(_fold(F.transform(blocks, lambda b: F.aggregate(b, zero, merge)), zero, merge), lambda before: F.flatten(F.transform(blocks, lambda b, k: F.slice(_fold(b, F.get(before, k), merge), 1, F.size(b))))))
+
+    return F.when(F.size(xs) == 0, F.slice(xs, 1, 0)).otherwise(let(xs, over))
+
+
+def _cut(utf32: Column, start: Column, n: Column) -> Column:
+    """n code points from place ``start``."""
+    return F.decode(F.substring(utf32, (4 * start + 1).cast("int"), (4 * n).cast("int")), "UTF-32")
+
+
+def _zero() -> Column:
+    return F.lit(0).cast("bigint")
+
+
 def spans_of(clean: Column, kind: Kind) -> Column:
     """Accepted spans of one kind in a text that has no MARK."""
     parts = F.split(F.regexp_replace(clean, f"({kind.pattern})", f"{MARK}$1{MARK}"), MARK)
-    found = F.aggregate(
-        F.transform(parts, lambda p, i: F.struct(p.alias("text"), F.length(p).cast("bigint").alias("n"), (i % 2 == 1).alias("hit"))),
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<text:string,start:bigint,end:bigint>>").alias("spans")),
-        lambda a, p: F.struct((a["at"] + p["n"]).alias("at"), F.when(p["hit"], F.concat(a["spans"], F.array(F.struct(p["text"].alias("text"), a["at"].alias("start"), (a["at"] + p["n"]).alias("end"))))).otherwise(a["spans"]).alias("spans")),
-        lambda a: a["spans"],
-    )
-    kept = F.filter(found, lambda s: accepted(kind.name, s["text"]))
     sure = kind.base_score + (CHECKED if kind.name in ("card", "iban") else 0)
-    near = lambda s: F.lower(F.concat(F.substring(clean, F.greatest(s["start"] - NEAR + 1, F.lit(1)).cast("int"), F.least(s["start"], F.lit(NEAR)).cast("int")), F.lit(" "), F.substring(clean, (s["end"] + 1).cast("int"), F.lit(NEAR))))
-    return F.transform(kept, lambda s: F.struct(F.lit(kind.name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), (F.lit(sure) + F.when(near(s).rlike(kind.context), CONTEXT).otherwise(0.0)).alias("score")))
+
+    def judge(parts):
+        starts = running(F.transform(parts, lambda p: F.length(p).cast("bigint")), _zero(), lambda a, n: a + n)
+        placed = F.zip_with(parts, starts, lambda p, at: F.struct(p.alias("text"), at.alias("start"), (at + F.length(p)).cast("bigint").alias("end")))
+        return F.filter(F.filter(placed, lambda _, i: i % 2 == 1), lambda s: accepted(kind.name, s["text"]))
+
+    def score(kept):
+        def of(wide):
+            near = lambda s: F.lower(F.concat(_cut(wide, F.greatest(s["start"] - NEAR, _zero()), F.least(s["start"], F.lit(NEAR))), F.lit(" "), _cut(wide, s["end"], F.lit(NEAR))))
+            return F.transform(kept, lambda s: F.struct(F.lit(kind.name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), (F.lit(sure) + F.when(near(s).rlike(kind.context), CONTEXT).otherwise(0.0)).alias("score")))
+
+        return F.when(F.size(kept) == 0, F.array().cast(SPAN)).otherwise(let(F.encode(clean, "UTF-32"), of))
+
+    return let(let(parts, judge), score)
 
 
 def _without(text: Column, kind: Kind) -> Column:
@@ -110,42 +149,50 @@ def _without(text: Column, kind: Kind) -> Column:
     return ~F.contains(text, F.lit(kind.needs)) if kind.needs else ~text.rlike(kind.pattern)
 
 
+def personal_spans(text: Column, kinds: tuple[Kind, ...] = KINDS) -> Column:
+    """Spans of all kinds in a text; null has none."""
+    text = F.coalesce(text, F.lit(""))
+    clean = F.translate(text, MARK, STAND_IN)
+    none = F.array().cast(SPAN)
+    return F.concat(*[F.when(_without(text, k), none).otherwise(spans_of(clean, k)).cast(SPAN) for k in kinds])
+
+
 def find_personal_data(docs: DataFrame, *, text_col: str = "text", spans_col: str = "pii_spans", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """``docs`` plus an array of struct(kind, start, end, score): by kind as listed, then start; code points from 0, end exclusive.
 
-    A column of the same name as ``spans_col`` is replaced. Null and empty texts have no spans. Spans of different kinds may overlap.
+    A column of the same name as ``spans_col`` is replaced; others stay, whatever their names. Null and empty texts have no
+    spans. Repeated rows get the same spans each; an empty table stays empty. Spans of different kinds may overlap. A text may
+    be of any length that Spark holds: cost is linear in it, and nearly so in its spans.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    clean = F.translate(text, MARK, STAND_IN)
-    none = F.array().cast(SPAN)
-    each = [F.when(_without(text, k), none).otherwise(spans_of(clean, k)).cast(SPAN) for k in kinds]
-    return docs.withColumn(spans_col, F.concat(*each))
+    return docs.withColumn(spans_col, personal_spans(F.col(text_col), kinds))
 
 
-def merged(spans: Column) -> Column:
-    """Spans by start, overlapping ones as one that has the name of the first."""
+def _rebuilt(text: Column, spans: Column) -> Column:
+    """The text with spans as their kind in angle brackets; spans that overlap are one, of the kind that begins first."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    kind = "array<struct<start:bigint,end:bigint,kind:string>>"
-    return F.aggregate(
-        ordered,
-        F.array().cast(kind),
-        lambda done, s: F.when((F.size(done) > 0) & (s["start"] < F.try_element_at(done, F.lit(-1))["end"]), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(done, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(done, F.lit(-1))["end"], s["end"]).alias("end"), F.try_element_at(done, F.lit(-1))["kind"].alias("kind"))))).otherwise(F.concat(done, F.array(s))).cast(kind),
-    )
+
+    def of(ordered):
+        done = running(F.transform(ordered, lambda s: s["end"]), _zero(), lambda a, x: F.greatest(a, x))
+        # ``done``: where all spans before end. A span from there on begins a new piece, after the text in between.
+        heads = F.filter(F.zip_with(ordered, done, lambda s, done: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), done.alias("done"))), lambda s: s["start"] >= s["done"])
+        last = F.array_max(F.transform(ordered, lambda s: s["end"]))
+        return let(
+            F.encode(text, "UTF-32"),
+            lambda wide: F.concat(F.array_join(F.transform(heads, lambda s: F.concat(_cut(wide, s["done"], s["start"] - s["done"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))), ""), _cut(wide, last, F.floor(F.octet_length(wide) / 4) - last)),
+        )
+
+    return let(ordered, of)
 
 
 def redact(docs: DataFrame, *, text_col: str = "text", least: float = 0.5, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
-    """``docs`` with each span of at least ``least`` replaced by its kind in angle brackets; null texts stay null, other texts keep every other character."""
-    hidden = "__pii_spans"
-    found = find_personal_data(docs, text_col=text_col, spans_col=hidden, kinds=kinds)
+    """``docs`` with each span of at least ``least`` replaced by its kind in angle brackets; all other characters and columns stay.
+
+    Null texts stay null and empty ones empty. Repeated rows are redacted alike; an empty table stays empty. Spans that overlap
+    become one, of the kind that begins first. Very long texts and texts of very many spans take time in proportion.
+    """
     text = F.col(text_col)
-    spans = merged(F.filter(hidden, lambda s: s["score"] >= least))
-    rebuilt = F.aggregate(
-        spans,
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("text")),
-        lambda a, s: F.struct(s["end"].alias("at"), F.concat(a["text"], F.substring(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit("<"), F.upper(s["kind"]), F.lit(">")).alias("text")),
-        lambda a: F.concat(a["text"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))),
-    )
-    return found.withColumn(text_col, F.when(F.size(hidden) == 0, text).otherwise(rebuilt)).drop(hidden)
+    spans = F.filter(personal_spans(text, kinds), lambda s: s["score"] >= least)
+    return docs.withColumn(text_col, let(spans, lambda spans: F.when(F.size(spans) == 0, text).otherwise(_rebuilt(text, spans))))
 
 
 def span_list(spans: Column, kinds: tuple[str, ...] | None = None) -> Column:

@@ -122,10 +122,17 @@ def quality_of(text: Column, bands: Bands | None = None) -> Column:
 
 
 def score_quality(docs: DataFrame, *, text_col: str = "text", quality_col: str = "quality_report", bands: Bands | None = None) -> DataFrame:
-    """``docs`` plus the struct ``quality_of`` its text; a column of the same name is replaced. Repeated rows get the same verdict each."""
+    """``docs`` plus the struct ``quality_of`` its text.
+
+    A column of the same name is replaced, others stay. Null and empty texts have counts of 0 and fail. Repeated rows get the
+    same verdict each; an empty table stays empty. Texts of any length are measured whole, one at a time.
+    """
     return docs.withColumn(quality_col, quality_of(F.col(text_col), bands))
 
 
 def keep_good(docs: DataFrame, *, text_col: str = "text", bands: Bands | None = None) -> DataFrame:
-    """The rows of ``docs`` that no rule rejects, with their columns as they were."""
+    """The rows of ``docs`` that no rule rejects, with their columns as they were, whatever their names.
+
+    Null and empty texts go. Repeated rows stay or go together; an empty table stays empty; very long texts are judged whole.
+    """
     return docs.where(quality_of(F.col(text_col), bands)["kept"])

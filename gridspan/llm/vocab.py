@@ -16,8 +16,8 @@ from tokenizers import Regex, Tokenizer
 from tokenizers.models import BPE
 from tokenizers.pre_tokenizers import Split
 
-#: Entries a memo may hold before it starts afresh; bounds a worker's memory to about 80 MB.
-MEMO_ENTRIES = 400_000
+#: Bytes that a memo may hold, an entry's objects counted with ENTRY_BYTES; longer keys than LONGEST_KEY are not kept.
+MEMO_BYTES, ENTRY_BYTES, LONGEST_KEY = 80 << 20, 200, 64
 EDGE_MARKS = frozenset(b".,;:!?")
 # Letters of these ranges are in NFC, are \p{L} in every Unicode version and have one-to-one lower case.
 PLAIN_WORD = re.compile(r"[A-Za-zÀ-ÖØ-Þß-öø-ÿ]+").fullmatch
@@ -47,43 +47,70 @@ def pack_ids(ids) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
 
-class WordMemo(dict):
+class BoundedMemo(dict):
+    """key -> ``compute(key)`` for keys of up to LONGEST_KEY bytes or characters, in two generations of half of MEMO_BYTES.
+
+    A full generation becomes the older one, and the one before it goes; entries that are used again move up, so frequent ones stay.
+    """
+
+    held = 0
+
+    def __init__(self):
+        self.older: dict = {}
+
+    def compute(self, key):
+        raise NotImplementedError
+
+    def __missing__(self, key):
+        if (value := self.older.get(key)) is None:
+            value = self.compute(key)
+        if len(key) <= LONGEST_KEY:
+            self.held += len(key) + ENTRY_BYTES + (len(value) if isinstance(value, bytes) else 0)
+            if self.held > MEMO_BYTES // 2:
+                self.older, self.held = dict(self), 0
+                self.clear()
+            self[key] = value
+        return value
+
+
+class WordMemo(BoundedMemo):
     """bytes of a chunk without ASCII white space -> its ids as little-endian unsigned 32-bit integers.
 
     For tokenizers that drop white space: no token crosses it, so a text's ids are those of its chunks.
     A plain word goes to the BPE model in lower case at once; one final punctuation mark after a plain
-    word is a pre-token of its own; everything else takes the library's whole chain.
+    word is a pre-token of its own; everything else takes the library's whole chain. ``spell`` spells out
+    what looks like a special token; without it such a string becomes that token, as the library does by itself.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, spell: bool = False):
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = spell
         self.model = self.tokenizer.model
+        # Special tokens that hold white space would be cut at it.
+        self.whole_texts = not spell and any(t.special and set(t.content) & set(" \t\n\r\v\f") for t in self.tokenizer.get_added_tokens_decoder().values())
 
-    def __missing__(self, chunk: bytes) -> bytes:
+    def compute(self, chunk: bytes) -> bytes:
         text = chunk.decode("utf-8", "replace")
         if PLAIN_WORD(text):
             low = text.lower()
-            ids = self[low.encode()] if low != text else pack_ids([t.id for t in self.model.tokenize(as_alphabet(chunk))])
-        elif chunk[-1] in EDGE_MARKS and PLAIN_WORD(text[:-1]):
-            ids = self[chunk[:-1]] + self[chunk[-1:]]
-        else:
-            ids = self._whole(text)
-        self[chunk] = ids
-        return ids
+            return self[low.encode()] if low != text else pack_ids([t.id for t in self.model.tokenize(as_alphabet(chunk))])
+        if chunk[-1] in EDGE_MARKS and PLAIN_WORD(text[:-1]):
+            return self[chunk[:-1]] + self[chunk[-1:]]
+        return self._whole(text)
 
     def _whole(self, text: str) -> bytes:
         return pack_ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def encode(self, data: bytes) -> bytes:
-        if len(self) > MEMO_ENTRIES:
-            self.clear()
+        if self.whole_texts:
+            return self._whole(data.decode("utf-8", "replace"))
         return b"".join(map(self.__getitem__, data.split()))
 
 
 @lru_cache(maxsize=2)
-def word_memo(path: str) -> WordMemo:
-    return WordMemo(path)
+def word_memo(path: str, spell: bool = False) -> WordMemo:
+    return WordMemo(path, spell)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -102,6 +129,17 @@ def merges_of(ranks: dict[bytes, int]) -> list[tuple[bytes, bytes]]:
     return pairs
 
 
+class ChunkMemo(BoundedMemo):
+    """A chunk between cuts -> its ids, with a blank before it or none."""
+
+    def __init__(self, bpe: ByteBpe, blank: str):
+        super().__init__()
+        self.bpe, self.blank = bpe, blank
+
+    def compute(self, chunk: str) -> bytes:
+        return self.bpe.chunk(chunk, self.blank)
+
+
 class ByteBpe:
     """A byte-level BPE from a rank file: encoding, the byte table for decoding, and character offsets."""
 
@@ -117,36 +155,24 @@ class ByteBpe:
         self.table: list[bytes] = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.table[rank] = token
-        self.first: dict[str, bytes] = {}
-        self.after_blank: dict[str, bytes] = {}
+        self.first, self.after_blank = ChunkMemo(self, ""), ChunkMemo(self, " ")
 
     def _match(self, piece: str) -> bytes:
         return pack_ids([t.id for t in self.model.tokenize(as_alphabet(piece.encode("utf-8")))])
 
-    def _chunk(self, chunk: str, blank: str) -> bytes:
+    def chunk(self, chunk: str, blank: str) -> bytes:
+        if not chunk:
+            return b""
         if PLAIN_WORD(chunk):
             return self._match(blank + chunk)
         if ord(chunk[-1]) < 128 and ord(chunk[-1]) in EDGE_MARKS and PLAIN_WORD(chunk[:-1]):
-            return self._memo(chunk[:-1], blank) + self._memo(chunk[-1], "")
+            return (self.after_blank if blank else self.first)[chunk[:-1]] + self.first[chunk[-1]]
         return b"".join(self._match(piece) for piece, _ in self.splitter.pre_tokenize_str(blank + chunk))
 
-    def _memo(self, chunk: str, blank: str) -> bytes:
-        memo = self.after_blank if blank else self.first
-        if (ids := memo.get(chunk)) is None:
-            ids = memo[chunk] = self._chunk(chunk, blank)
-        return ids
-
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if len(self.after_blank) + len(self.first) > MEMO_ENTRIES:
-            self.after_blank.clear()
-            self.first.clear()
         head, *rest = self.cut(text)
-        known, out = self.after_blank.get, [self._memo(head, "")]
-        out += [known(chunk) or self._memo(chunk, " ") for chunk in rest]
-        return b"".join(out)
+        return self.first[head] + b"".join(map(self.after_blank.__getitem__, rest))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.table.__getitem__, ids))

@@ -77,3 +77,32 @@ def test_keep_first_decides_by_row(spark):
     got = sorted(int(r["odd.name"]) for r in kept.collect())
     groups = [{1, 2}, {6}, {8, 9, 10}, {11}, {12}, {13}, {14, 15}, {16}, {17}, {18}]
     assert len(got) == len(groups) and all(len(g & set(got)) == 1 for g in groups)
+
+
+def test_words_of_like_structure_are_told_apart(spark):
+    # Words over two letters that polynomial hashes modulo a power of two confuse, whatever their base.
+    a = "a"
+    while len(a) < 2048:
+        a += a.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, f"one two {a} four five"), (2, f"one two {a.translate(str.maketrans('ab', 'ba'))} four five")], "doc_id long, text string")
+    assert sorted(tuple(r) for r in jaccard_join.link_components(docs).collect()) == [(1, 1, 1), (2, 1, 2)]
+
+
+def test_a_list_of_very_many_sets_is_dealt_into_blocks(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    shared = [f"s{i}" for i in range(40)]
+    rows = []
+    for group in range(60):
+        own = [f"g{group}w{i}" for i in range(70)]
+        for k in range(10):
+            words = shared + own[: 60 + k]
+            words[rng.randrange(45, 95)] = f"x{group}y{k}"
+            rows.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    monkeypatch.setattr(jaccard_join, "BLOCK", 7)
+    monkeypatch.setattr(jaccard_join, "LATE_COUNT", 10**9)
+    want = naive([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert sorted((tuple(r) for r in jaccard_join.link_components(docs).collect()), key=repr) == want
+    assert len({c for _, _, c in want}) < 300

@@ -35,7 +35,6 @@ def test_packing(docs):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
     want = Counter((i, np.array([*tok.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()) for i, t in pairs(docs))
     pieces = packing.pack_documents(docs).collect()
     by_sequence, tokens = defaultdict(list), Counter()
@@ -54,6 +53,33 @@ def test_packing(docs):
         assert sum(p["length"] for p in pieces if p["doc_id"] == doc_id) == sum(len(i) // 4 * m for (d, i), m in want.items() if d == doc_id), n
 
 
+def test_packing_special_strings(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["a<|endoftext|>b", "<|startoftext|> x", "<|end oftext|>"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for spell in (False, True):
+        tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+        tok.encode_special_tokens = spell
+        got = defaultdict(bytes)
+        for p in packing.pack_documents(df, spell_special=spell).orderBy("doc_id", "start").collect():
+            got[p["doc_id"]] += p["ids"]
+        assert got == {i: np.array([*tok.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes() for i, t in enumerate(texts)}
+
+
+def test_memos_are_bounded(monkeypatch):
+    from gridspan.llm import vocab
+
+    monkeypatch.setattr(vocab, "MEMO_BYTES", 100_000)
+    memo = vocab.WordMemo(public_tokenizers.path("word_bpe_49k.json"))
+    want = {w: memo.compute(w) for w in [f"w{i}".encode() for i in range(900)]}
+    for w, ids in [*want.items()] * 2:
+        assert memo[w] == ids
+        assert (len(memo) + len(memo.older)) * vocab.ENTRY_BYTES <= 100_000
+    memo[b"x" * 65]
+    assert b"x" * 65 not in memo
+
+
 def test_packing_rest_and_groups():
     packer = packing.TierPacker((4, 8))
     for i, n in enumerate([8, 7, 5, 3, 3, 2, 1, 20]):
@@ -121,7 +147,39 @@ def test_histogram_sort(docs):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert set(slots) <= set(range(24))
     biggest = max(len((r["text"] or "").encode()) for r in rows) + 8
-    assert max(sizes.values()) <= sum(sizes.values()) / 24 * 1.001 + biggest
+    share = sum(sizes.values()) / 24
+    assert max(sizes.values()) <= share * 1.001 + biggest
+    assert all(sizes[k] >= share * 0.999 - 2 * biggest for k in range(24))
+
+
+def test_histogram_sort_keeps_order_over_many_partitions(spark, documents):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "211")
+    try:
+        few = documents.select("doc_id", "text")
+        copies = few.unionByName(few.where("doc_id < 40").withColumn("doc_id", F.col("doc_id") + 10**9)).unionByName(few.where("doc_id < 5").withColumn("doc_id", F.lit(None).cast("long")))
+        rows = histogram_sort.histogram_shards(copies, 24).select("shard", "slot", "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("high")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    rows.sort(key=lambda r: (r["shard"], r["slot"]))
+    keys = [(r["high"], r["doc_id"] is not None, r["doc_id"]) for r in rows]
+    assert keys == sorted(keys), "slots go in the order of keys through all shards"
+    starts = [r["text"] for k, r in enumerate(rows) if k == 0 or rows[k - 1]["text"] != r["text"]]
+    assert len(starts) == len(set(starts)), "equal texts are consecutive"
+
+
+def test_shared_folder_is_required_on_a_cluster(spark, monkeypatch):
+    class Conf(dict):
+        def get(self, key, default=None):
+            return dict.get(self, key, default)
+
+    class Session:
+        conf = Conf({"spark.master": "spark://host:7077", "spark.sql.warehouse.dir": "/tmp/own"})
+
+    with pytest.raises(ValueError):
+        histogram_sort.shared_path(Session, "x")
+    Session.conf["spark.checkpoint.dir"] = "/shared"
+    assert histogram_sort.shared_path(Session, "x").startswith("/shared/x-")
 
 
 def test_histogram_sort_divides_a_group_of_copies(spark):
@@ -131,9 +189,9 @@ def test_histogram_sort_divides_a_group_of_copies(spark):
 
 
 def naive_unigram(model, word):
-    best = [(0.0, 0)]
+    best, longest = [(0.0, 0)], max(map(len, model.scores))
     for end in range(1, len(word) + 1):
-        options = [(best[b][0] + model.scores[word[b:end]], best[b][1] - 1) for b in range(end) if word[b:end] in model.scores]
+        options = [(best[b][0] + model.scores[word[b:end]], best[b][1] - 1) for b in range(max(0, end - longest), end) if word[b:end] in model.scores]
         n = len(word[end - 1].encode())
         options.append((best[end - 1][0] + n * model.byte, best[end - 1][1] - n))
         best.append(max(options))
@@ -148,11 +206,9 @@ def test_unigram_counts(docs):
         words = t.encode().split()
         for w in words:
             if w not in known:
-                known[w] = naive_unigram(model, unigram_counts.BLANK + w.decode()) if len(w) < 500 else None
-        if None not in [known[w] for w in words]:
-            want.append((i, len(words), sum(known[w] for w in words)))
-    assert set(want) <= set(lines(unigram_counts.count_tokens(docs)))
-    assert docs.count() == unigram_counts.count_tokens(docs).count()
+                known[w] = naive_unigram(model, unigram_counts.BLANK + w.decode())
+        want.append((i, len(words), sum(known[w] for w in words)))
+    assert lines(unigram_counts.count_tokens(docs)) == sorted(want, key=repr)
 
 
 PHRASES = {("under", "the", "mit", "license"): "mit", ("apache", "license", "version", "2"): "apache-2", ("cc", "by", "nc"): "cc-by-nc"}
@@ -172,11 +228,72 @@ def test_license_scan(docs):
         assert 0 <= r["score"] <= 1
 
 
-def test_license_scan_merges_diagonals(spark):
+def naive_spans(words, templates, k=3):
+    """Spans by plain search: every diagonal, the band from it on, and its longest alignment by dynamic programming."""
+    out = set()
+    for t in templates:
+        own = t.text.split()
+        size, room = len(own), license_scan.room_of(t)
+        votes = defaultdict(set)
+        for w in range(len(words) - k + 1):
+            for at in range(size - k + 1):
+                if words[w : w + k] == own[at : at + k]:
+                    votes[w - at].add(at)
+        full = {d for d, ats in votes.items() if len(ats) == size - k + 1}
+        out |= {(t.label, d, d + size - 1, t.base, 1.0) for d in full}
+        ranks = {}
+        for d in votes if room else ():
+            cells = {(e + i, i) for e, ats in votes.items() if d <= e <= d + room for at in ats for i in range(at, at + k)}
+            best = {}
+            for w, i in sorted(cells):
+                best[w, i] = 1 + max((n for (v, j), n in best.items() if v < w and j < i), default=0)
+            matched = max(best.values())
+            if matched >= size - room:
+                ranks[d] = (matched, d in full, -d), min(w for w, _ in cells), max(w for w, _ in cells)
+        reach = max(map(license_scan.room_of, templates))
+        for d, (rank, first, last) in ranks.items():
+            if d not in full and rank == max(r for e, (r, *_) in ranks.items() if abs(e - d) <= reach):
+                out.add((t.label, first, last, t.base, rank[0] / size))
+    return out
+
+
+def edited_notices(seed=4, n=120):
+    import random
+
+    rng = random.Random(seed)
+    every = license_scan.BASE_PHRASES + license_scan.NOTICES
+    texts = []
+    for _ in range(n):
+        words = []
+        for _ in range(rng.randint(1, 4)):
+            own = rng.choice(every).text.split()
+            for _ in range(rng.choice([0, 0, 1, 2, 4, 8])):
+                at = rng.randrange(len(own))
+                own[at : at + rng.randint(0, 2)] = [rng.choice(["foo", "the", "license", "any"]) for _ in range(rng.randint(0, 2))] or own[at : at + 1]
+            words += own + [rng.choice(["x", "is", "bar"]) for _ in range(rng.randint(0, 3))]
+        texts.append(" ".join(words))
+    return texts
+
+
+def test_license_spans_equal_plain_search(spark):
+    mit = next(t.text for t in license_scan.NOTICES if t.label == "mit").split()
+    filler = [w for i in range(0, len(mit), 3) for w in (*mit[i : i + 3], "foo", "bar", "baz")]
+    texts = edited_notices() + [" ".join(filler), " ".join(mit[9:] + mit[:9]), " ".join(mit * 40), " ".join(mit[:4] * 60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in license_scan.scan_licenses(df).collect():
+        want = naive_spans(texts[r["doc_id"]].split(), license_scan.BASE_PHRASES + license_scan.NOTICES)
+        assert {tuple(s) for s in r["spans"]} == want, texts[r["doc_id"]]
+        assert r["labels"] == ",".join(sorted({s[0] for s in want})) and r["score"] == max((s[4] for s in want), default=0)
+
+
+def test_license_scan_merges_and_verifies(spark):
+    mit = next(t.text for t in license_scan.NOTICES if t.label == "mit").split()
+    filler = " ".join(w for i in range(0, len(mit), 3) for w in (*mit[i : i + 3], "foo", "bar", "baz"))
     text = "x y permission is hereby granted free of any charge to any person obtaining one copy of this software and associated documentation files z"
-    df = spark.createDataFrame([(1, text), (2, "permission is hereby granted"), (3, "this work is licensed under the GNU General Public License, version 3.")], "doc_id long, text string")
-    labels = {r["doc_id"]: r["labels"] for r in license_scan.scan_licenses(df).collect()}
-    assert labels == {1: "mit", 2: "", 3: "gpl,gpl-3"}
+    rows = [(1, text, 5), (2, "permission is hereby granted", 5), (3, "this work is licensed under the GNU General Public License, version 3.", 5), (4, filler, 5), (5, " ".join(mit[10:] + mit[:10]), 5), (6, None, 5), (1, text, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, word int")
+    got = sorted((r["doc_id"], r["labels"]) for r in license_scan.scan_licenses(df).collect())
+    assert got == [(1, "mit"), (1, "mit"), (2, ""), (3, "gpl,gpl-3"), (4, ""), (5, ""), (6, "")]
 
 
 def test_chat_format(spark, sf_dir):
@@ -205,6 +322,22 @@ def test_chat_format_order_and_odd_rows(spark):
     assert [tuple(t) for t in got[None]["turns"]] == [("assistant\nx", "t")]
     assert [tuple(t) for t in got[2]["turns"]] == [("", "")]
     assert chat_format.format_conversations(df.limit(0)).count() == 0
+    assert "&lt;[x]" in got[3]["formatted"] and "<\\|im_end|>\n&lt;" in got[3]["formatted"], "only control strings are escaped"
+
+
+def test_chat_escapes_are_undone(spark):
+    import random
+
+    rng, t = random.Random(2), chat_format.ChatTemplate()
+    parts = ["<", "[", "\\", "|im_end|>", "|im_start|>", "/INST]", "INST]", "s>", "/s>", "&", "amp;", "#10;", "\n", "x"]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 9)))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    for r in df.withColumns({"e": chat_format.escape(F.col("text"), t), "h": chat_format.escape(F.col("text"), t, header=True)}).withColumns({"back": chat_format.unescape(F.col("e"), t), "hback": chat_format.unescape(F.col("h"), t, header=True)}).collect():
+        assert r["back"] == r["hback"] == r["text"]
+        assert not any(c in r["e"] or c in r["h"] for c in t.controls) and "\n" not in r["h"]
+        assert r["e"] == r["text"] or re.search(r"[<\[]\\*(\||/?INST|/?s>)", r["text"])
+    with pytest.raises(ValueError):
+        chat_format.escape(F.col("x"), chat_format.ChatTemplate(controls=("<|im_start|>", "<|im_end|>", "<a<b>")))
 
 
 def test_quality_counts(docs):
@@ -229,11 +362,18 @@ def test_quality_keeps_clean_rejects_junk(spark, sf_dir, documents):
     rates = {r["quality"]: r["kept"] for r in judged.groupBy("quality").agg(F.avg(F.col("quality_report.kept").cast("int")).alias("kept")).collect()}
     assert rates[1] == 1.0
     junk = spark.createDataFrame([(1, "BUY NOW!! " * 300), (2, " ".join(hashlib.sha512(bytes([i, j])).hexdigest()[:7] for i in range(9) for j in range(99)))], "doc_id long, text string")
-    assert [r["kept"] for r in quality_bands.score_quality(junk).select("quality_report.kept").collect()][0] is False
+    assert [r["kept"] for r in quality_bands.score_quality(junk).orderBy("doc_id").select("quality_report.kept").collect()] == [False, False]
     kept = quality_bands.keep_good(documents)
     assert kept.columns == documents.columns
 
 
+def test_quality_verdicts_equal_plain_ones(docs):
+    from .test_pipeline import plain_quality
+
+    got = sorted((r["doc_id"], r["kept"]) for r in quality_bands.score_quality(docs.where("doc_id is not null")).select("doc_id", "quality_report.kept").collect())
+    assert got == sorted((i, plain_quality(t)) for i, t in pairs(docs) if i is not None)
+
+
 def test_quality_bands_tell_junk_from_clean(spark):
     # Scale 0.01: none of its texts was used to fit the limits.
     tables = "/root/testdata/sf0.01"
@@ -320,6 +460,31 @@ def test_personal_data_checks_and_redaction(spark):
     assert red[0] == "iban <IBAN> or DE88 3704 0044 0532 0130 00"
 
 
+def test_personal_data_in_texts_of_very_many_spans(spark):
+    import random
+    import time
+
+    rng = random.Random(9)
+    parts = ["u{}@ex.com", "10.0.{}.7", "+49 30 12345{}", "4111 1111 1111 1111", "é", "😀 mail", "word{}", "a.b@c.de.f", "1.2.3.{}"]
+    texts = ["".join(rng.choice(parts).format(rng.randrange(300)) + rng.choice([" ", "  ", "\n"]) for _ in range(n)) for n in (3, 255, 256, 257, 513, 6000)]
+    df = spark.createDataFrame([*enumerate(texts), (99, " ".join(f"u{i}@x.yz" for i in range(50_000)))], "doc_id long, text string").withColumns({"__pii_spans": F.lit(1), "pii_spans": F.lit("x")})
+    began = time.time()
+    spans = {r["doc_id"]: [(s["kind"], s["start"], s["end"], s["score"]) for s in r["pii_spans"]] for r in pii.find_personal_data(df).collect()}
+    red = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    assert time.time() - began < 60 and len(spans[99]) == 50_000 and red[99] == " ".join(["<EMAIL>"] * 50_000)
+    context = {k.name: k for k in pii.KINDS}
+    for i, t in enumerate(texts):
+        assert [f"{k}:{a}:{b}" for k, a, b, _ in spans[i] if k != "iban"] == [s for found in naive_pii(t).values() for s in found]
+        for kind, a, b, score in spans[i][:: max(1, len(spans[i]) // 50)]:
+            near = (t[max(0, a - pii.NEAR) : a] + " " + t[b : b + pii.NEAR]).lower()
+            k = context[kind]
+            assert score == pytest.approx(k.base_score + (pii.CHECKED if kind in ("card", "iban") else 0) + (pii.CONTEXT if re.search(k.context, near) else 0))
+    from .test_pipeline import plain_redact
+
+    assert {i: red[i] for i in range(len(texts))} == {i: plain_redact(t) for i, t in enumerate(texts)}
+    assert pii.redact(df).columns == df.columns
+
+
 def test_personal_data_accounts_before_upper_case_words(spark):
     numbers = ["ES91 2100 0418 4502 0005 1332", "BE68 5390 0754 7034", "AT61 1904 3002 3457 3201", "SE45 5000 0000 0583 9825 7466", "PL61109010140000071219812874", "NO93 8601 1117 947", "DE89 3704 0044 0532 0130 00", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"]
     ends = ["", " BIC", " EUR 250", " BIC BBRUBEBB", " 1234 ABCD", ", paid", " BE68 5390 0754 7034"]
@@ -329,18 +494,59 @@ def test_personal_data_accounts_before_upper_case_words(spark):
         assert red[k] == (text if k == -1 else "<IBAN>" + end.replace("BE68 5390 0754 7034", "<IBAN>")), text
 
 
-def test_imatch(docs):
-    rows = sorted(pairs(docs), key=lambda x: (x[0] is not None, x[0], x[1]))
+def plain_prints(texts):
+    """Fingerprints by plain counting, and their likeness."""
+    import xxhash
+
+    edges = ".,;:!?()[]{}|\"'"
+    words_of = lambda t: {w for w in (c.strip(edges.encode()).lower() for c in t.encode().split()) if w}
+    sets = [words_of(t) for t in texts]
+    counts = Counter(w for s in sets for w in s)
+    term = lambda w: xxhash.xxh64_intdigest(w, imatch.SEED) - (1 << 63)
+    lexicon = {term(w) for w, n in counts.items() if imatch.LEAST * len(texts) <= n <= imatch.MOST * len(texts)}
+    sizes = max(1, len(lexicon).bit_length())
+
+    def holds(x, k):
+        full = (1 << 64) - 1
+        z = (x + (imatch.SEED + k) * 0x9E3779B97F4A7C15) & full
+        z = ((z ^ (z >> 30)) * 0xBF58476D1CE4E5B9) & full
+        z = ((z ^ (z >> 27)) * 0x94D049BB133111EB) & full
+        return (z >> 32) % (2 ** (1 + k // imatch.COPIES)) == 0
+
+    def fingerprint(t):
+        own = sorted({term(w) for w in words_of(t)})
+        known = [x for x in own if x in lexicon]
+        out = []
+        for k in range(imatch.COPIES * sizes):
+            chosen = [x for x in known if holds(x, k)] if known else own if k < imatch.COPIES else []
+            out.append(hashlib.blake2b(b"".join(x.to_bytes(8, "little", signed=True) for x in chosen), digest_size=4).hexdigest() if chosen else "00000000")
+        return out
+
+    def likeness(a, b):
+        if a == b:
+            return 1.0
+        none, step = "00000000", imatch.COPIES
+        used = [x != none or y != none for x, y in zip(a, b, strict=True)]
+        sparse = max([k for k in range(0, len(a), step) if 2 * sum(used[k : k + step]) >= step], default=0)
+        seen = [k for k in range(max(0, sparse - imatch.DENSER * step), len(a)) if used[k]]
+        return sum(a[k] == b[k] for k in seen) / len(seen) if seen else 0.0
+
+    return fingerprint, likeness
+
+
+def test_imatch(spark, docs):
+    high = {r["text"]: r["high"] for r in docs.select(F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("high")).collect()}
+    rows = sorted(pairs(docs), key=lambda x: (x[0] is not None, x[0], high[x[1]]))
+    fingerprint, likeness = plain_prints([t for _, t in rows])
     got = {(r["doc_id"], r["n_chars"], r["edited_sha256"]): r for r in imatch.compare_with_edits(docs).collect()}
-    prints = {}
+    own = {t: fingerprint(t) for t in dict(rows).values()} | {t: fingerprint(t) for _, t in rows}
     for k, (i, t) in enumerate(rows):
         after = rows[(k + 1) % len(rows)][1]
         n = len(t) // 4
-        r = got[(i, len(t), sha((t[: len(t) - n] + after[:n]).encode()))]
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
-        assert prints.setdefault(t, r["fingerprint"]) == r["fingerprint"]
-        if r["edited_sha256"] == sha(t.encode()):
-            assert r["near_edited"] == 1
+        edited = t[: len(t) - n] + after[:n]
+        r = got[(i, len(t), sha(edited.encode()))]
+        assert r["fingerprint"] == "".join(own[t]) and r["edited_fingerprint"] == "".join(fingerprint(edited))
+        assert (r["near_edited"], r["near_next"]) == (likeness(own[t], fingerprint(edited)), likeness(own[t], own[after]))
 
 
 def test_imatch_tells_edits_from_neighbours(documents):
