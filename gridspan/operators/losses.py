@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ordering import last_of
+
 
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
@@ -15,6 +17,11 @@ def bce_with_logits(x: Column, target: float) -> Column:
     return F.greatest(x, F.lit(0.0)) - x * target + F.log1p(F.exp(-F.abs(x)))
 
 
+def squared_to(x: Column, target: float) -> Column:
+    """Squared distance to a constant: of a patch critic, or of a gradient's length to 1."""
+    return (x - target) * (x - target)
+
+
 def distance(a: Column, b: Column, eps: float = 1e-7) -> Column:
     return F.sqrt(total(F.zip_with(a, b, lambda x, y: (x - y + eps) * (x - y + eps))))
 
@@ -59,10 +66,32 @@ def ssim(voxels: DataFrame, case: str, axis: str, a: str, b: str, data_range: fl
 
 
 def last_values(log: DataFrame, keys: list[str], step: str, value: str, n: int) -> DataFrame:
-    """Mean of the last n values at each step, NaN skipped; steps with fewer before them are left out."""
-    w = Window.partitionBy(*keys).orderBy(step).rowsBetween(1 - n, 0)
-    seen = log.withColumns({"mean": F.avg(F.when(~F.isnan(value), F.col(value))).over(w), "held": F.count("*").over(w)})
-    return seen.where(F.col("held") == n).drop("held")
+    """Mean of the last n values at each step, NaN skipped; steps with fewer before them are left out.
+
+    A key's log goes in blocks, each with the n - 1 rows before it, so a long log is many tasks. Ties of a step go in any order.
+    """
+    w = Window.partitionBy(*keys, "block").orderBy("__rank").rowsBetween(1 - n, 0)
+    blocks = last_of(log, keys, [step], n)
+    seen = blocks.withColumns({"mean": F.avg(F.when(~F.isnan(value), F.col(value))).over(w), "held": F.count("*").over(w)})
+    return seen.where((F.col("held") == n) & ~F.col("context")).drop("held", "block", "context", "__rank")
+
+
+def loss_by_group(log: DataFrame, keys: list[str], group: str, weight: str, value: str) -> DataFrame:
+    """Weighted sum of the losses of each group."""
+    return log.groupBy(*keys, group).agg(F.sum(F.col(weight) * F.col(value)).alias("loss"))
+
+
+def formatted_losses(log: DataFrame, keys: list[str], step: str, weight: str, value: str, n: int) -> DataFrame:
+    """keys, weight, value: means over the last n steps, where there are as many."""
+    w = Window.partitionBy(*keys).orderBy(F.desc(step))
+    rows = log.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n)
+    own = rows.groupBy(*keys).agg(F.avg(weight).alias("weight"), F.avg(F.when(~F.isnan(value), F.col(value))).alias("value"), F.count("*").alias("__c"))
+    return own.where(F.col("__c") == n).drop("__c")
+
+
+def rank_means(values: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Mean over the ranks of a distributed run."""
+    return values.groupBy(*keys).agg(F.avg(value).alias(value))
 
 
 def scheduler_at(step: Column, schedulers: list[tuple[str, int]]) -> Column:

@@ -1,12 +1,20 @@
-"""Criteria as aggregate expressions: partial sums before the shuffle, ratios of global sums at the end."""
+"""Criteria as aggregate expressions: partial sums before the shuffle, ratios of global sums at the end.
+
+Null and NaN values are left out of means; a group without a value is null with a count of 0; an empty table has no
+groups. Columns that a function makes for itself start with two underscores.
+"""
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridspan.functions.arrays import average, sample_variance, total
+
 SMOOTH = 1e-6
 
 
@@ -29,16 +37,76 @@ def masked_item_mean(df: DataFrame, keys: list[str], item: str, error: Column, m
     return per_item.groupBy(*keys).agg(F.count("own").alias("items"), F.avg("own").alias("value"))
 
 
-def dice(df: DataFrame, keys: list[str], output: str, target: str) -> DataFrame:
-    """Dice coefficient for each non-zero label of the target."""
-    sizes = [df.where(F.col(c) != 0).groupBy(*keys, F.col(c).alias("label")).agg(F.count("*").alias(n)) for c, n in ((target, "in_target"), (output, "in_output"))]
-    both = df.where((F.col(output) == F.col(target)) & (F.col(target) != 0)).groupBy(*keys, F.col(target).alias("label")).agg(F.count("*").alias("common"))
-    joined = sizes[0].join(sizes[1], [*keys, "label"], "left").join(both, [*keys, "label"], "left").na.fill(0, ["in_output", "common"])
-    return joined.select(*keys, "label", ((2 * F.col("common") + SMOOTH) / (F.col("in_output") + F.col("in_target") + SMOOTH)).alias("dice"))
+def partial_regression(df: DataFrame, keys: list[str], part: str, output: Column, target: Column, mask: Column | None = None) -> DataFrame:
+    """keys, part, abs, square, diff, n: what each disjoint part (a patch) of a case adds up to."""
+    d = clean((output - target).cast("double"))
+    rows = df if mask is None else df.where(mask)
+    return rows.groupBy(*keys, part).agg(F.sum(F.abs(d)).alias("abs"), F.sum(d * d).alias("square"), F.sum(d).alias("diff"), F.count(d).alias("n"))
+
+
+def combine_regression(parts: DataFrame, keys: list[str], data_range: float = 4095.0) -> DataFrame:
+    """The report of ``regression_report`` from partial sums: ratios of global sums, never means of ratios."""
+    n, square = F.sum("n"), F.sum("square")
+    mse = F.when(n > 0, square / n)
+    return parts.groupBy(*keys).agg(n.alias("n"), F.when(n > 0, F.sum("abs") / n).alias("mae"), mse.alias("mse"), F.when(n > 0, F.sum("diff") / n).alias("me"), F.sqrt(mse).alias("rmse"), (10 * F.log10(data_range**2 / mse)).alias("psnr"))
+
+
+def image_masked_mean(df: DataFrame, keys: list[str], output: Column, target: Column, mask: Column, error: Callable[[Column, Column], Column]) -> DataFrame:
+    """Mean over all voxels of the error between both images times the mask."""
+    return df.groupBy(*keys).agg(F.avg(error(output * mask, target * mask)).alias("value"))
+
+
+def error_map(df: DataFrame, output: str, target: str, mask: str | None = None, name: str = "error") -> DataFrame:
+    """``df`` plus the absolute error of each voxel, of masked images where a mask is given."""
+    m = F.lit(1) if mask is None else F.col(mask)
+    return df.withColumn(name, F.abs(F.col(output) * m - F.col(target) * m))
+
+
+def partial_dice(df: DataFrame, keys: list[str], output: str, target: str, mask: str | None = None, labels: list[int] | None = None) -> DataFrame:
+    """keys, label, common, in_output, in_target: counts of each label, in one pass.
+
+    A mask turns voxels outside of it to label 0 in both maps first. Without ``labels`` all labels but 0 are counted.
+    """
+    own, other = (F.col(c) if mask is None else F.when(F.col(mask) == 1, F.col(c)).otherwise(0) for c in (output, target))
+    rows = df.select(*keys, own.cast("int").alias("__o"), other.cast("int").alias("__t"))
+    seen = F.array_distinct(F.filter(F.array("__o", "__t"), lambda x: x.isNotNull() & (x.isin(*labels) if labels else x != 0)))
+    each = rows.withColumn("label", F.explode(seen))
+    is_o, is_t = (F.coalesce((F.col(c) == F.col("label")).cast("long"), F.lit(0)) for c in ("__o", "__t"))
+    return each.groupBy(*keys, "label").agg(F.sum(is_o * is_t).alias("common"), F.sum(is_o).alias("in_output"), F.sum(is_t).alias("in_target"))
+
+
+def dice(df: DataFrame, keys: list[str], output: str, target: str, mask: str | None = None, labels: list[int] | None = None) -> DataFrame:
+    """Dice coefficient for each label of the target; of given labels those that the target lacks are left out, as they count for nothing in the mean."""
+    return combine_dice(partial_dice(df, keys, output, target, mask, labels), keys)
+
+
+def combine_dice(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Coefficients from counts of disjoint parts."""
+    summed = parts.groupBy(*keys, "label").agg(*[F.sum(c).alias(c) for c in ("common", "in_output", "in_target")]).where("in_target > 0")
+    return summed.select(*keys, "label", ((2 * F.col("common") + SMOOTH) / (F.col("in_output") + F.col("in_target") + SMOOTH)).alias("dice"))
+
+
+def dice_loss(coefficients: DataFrame, keys: list[str]) -> DataFrame:
+    """One less the mean coefficient over the labels."""
+    return coefficients.groupBy(*keys).agg((1 - F.avg("dice")).alias("loss"))
+
+
+def soft_dice(df: DataFrame, keys: list[str], scores: Column, target: Column, labels: list[int]) -> DataFrame:
+    """Dice coefficient for each label from a channel of scores a label; ``scores`` is an array by label number."""
+    rows = df.select(*keys, scores.alias("__s"), target.alias("__t"), F.explode(F.array(*map(F.lit, labels))).alias("label"))
+    p, t = F.get("__s", F.col("label")), (F.col("__t") == F.col("label")).cast("double")
+    out = rows.groupBy(*keys, "label").agg(((2 * F.sum(p * t) + SMOOTH) / (F.sum(p) + F.sum(t) + SMOOTH)).alias("dice"), F.sum(t).alias("__n"))
+    return out.where("__n > 0").drop("__n")
+
 
+def disagreement_map(df: DataFrame, output: str, target: str, name: str = "differs") -> DataFrame:
+    return df.withColumn(name, (F.col(output) != F.col(target)).cast("int"))
 
-def accuracy(df: DataFrame, keys: list[str], output: str, target: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.avg((F.col(output) == F.col(target)).cast("double")).alias("accuracy"))
+
+def accuracy(df: DataFrame, keys: list[str], output: Column, target: Column) -> DataFrame:
+    """Share of rows whose first greatest channel of the output is the target."""
+    found = F.array_position(output, F.array_max(output)) - 1
+    return df.groupBy(*keys).agg(F.avg((found == target).cast("double")).alias("accuracy"))
 
 
 def log_softmax(logits: Column) -> Column:
@@ -63,10 +131,11 @@ def kl_divergence(df: DataFrame, keys: list[str], p: Column, q: Column) -> DataF
     return df.groupBy(*keys).agg(F.sum(F.when(p > 0, p * F.log(p / q)).otherwise(0.0)).alias("kl"))
 
 
-def gram(voxels: DataFrame, case: str, channel: str, coordinate: str, value: str) -> DataFrame:
-    """Channel products, mean over coordinates: an equi-join of each case's channels at a coordinate."""
-    a, b = voxels.select(case, F.col(channel).alias("a"), coordinate, F.col(value).alias("va")), voxels.select(case, F.col(channel).alias("b"), coordinate, F.col(value).alias("vb"))
-    return a.join(b, [case, coordinate]).where("a <= b").groupBy(case, "a", "b").agg(F.avg(F.col("va") * F.col("vb")).alias("gram"))
+def gram(voxels: DataFrame, case: str, vector: str) -> DataFrame:
+    """case, a, b, gram: channel products a <= b, mean over coordinates. ``vector`` holds a coordinate's channels; no join."""
+    v = F.col(vector)
+    pairs = F.flatten(F.transform(v, lambda x, i: F.transform(F.slice(v, i + 1, F.size(v)), lambda y, j: F.struct(i.alias("a"), (i + j).alias("b"), (x * y).alias("p")))))
+    return voxels.select(case, F.inline(pairs)).groupBy(case, "a", "b").agg(F.avg("p").alias("gram"))
 
 
 def registration_error(moved: DataFrame, fixed: DataFrame, keys: list[str], axes: list[str]) -> DataFrame:
@@ -76,24 +145,101 @@ def registration_error(moved: DataFrame, fixed: DataFrame, keys: list[str], axes
     return joined.groupBy(*keys).agg(F.avg(distance).alias("tre"), F.max(distance).alias("worst"))
 
 
-def mutual_information(df: DataFrame, keys: list[str], a: str, b: str, bins: int = 23) -> DataFrame:
-    """Mutual information of two intensities in [0, 1], with soft Gaussian bins: per-voxel weights, partial sums, one finisher."""
+def _joint(bins: int):
+    """Sums, over the voxels of two arrays, of the products of their soft bin weights: an array of bins * bins."""
     width = 0.5 / (bins - 1)
-    k = 1 / (2 * width * width)
-    centres = [i / (bins - 1) for i in range(bins)]
+    centres, k = np.linspace(0, 1, bins), 1 / (2 * width * width)
+
+    def weights(values) -> np.ndarray:
+        w = np.exp(-k * (np.clip(np.array(values, float), 0, 1)[:, None] - centres) ** 2)
+        return w / w.sum(1, keepdims=True)
+
+    @F.arrow_udf("array<double>")
+    def joint(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array([None if p.as_py() is None or q.as_py() is None else (weights(p.as_py()).T @ weights(q.as_py())).ravel().tolist() for p, q in zip(x, y, strict=True)], pa.list_(pa.float64()))
+
+    return joint
+
+
+def mutual_information(blocks: DataFrame, keys: list[str], a: str, b: str, bins: int = 23) -> DataFrame:
+    """keys, n, mutual_information of two intensities in [0, 1], with soft Gaussian bins; the loss is its negative.
+
+    ``a`` and ``b`` are arrays of the same voxels, without nulls: a whole volume in a row, or any of its blocks. A block costs one
+    matrix product; of each one bins * bins sums go to the shuffle, whatever its number of voxels.
+    """
+    tables = blocks.select(*keys, F.size(a).cast("long").alias("__n"), _joint(bins)(F.col(a), F.col(b)).alias("__t"))
+    cells = tables.select(*keys, "__n", F.posexplode("__t").alias("__at", "__s")).groupBy(*keys, "__at").agg(F.sum("__s").alias("__s"), F.sum("__n").alias("__n"))
+    # bins * bins cells a group: one small array.
+    held = cells.groupBy(*keys).agg(F.max("__n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("__at", "__s"))), lambda c: c["__s"]).alias("__t"))
+    p = held.withColumn("__p", F.transform("__t", lambda s: s / F.col("n")))
+    p = p.withColumns({"__a": F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: total(F.slice("__p", i * bins + 1, F.lit(bins)))), "__b": F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda j: total(F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.get("__p", i * bins + j))))})
+    term = F.transform("__p", lambda x, at: x * F.log((x + 1e-7) / (F.get("__a", F.floor(at / bins).cast("int")) * F.get("__b", at % bins) + 1e-7) + 1e-7))
+    return p.select(*keys, "n", total(term).alias("mutual_information"))
+
+
+def features_of(features: Callable[[np.ndarray], np.ndarray], image: Column) -> Column:
+    """Features of each row's array by any function of a batch of arrays (a network, say): an array column. Rows of a batch are of one length."""
+
+    @F.arrow_udf("array<double>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            out = features(np.array(rows, float)) if rows else []
+            yield pa.array([list(map(float, r)) for r in out], pa.list_(pa.float64()))
+
+    return run(image)
+
+
+def feature_distance(a: Column, b: Column, squared: bool = False) -> Column:
+    """Mean absolute (or squared) difference of two feature arrays."""
+    return average(F.zip_with(a, b, lambda x, y: (x - y) * (x - y) if squared else F.abs(x - y)))
+
+
+def principal_axes(rows: DataFrame, vector: str, k: int) -> tuple[list[float], list[list[float]]]:
+    """Mean and the k first eigenvectors of the covariance of a column of vectors. Sums go by the square of the vectors' length, which the driver holds."""
+    mean, covariance, _ = moments(rows, vector)
+    values, vectors = np.linalg.eigh(covariance)
+    order = np.argsort(values)[::-1][:k]
+    axes = vectors[:, order].T
+    # A vector's sign is free: its greatest part is positive.
+    axes = axes * np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(1)])[:, None]
+    return mean.tolist(), axes.tolist()
+
+
+def project(vector: Column, mean: list[float], axes: list[list[float]]) -> Column:
+    centred = F.zip_with(vector, F.array(*map(F.lit, mean)), lambda v, m: v - m)
+    return F.array(*[total(F.zip_with(centred, F.array(*map(F.lit, axis)), lambda v, x: v * x)) for axis in axes])
+
+
+def moments(rows: DataFrame, vector: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """Mean, sample covariance and number of a column of vectors: sums and products by position, added up where the rows lie."""
+    v = F.col(vector)
+    held = rows.where(v.isNotNull())
+    sums = held.select(F.posexplode(v).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).orderBy("i").collect()
+    mean, n = np.array([r["m"] for r in sums]), held.count()
+    centre = F.zip_with(v, F.array(*map(F.lit, mean.tolist())), lambda x, m: x - m)
+    pairs = F.flatten(F.transform("__c", lambda x, i: F.transform(F.slice("__c", i + 1, F.size("__c")), lambda y, j: F.struct(i.alias("i"), (i + j).alias("j"), (x * y).alias("p")))))
+    out = np.zeros((len(mean), len(mean)))
+    for r in held.select(centre.alias("__c")).select(F.inline(pairs)).groupBy("i", "j").agg(F.sum("p").alias("p")).collect():
+        out[r["i"], r["j"]] = out[r["j"], r["i"]] = r["p"] / max(n - 1, 1)
+    return mean, out, n
+
+
+def frechet_distance(a: DataFrame, b: DataFrame, vector: str) -> float:
+    """Squared distance of the means, plus traces of both covariances less twice that of the root of their product."""
+    (ma, ca, _), (mb, cb, _) = moments(a, vector), moments(b, vector)
+    values, vectors = np.linalg.eigh(ca)
+    root = vectors @ np.diag(np.sqrt(np.clip(values, 0, None))) @ vectors.T
+    cross = np.sqrt(np.clip(np.linalg.eigvalsh(root @ cb @ root), 0, None)).sum()
+    return float(((ma - mb) ** 2).sum() + np.trace(ca) + np.trace(cb) - 2 * cross)
 
-    def weights(v: Column) -> Column:
-        raw = F.array(*[F.exp(F.lit(-k) * (F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)) - F.lit(c)) ** 2) for c in centres])
-        return F.transform(raw, lambda w: w / F.aggregate(raw, F.lit(0.0), lambda s, x: s + x))
 
-    pairs = df.select(*keys, F.posexplode(weights(F.col(a))).alias("i", "wa"), weights(F.col(b)).alias("wbs")).select(*keys, "i", "wa", F.posexplode("wbs").alias("j", "wb"))
-    n = df.groupBy(*keys).agg(F.count("*").alias("n"))
-    joint = pairs.groupBy(*keys, "i", "j").agg(F.sum(F.col("wa") * F.col("wb")).alias("s")).join(n, keys).withColumn("p", F.col("s") / F.col("n"))
-    pa = joint.groupBy(*keys, "i").agg(F.sum("p").alias("pa"))
-    pb = joint.groupBy(*keys, "j").agg(F.sum("p").alias("pb"))
-    full = joint.join(pa, [*keys, "i"]).join(pb, [*keys, "j"])
-    return full.groupBy(*keys).agg(F.sum(F.col("p") * F.log((F.col("p") + 1e-7) / (F.col("pa") * F.col("pb") + 1e-7) + 1e-7)).alias("mutual_information"))
+def weighted_cross_entropy(df: DataFrame, keys: list[str], logits: Column, label: Column, weights: list[float]) -> DataFrame:
+    """Mean of the rows' losses by the weights of their labels."""
+    w = F.get(F.array(*map(F.lit, weights)), label)
+    return df.groupBy(*keys).agg((F.sum(w * cross_entropy(logits, label)) / F.sum(w)).alias("loss"))
 
 
-def psnr_of(mse: float, data_range: float = 4095.0) -> float:
-    return 10 * math.log10(data_range**2 / mse)
+def mean_variance(df: DataFrame, keys: list[str], vector: Column) -> DataFrame:
+    """Mean, over rows, of the sample variance of a row's array."""
+    return df.groupBy(*keys).agg(F.avg(sample_variance(vector)).alias("variance"))

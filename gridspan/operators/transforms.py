@@ -1,4 +1,9 @@
-"""Voxel transforms over the long form (case, coordinates, value), and their inverses."""
+"""Voxel transforms over the long form (case, coordinates, value), and their inverses: for volumes that do not fit a row.
+
+Volumes that do are arrays in a row; ``pointwise`` and ``volume`` transform them without a shuffle. Here null and NaN
+voxels stay as they are, an empty table stays empty, and a null case is a case. Columns made on the way are vmin, vmax,
+lo and hi; input columns of these names are replaced.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ordering import quantiles
+
 
 def lattice(arrays: DataFrame, case: str, values: str) -> DataFrame:
     """Long form of one array per case: case, x, value."""
@@ -17,7 +24,7 @@ def normalize(voxels: DataFrame, case: str, value: str, low: float, high: float)
     own = Window.partitionBy(case)
     v = voxels.withColumns({"vmin": F.min(value).over(own), "vmax": F.max(value).over(own)})
     span = F.col("vmax") - F.col("vmin")
-    return v.withColumn(value, F.when(span != 0, (F.col(value) - F.col("vmin")) / span * (high - low) + low).otherwise(F.lit(low)))
+    return v.withColumn(value, F.when(span != 0, (high - low) * (F.col(value) - F.col("vmin")) / span + low).otherwise(F.lit(low)))
 
 
 def unnormalize(voxels: DataFrame, value: str, low: float, high: float) -> DataFrame:
@@ -25,13 +32,15 @@ def unnormalize(voxels: DataFrame, value: str, low: float, high: float) -> DataF
 
 
 def standardize(voxels: DataFrame, case: str, value: str) -> DataFrame:
-    """Zero mean, unit sample deviation per case."""
+    """Zero mean, unit sample deviation per case; a case of one or of equal values becomes 0."""
     own = Window.partitionBy(case)
-    return voxels.withColumn(value, (F.col(value) - F.avg(value).over(own)) / F.stddev_samp(value).over(own))
+    spread = F.coalesce(F.stddev_samp(value).over(own), F.lit(0.0))
+    return voxels.withColumn(value, F.when(spread == 0, F.col(value) * 0.0).otherwise((F.col(value) - F.avg(value).over(own)) / spread))
 
 
 def clip_percentile(voxels: DataFrame, case: str, value: str, low: float, high: float) -> DataFrame:
-    bounds = voxels.groupBy(case).agg(F.percentile(value, low).alias("lo"), F.percentile(value, high).alias("hi"))
+    """Values held between two exact quantiles of their case; a case of any size, its values sorted in ranges."""
+    bounds = quantiles(voxels, [case], value, [low, high], ["lo", "hi"])
     return voxels.join(bounds, case).withColumn(value, F.least(F.greatest(F.col(value), F.col("lo")), F.col("hi"))).drop("lo", "hi")
 
 
@@ -74,15 +83,18 @@ def gradient(voxels: DataFrame, case: str, axis: str, value: str) -> DataFrame:
     return voxels.withColumn("gradient", F.coalesce(after - F.col(value), F.lit(0.0)))
 
 
-def dilate(voxels: DataFrame, case: str, axis: str, value: str, radius: int) -> DataFrame:
-    """The greatest value within ``radius`` along an axis."""
-    near = Window.partitionBy(case).orderBy(axis).rangeBetween(-radius, radius)
-    return voxels.withColumn("dilated", F.max(value).over(near))
+def dilate(voxels: DataFrame, case: str, axes: list[str], value: str, radius: int) -> DataFrame:
+    """1 where a voxel above 0 lies within ``radius`` along every axis, else 0: one window an axis, each over lines along it."""
+    out = voxels.withColumn(value, (F.col(value) > 0).cast("double"))
+    for axis in axes:
+        line = Window.partitionBy(case, *[a for a in axes if a != axis]).orderBy(axis).rangeBetween(-radius, radius)
+        out = out.withColumn(value, F.max(value).over(line))
+    return out
 
 
 def crop_box(voxels: DataFrame, case: str, axis: str, value: str, share: float) -> DataFrame:
     """First and last coordinate of values above the case's percentile, and the voxels that the box keeps."""
-    level = voxels.groupBy(case).agg(F.percentile(value, share).alias("level"))
+    level = quantiles(voxels, [case], value, [share], ["level"])
     return voxels.join(level, case).where(F.col(value) > F.col("level")).groupBy(case).agg(F.min(axis).alias("near"), F.max(axis).alias("far"))
 
 

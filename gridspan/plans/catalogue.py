@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspan.operators import augment, losses, metrics, patches, reductions, report, selection, transforms
+from gridspan.functions.arrays import total
+from gridspan.operators import augment, losses, metrics, patches, pointwise, reductions, report, selection, transforms, volume
 from gridspan.sources import logs
 from gridspan.streaming import windows
 
@@ -21,16 +22,30 @@ SQL: dict[str, str] = {}
 EXTENT = 64
 
 
-def plain_zero(sql: str) -> str:
-    """Rounded values as DOUBLE, and negative zero as zero."""
-    return sql.replace("round(", "0e0 + round(")
+def rounds_out(sql: str) -> str:
+    """Each round(x, n) written out as floor(x * 10**n + 0.5) / 10**n in doubles, as ``half_up`` does: engines round halves in ways of their own."""
+    at = sql.find("round(")
+    if at < 0:
+        return sql
+    depth, comma, end = 1, at, at + 6
+    while depth:
+        depth += {"(": 1, ")": -1}.get(sql[end], 0)
+        if sql[end] == "," and depth == 1:
+            comma = end
+        end += 1
+    inner, digits = rounds_out(sql[at + 6 : comma]), int(sql[comma + 1 : end - 1])
+    return f"{sql[:at]}(floor(({inner}) * 1e{digits} + 0.5e0) / 1e{digits}){rounds_out(sql[end:])}"
+
+
+def half_up(value: Column, digits: int) -> Column:
+    return F.floor(value * F.lit(10.0**digits) + F.lit(0.5)) / F.lit(10.0**digits)
 
 
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = plain_zero(sql)
+            SQL[f.__name__] = rounds_out(sql)
         return f
 
     return add
@@ -41,7 +56,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, digits: int = 4, **own: int) -> DataFrame:
-    return df.select(*[F.round(c, own.get(c, digits)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[half_up(F.col(c), own.get(c, digits)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, label and the array v, as doubles."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+
+
+def points(df: DataFrame, **own: int) -> DataFrame:
+    """A row per voxel of v."""
+    return rounded(df.select("vec_id", F.posexplode("v").alias("x", "value")), **own)
+
+
+V = volume.Grid((EXTENT,))
+CUBE = volume.Grid((4, 4, 4))
 
 
 def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +80,15 @@ def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
 VOX = "vox AS (SELECT vec_id, unnest(range(64))::INT AS x, unnest(embedding)::DOUBLE AS value FROM embeddings)"
 
 
+CUBED = "v AS (SELECT vec_id, (x // 16)::INT AS z, (x // 4 % 4)::INT AS y, (x % 4)::INT AS x, value FROM vox)"
+
+
+def cube_points(df: DataFrame, *columns: str, grid: volume.Grid = CUBE) -> DataFrame:
+    """A row per voxel of array columns on a grid of three axes."""
+    flat = df.select("vec_id", F.posexplode(F.arrays_zip(*columns)).alias("i", "s"))
+    return rounded(flat.select("vec_id", *[c.alias(a) for c, a in zip(grid.coordinates(F.col("i")), "zyx", strict=True)], *[F.col(f"s.{c}").alias(c) for c in columns]))
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Output, target and mask per line; the part table is small here, and the optimiser sees its size."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice", "p_brand")
@@ -82,7 +120,8 @@ def stats_summary(spark, sf_dir):
 
 @query(f"WITH {VOX} SELECT vec_id, round(min(value), 4) AS min, round(max(value), 4) AS max, round(avg(value), 4) AS mean, round(coalesce(stddev_samp(value), 0), 4) AS std FROM vox GROUP BY vec_id")
 def volume_stats(spark, sf_dir):
-    return rounded(report.volume_statistics(voxels(spark, sf_dir), ["vec_id"], "value"))
+    s = pointwise.image_statistics(F.col("v"))
+    return rounded(arrays(spark, sf_dir).select("vec_id", s.alias("s")).select("vec_id", "s.*"))
 
 
 @query("SELECT c_nationkey, c_mktsegment, count(*) AS n, round(count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY c_nationkey), 6) AS share FROM customer GROUP BY c_nationkey, c_mktsegment")
@@ -92,14 +131,14 @@ def profile_labels(spark, sf_dir):
 
 @query("WITH r AS (SELECT event_type, user_id::VARCHAR AS run, round(avg(value), 6) AS score FROM events GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY score DESC, run) AS place FROM r) SELECT event_type, run, round(score, 4) AS score, place::INT AS place FROM p WHERE place <= 5")
 def leaderboard_topk(spark, sf_dir):
-    runs = table(spark, sf_dir, "events").groupBy("event_type", F.col("user_id").cast("string").alias("run")).agg(F.round(F.avg("value"), 6).alias("score"))
+    runs = table(spark, sf_dir, "events").groupBy("event_type", F.col("user_id").cast("string").alias("run")).agg(half_up(F.avg("value"), 6).alias("score"))
     return rounded(report.leaderboard(runs, "event_type", "run", "score", 5))
 
 
 @query("WITH a AS (SELECT user_id, round(avg(value), 6) AS v FROM events WHERE event_type = 'click' GROUP BY 1), b AS (SELECT user_id, round(avg(value), 6) AS v FROM events WHERE event_type = 'view' GROUP BY 1), j AS (SELECT b.v - a.v AS d FROM a JOIN b USING (user_id)) SELECT count(*) AS cases, round(avg(d), 4) AS delta, count(*) FILTER (WHERE d > 0) AS better_b, count(*) FILTER (WHERE d < 0) AS better_a, CASE WHEN count(*) FILTER (WHERE d > 0) > count(*) FILTER (WHERE d < 0) THEN 'b' WHEN count(*) FILTER (WHERE d < 0) > count(*) FILTER (WHERE d > 0) THEN 'a' ELSE 'tie' END AS winner FROM j")
 def compare_runs(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    run = lambda kind: e.where(F.col("event_type") == kind).groupBy("user_id").agg(F.round(F.avg("value"), 6).alias("score"))
+    run = lambda kind: e.where(F.col("event_type") == kind).groupBy("user_id").agg(half_up(F.avg("value"), 6).alias("score"))
     return rounded(report.compare_runs(run("click"), run("view"), ["user_id"], "score", True))
 
 
@@ -163,25 +202,25 @@ def presence_matrix(spark, sf_dir):
     return selection.missing_groups(e, "session", "event_type", GROUPS)
 
 
-@query(f"WITH {VOX} SELECT vec_id, x, round((value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w) * 2 - 1, 4) AS value FROM vox WINDOW w AS (PARTITION BY vec_id)")
+@query(f"WITH {VOX} SELECT vec_id, x, round(2 * (value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w) + -1, 4) AS value FROM vox WINDOW w AS (PARTITION BY vec_id)")
 def normalize(spark, sf_dir):
-    return rounded(transforms.normalize(voxels(spark, sf_dir), "vec_id", "value", -1.0, 1.0).drop("vmin", "vmax"))
+    return points(arrays(spark, sf_dir).withColumn("v", pointwise.normalize(F.col("v"), -1.0, 1.0)))
 
 
 @query(f"WITH {VOX} SELECT vec_id, x, round(value, 4) AS value FROM vox")
 def inverse_roundtrip(spark, sf_dir):
-    there = transforms.normalize(transforms.flip(voxels(spark, sf_dir), "x", EXTENT), "vec_id", "value", -1.0, 1.0)
-    return rounded(transforms.flip(transforms.unnormalize(there, "value", -1.0, 1.0), "x", EXTENT).select("vec_id", "x", "value"))
+    there = arrays(spark, sf_dir).withColumns({"a": F.array_min("v"), "b": F.array_max("v")}).withColumn("v", pointwise.normalize(volume.flip(F.col("v"), V, (0,)), -1.0, 1.0))
+    return points(there.withColumn("v", volume.flip(pointwise.denormalize(F.col("v"), -1.0, 1.0, F.col("a"), F.col("b")), V, (0,))))
 
 
 @query(f"WITH {VOX} SELECT vec_id, x, round((value - avg(value) OVER w) / stddev_samp(value) OVER w, 4) AS value FROM vox WINDOW w AS (PARTITION BY vec_id)")
 def standardize(spark, sf_dir):
-    return rounded(transforms.standardize(voxels(spark, sf_dir), "vec_id", "value"))
+    return points(arrays(spark, sf_dir).withColumn("v", pointwise.standardize(F.col("v"))))
 
 
 @query(f"WITH {VOX}, b AS (SELECT vec_id, quantile_cont(value, 0.05) AS lo, quantile_cont(value, 0.95) AS hi FROM vox GROUP BY 1) SELECT vec_id, x, round(least(greatest(value, lo), hi), 4) AS value FROM vox JOIN b USING (vec_id)")
 def clip_percentile(spark, sf_dir):
-    return rounded(transforms.clip_percentile(voxels(spark, sf_dir), "vec_id", "value", 0.05, 0.95))
+    return points(arrays(spark, sf_dir).withColumn("v", pointwise.clip(F.col("v"), "percentile:5", "percentile:95")))
 
 
 @query(f"WITH {VOX}, m AS (SELECT *, max(value) OVER (PARTITION BY vec_id) AS top FROM vox) SELECT vec_id, x, round(exp(value - top) / sum(exp(value - top)) OVER (PARTITION BY vec_id), 5) AS p FROM m")
@@ -207,12 +246,12 @@ def select_label(spark, sf_dir):
 
 @query("SELECT vec_id, (label > 0)::INT AS label FROM embeddings")
 def flat_label(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") > 0).cast("int").alias("label"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.get(pointwise.flat_label(F.array("label")), F.lit(0)).alias("label"))
 
 
 @query(f"WITH {VOX} SELECT vec_id, 63 - x AS x, round(value, 4) AS value FROM vox")
 def flip(spark, sf_dir):
-    return rounded(transforms.flip(voxels(spark, sf_dir), "x", EXTENT))
+    return points(arrays(spark, sf_dir).withColumn("v", volume.flip(F.col("v"), V, (0,))))
 
 
 @query(f"WITH {VOX} SELECT vec_id, (x % 8)::INT AS z, (x // 8)::INT AS y, round(value, 4) AS value FROM vox")
@@ -221,34 +260,38 @@ def permute(spark, sf_dir):
     return rounded(transforms.permute(planes, {"z": "y", "y": "z"}))
 
 
-@query(f"WITH {VOX} SELECT vec_id, x, round(coalesce(lead(value) OVER (PARTITION BY vec_id ORDER BY x) - value, 0), 4) AS gradient FROM vox")
+@query(f"WITH {VOX}, {CUBED}, g AS (SELECT a.vec_id, a.z, a.y, a.x, coalesce(p.value - a.value, 0) AS gz, coalesce(q.value - a.value, 0) AS gy, coalesce(r.value - a.value, 0) AS gx FROM v a LEFT JOIN v p ON p.vec_id = a.vec_id AND p.z = a.z + 1 AND p.y = a.y AND p.x = a.x LEFT JOIN v q ON q.vec_id = a.vec_id AND q.z = a.z AND q.y = a.y + 1 AND q.x = a.x LEFT JOIN v r ON r.vec_id = a.vec_id AND r.z = a.z AND r.y = a.y AND r.x = a.x + 1), s AS (SELECT *, 1 / (1 + exp(-3 * gz)) AS sz, 1 / (1 + exp(-3 * gy)) AS sy, 1 / (1 + exp(-3 * gx)) AS sx FROM g) SELECT vec_id, z, y, x, round(sqrt(sz * sz + sy * sy + sx * sx), 4) AS gradient, round(gy, 4) AS by_row FROM s")
 def gradient(spark, sf_dir):
-    return rounded(transforms.gradient(voxels(spark, sf_dir), "vec_id", "x", "value").drop("value"))
+    cubes = arrays(spark, sf_dir).withColumns({"gradient": volume.gradient(F.col("v"), CUBE), "by_row": volume.differences(F.col("v"), CUBE, 1)})
+    return cube_points(cubes, "gradient", "by_row")
 
 
-@query(f"WITH {VOX} SELECT vec_id, x, round(max(value) OVER (PARTITION BY vec_id ORDER BY x RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING), 4) AS dilated FROM vox")
+@query(f"WITH {VOX}, {CUBED} SELECT a.vec_id, a.z, a.y, a.x, max((b.value > 1)::INT)::DOUBLE AS dilated FROM v a JOIN v b ON b.vec_id = a.vec_id AND abs(a.z - b.z) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY a.vec_id, a.z, a.y, a.x")
 def dilate(spark, sf_dir):
-    return rounded(transforms.dilate(voxels(spark, sf_dir), "vec_id", "x", "value", 2).drop("value"))
+    above = F.transform("v", lambda x: x - 1)
+    return cube_points(arrays(spark, sf_dir).withColumn("dilated", volume.dilate(above, CUBE, 1)), "dilated")
 
 
 @query(f"WITH {VOX}, b AS (SELECT vec_id, quantile_cont(value, 0.9) AS level FROM vox GROUP BY 1) SELECT vec_id, min(x) AS near, max(x) AS far FROM vox JOIN b USING (vec_id) WHERE value > level GROUP BY vec_id")
 def crop_bbox(spark, sf_dir):
-    return transforms.crop_box(voxels(spark, sf_dir), "vec_id", "x", "value", 0.9)
+    level = pointwise.bound(F.col("v"), "percentile:90")
+    places = arrays(spark, sf_dir).withColumn("level", level).withColumn("at", F.filter(F.transform("v", lambda v, i: F.when(v > F.col("level"), i)), lambda i: i.isNotNull()))
+    return places.where(F.size("at") > 0).select("vec_id", F.array_min("at").alias("near"), F.array_max("at").alias("far"))
 
 
 @query(f"WITH {VOX} SELECT vec_id, (x + 2)::INT AS x, round(value, 4) AS value FROM vox UNION ALL SELECT vec_id, e::INT, -1.0 FROM embeddings, (SELECT unnest([0, 1, 66, 67, 68]) AS e)")
 def padding(spark, sf_dir):
-    return rounded(transforms.pad(voxels(spark, sf_dir), "vec_id", "x", "value", 2, 3, EXTENT, -1.0))
+    return points(arrays(spark, sf_dir).withColumn("v", volume.pad(F.col("v"), V, (2,), (3,), "constant", -1.0)))
 
 
 @query(f"WITH {VOX} SELECT v.vec_id, o.range::INT AS x, round(v.value, 4) AS value FROM range(40) o JOIN vox v ON v.x = (o.range * 64) // 40")
 def resample_nearest(spark, sf_dir):
-    return rounded(transforms.resample_nearest(voxels(spark, sf_dir), "vec_id", "x", "value", EXTENT, 40))
+    return points(arrays(spark, sf_dir).withColumn("v", volume.resample(F.col("v"), V, volume.Grid((40,)), labels=True)))
 
 
 @query(f"WITH {VOX}, o AS (SELECT range::INT AS o, greatest(64.0 / 40 * (range + 0.5) - 0.5, 0)::DOUBLE AS pos FROM range(40)), t AS (SELECT o, floor(pos)::INT AS i, pos - floor(pos) AS p FROM o) SELECT a.vec_id, o AS x, round(a.value * (1 - p) + b.value * p, 4) AS value FROM t JOIN vox a ON a.x = t.i JOIN vox b ON b.vec_id = a.vec_id AND b.x = least(t.i + 1, 63)")
 def resample_linear(spark, sf_dir):
-    return rounded(transforms.resample_linear(voxels(spark, sf_dir), "vec_id", "x", "value", EXTENT, 40))
+    return points(arrays(spark, sf_dir).withColumn("v", volume.resample(F.col("v"), V, volume.Grid((40,)))))
 
 
 @query("WITH e AS (SELECT o_orderkey, (o_orderkey % 90 + 1)::INT AS extent FROM orders), g AS (SELECT o_orderkey, extent, unnest(range(CASE WHEN extent <= 16 THEN 1 ELSE ceil((extent - 16) / 12.0)::INT + 1 END)) AS k FROM e) SELECT o_orderkey, k::INT AS patch_idx, (k * 12)::INT AS start, least(k * 12 + 16, extent)::INT AS stop FROM g")
@@ -274,7 +317,7 @@ def _blend(kind):
 
 for _kind, _weight in (("mean", "1.0"), ("cosinus", "least(CASE WHEN o < 4 THEN sin((o + 0.5) / 4 * pi() / 2) ** 2 ELSE 1 END, CASE WHEN 15 - o < 4 THEN sin((15 - o + 0.5) / 4 * pi() / 2) ** 2 ELSE 1 END)"), ("gaussian", "exp(-((o - 7.5) ** 2) / 8.0)")):
     QUERIES[f"patch_blend_{_kind}"] = _blend(_kind)
-    SQL[f"patch_blend_{_kind}"] = plain_zero(f"WITH {VOX}, {CELLS}, w AS (SELECT *, ({_weight})::DOUBLE AS w FROM held) SELECT vec_id, x, round(sum(w * (value + k)) / sum(w), 4) AS value FROM w GROUP BY vec_id, x")
+    SQL[f"patch_blend_{_kind}"] = rounds_out(f"WITH {VOX}, {CELLS}, w AS (SELECT *, ({_weight})::DOUBLE AS w FROM held) SELECT vec_id, x, round(sum(w * (value + k)) / sum(w), 4) AS value FROM w GROUP BY vec_id, x")
 
 
 @query(f"WITH {VOX}, {CELLS} SELECT vec_id, x, round(arg_max(value + k, k), 4) AS value FROM held GROUP BY vec_id, x")
@@ -300,7 +343,7 @@ def ensemble_lower_median(spark, sf_dir):
     return rounded(reductions.lower_median(_members(spark, sf_dir), ["label", "x"], "value"))
 
 
-@query(f"WITH {MEM} SELECT label, x, round(var_samp(value), 4) AS variance FROM mem GROUP BY label, x")
+@query(f"WITH {MEM} SELECT label, x, round(coalesce(var_samp(value), 0), 4) AS variance FROM mem GROUP BY label, x")
 def member_variance(spark, sf_dir):
     return rounded(reductions.variance(_members(spark, sf_dir), ["label", "x"], "value"))
 
@@ -311,16 +354,17 @@ def ensemble_concat(spark, sf_dir):
     return rounded(c.select("label", "x", F.size("value").alias("channels"), F.get("value", F.lit(0)).alias("first"), F.element_at("value", -1).alias("last")))
 
 
-@query(f"WITH {MEM}, v AS (SELECT x, label, floor(value * 2)::INT AS cls, count(*) AS n FROM mem GROUP BY ALL) SELECT label, x, round(1 - max(n) / sum(n), 5) AS disagreement FROM v GROUP BY label, x")
+@query(f"WITH {MEM}, v AS (SELECT x, label, floor(value * 2)::INT AS cls, count(*) AS n FROM mem GROUP BY ALL) SELECT label, x, round(CASE WHEN sum(n) > 1 THEN 1 - max(n) / sum(n) ELSE 0 END, 5) AS disagreement, round(CASE WHEN sum(n) > 1 AND sum(n) FILTER (cls <> 0) > 0 THEN 1 - max(n) FILTER (cls <> 0) / sum(n) FILTER (cls <> 0) ELSE 0 END, 5) AS foreground FROM v GROUP BY label, x")
 def disagreement(spark, sf_dir):
     m = _members(spark, sf_dir).withColumn("cls", F.floor(F.col("value") * 2).cast("int"))
-    return rounded(reductions.disagreement(m, ["label", "x"], "cls"), 5)
+    both = reductions.disagreement(m, ["label", "x"], "cls").join(reductions.disagreement(m, ["label", "x"], "cls", True).withColumnRenamed("disagreement", "foreground"), ["label", "x"])
+    return rounded(both, 5)
 
 
-@query("SELECT l_orderkey, coalesce(max((l_partkey * 100000 + l_suppkey) * 3 + l_linenumber % 3) FILTER (WHERE l_linenumber % 3 <> 0) % 3, 0)::INT AS cls FROM lineitem GROUP BY l_orderkey")
+@query("WITH m AS (SELECT l_orderkey, l_linenumber AS member, (l_partkey % 4)::INT AS cls, (l_linenumber - 1) * 3 AS raised FROM lineitem) SELECT l_orderkey, coalesce(arg_max(cls + raised, member * 10 + cls) FILTER (WHERE cls <> 0), 0)::INT AS cls FROM m GROUP BY l_orderkey")
 def merge_labels(spark, sf_dir):
-    m = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("member"), (F.col("l_linenumber") % 3).alias("cls"))
-    return reductions.merge_labels(m, ["l_orderkey"], "member", "cls")
+    m = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("member"), (F.col("l_partkey") % 4).cast("int").alias("cls"))
+    return reductions.merge_labels(m, ["l_orderkey"], "member", "cls", {k: 4 for k in range(1, 8)})
 
 
 @query("WITH v AS (SELECT label AS target, (vec_id * 7 % 10)::INT AS output FROM embeddings), l AS (SELECT target AS label, count(*) AS t FROM v WHERE target <> 0 GROUP BY 1), o AS (SELECT output AS label, count(*) AS o FROM v WHERE output <> 0 GROUP BY 1), c AS (SELECT target AS label, count(*) AS c FROM v WHERE target = output AND target <> 0 GROUP BY 1) SELECT 0 AS grp, label, round((2 * coalesce(c, 0) + 1e-6) / (coalesce(o, 0) + t + 1e-6), 6) AS dice FROM l LEFT JOIN o USING (label) LEFT JOIN c USING (label)")
@@ -329,10 +373,10 @@ def dice_per_label(spark, sf_dir):
     return rounded(metrics.dice(v, ["grp"], "output", "target"), 6)
 
 
-@query("SELECT source, round(avg((quality = toxic)::INT), 6) AS accuracy FROM labels JOIN documents USING (doc_id) GROUP BY source")
+@query(f"WITH {VOX}, r AS (SELECT vec_id, x, row_number() OVER (PARTITION BY vec_id ORDER BY value DESC, x) AS k FROM vox WHERE x < 10) SELECT (e.vec_id % 7)::INT AS grp, round(avg((r.x = e.label)::INT), 6) AS accuracy FROM r JOIN embeddings e USING (vec_id) WHERE k = 1 GROUP BY 1")
 def accuracy(spark, sf_dir):
-    v = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
-    return rounded(metrics.accuracy(v, ["source"], "quality", "toxic"), 6)
+    e = arrays(spark, sf_dir).withColumn("grp", (F.col("vec_id") % 7).cast("int"))
+    return rounded(metrics.accuracy(e, ["grp"], F.slice("v", 1, 10), F.col("label")), 6)
 
 
 LOGP = f"{VOX}, lse AS (SELECT vec_id, log_sum AS s FROM (SELECT vec_id, ln(sum(exp(value))) AS log_sum FROM vox WHERE x < 10 GROUP BY 1)), logp AS (SELECT e.vec_id, e.label, v.value - s AS lp FROM embeddings e JOIN vox v ON v.vec_id = e.vec_id AND v.x = e.label JOIN lse ON lse.vec_id = e.vec_id)"
@@ -358,8 +402,8 @@ def kl(spark, sf_dir):
 
 @query(f"WITH {VOX}, p AS (SELECT vec_id, x // 16 AS c, x % 16 AS i, value FROM vox) SELECT s.vec_id, s.c::INT AS a, t.c::INT AS b, round(avg(s.value * t.value), 4) AS gram FROM p s JOIN p t ON s.vec_id = t.vec_id AND s.i = t.i AND s.c <= t.c GROUP BY ALL")
 def gram(spark, sf_dir):
-    v = voxels(spark, sf_dir).select("vec_id", F.floor(F.col("x") / 16).cast("int").alias("c"), (F.col("x") % 16).alias("i"), "value")
-    return rounded(metrics.gram(v, "vec_id", "c", "i", "value"))
+    e = arrays(spark, sf_dir).select("vec_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.array(*[F.get("v", i + 16 * c) for c in range(4)]))).alias("vector"))
+    return rounded(metrics.gram(e, "vec_id", "vector"))
 
 
 @query("WITH l AS (SELECT label AS grp, vec_id AS idx, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z, embedding[4]::DOUBLE AS u, embedding[5]::DOUBLE AS v, embedding[6]::DOUBLE AS w FROM embeddings) SELECT grp, round(avg(sqrt((x - u) ** 2 + (y - v) ** 2 + (z - w) ** 2)), 4) AS tre, round(max(sqrt((x - u) ** 2 + (y - v) ** 2 + (z - w) ** 2)), 4) AS worst FROM l GROUP BY grp")
@@ -436,7 +480,7 @@ def augment_cutout(spark, sf_dir):
 def adversarial_losses(spark, sf_dir):
     x = F.col("x")
     vox = table(spark, sf_dir, "embeddings").select("label", F.explode(F.col("embedding").cast("array<double>")).alias("x"))
-    return rounded(vox.groupBy("label").agg(F.avg(losses.bce_with_logits(x, 1.0)).alias("bce"), F.avg(x * x).alias("patch_gan"), F.avg((x - 1) * (x - 1)).alias("wgp")))
+    return rounded(vox.groupBy("label").agg(F.avg(losses.bce_with_logits(x, 1.0)).alias("bce"), F.avg(losses.squared_to(x, 0.0)).alias("patch_gan"), F.avg(losses.squared_to(x, 1.0)).alias("wgp")))
 
 
 def beside(spark: SparkSession, sf_dir: str, others: int) -> DataFrame:
@@ -490,20 +534,19 @@ def scheduler_at(spark, sf_dir):
 
 @query("SELECT label, max(len(embedding))::BIGINT AS worst_extent, sum(len(embedding) * 4 * 3)::BIGINT AS cached_bytes FROM embeddings GROUP BY label")
 def cache_plan(spark, sf_dir):
-    extent = F.size("embedding").cast("long")
-    return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.max(extent).alias("worst_extent"), F.sum(extent * 4 * 3).alias("cached_bytes"))
+    shape = F.array(F.size("embedding"))
+    return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.max(F.size("embedding").cast("long")).alias("worst_extent"), F.sum(selection.cached_bytes(shape, 3)).alias("cached_bytes"))
 
 
 @query("WITH s AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT vec_id, round(sqrt(sum(v * v)), 4) AS norm, round(sum(v / 2 * 100), 3) AS percentage FROM s GROUP BY vec_id")
 def norm_percentage(spark, sf_dir):
-    v = F.col("embedding").cast("array<double>")
-    return rounded(table(spark, sf_dir, "embeddings").select("vec_id", F.sqrt(losses.total(F.transform(v, lambda x: x * x))).alias("norm"), losses.total(F.transform(v, lambda x: x / 2 * 100)).alias("percentage")), percentage=3)
+    v = F.col("v")
+    return rounded(arrays(spark, sf_dir).select("vec_id", F.get(pointwise.norm(v, EXTENT), F.lit(0)).alias("norm"), total(pointwise.percentage(v, 2.0)).alias("percentage")), percentage=3)
 
 
 @query(f"WITH {BESIDE} SELECT vec_id, x, round(CASE WHEN b > 0 THEN a ELSE -1 END, 4) AS value FROM s")
 def mask_fill(spark, sf_dir):
-    filled = F.zip_with("v0", "v1", lambda a, m: F.when(m > 0, a).otherwise(F.lit(-1.0)))
-    return rounded(beside(spark, sf_dir, 1).select("vec_id", F.posexplode(filled).alias("x", "value")))
+    return points(beside(spark, sf_dir, 1).withColumn("v", pointwise.masked(F.col("v0"), F.transform("v1", lambda m: (m > 0).cast("int")), -1.0)))
 
 
 @query("WITH p AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings), q AS (SELECT vec_id, -y + 1 AS x, x + 2 AS y, z + 3 AS z FROM p) SELECT vec_id, round(2 * x, 4) AS x, round(y + 0.5e0 * z, 4) AS y, round(z - 1, 4) AS z FROM q")
@@ -513,12 +556,14 @@ def affine_points(spark, sf_dir):
     return rounded(losses.move_points(points, ["x", "y", "z"], losses.compose(turn, stretch)))
 
 
-@query()
+@query(f"WITH {VOX}, c AS (SELECT vec_id, x, least(greatest(value / 4 + 0.5e0, 0), 1) AS a FROM vox), d AS (SELECT vec_id, x, a, 1 - a AS b FROM c), bins AS (SELECT range AS k, range / 22e0 AS t FROM range(23)), w AS (SELECT vec_id, x, k, exp(-968e0 * (a - t) * (a - t)) AS wa, exp(-968e0 * (b - t) * (b - t)) AS wb FROM d, bins), n AS (SELECT vec_id, x, k, wa / sum(wa) OVER p AS wa, wb / sum(wb) OVER p AS wb FROM w WINDOW p AS (PARTITION BY vec_id, x)), j AS (SELECT s.vec_id, s.k AS i, t.k AS j, sum(s.wa * t.wb) / 64 AS p FROM n s JOIN n t ON s.vec_id = t.vec_id AND s.x = t.x GROUP BY ALL), f AS (SELECT vec_id, p, sum(p) OVER (PARTITION BY vec_id, i) AS pa, sum(p) OVER (PARTITION BY vec_id, j) AS pb FROM j) SELECT vec_id, 64::BIGINT AS n, round(sum(p * ln((p + 1e-7) / (pa * pb + 1e-7) + 1e-7)), 4) AS mutual_information FROM f GROUP BY vec_id")
 def mutual_information(spark, sf_dir):
-    v = voxels(spark, sf_dir).select("vec_id", "x", F.least(F.greatest(F.col("value") / 4 + 0.5, F.lit(0.0)), F.lit(1.0)).alias("a")).withColumn("b", 1 - F.col("a"))
-    return metrics.mutual_information(v, ["vec_id"], "a", "b")
+    a = F.transform("v", lambda x: F.least(F.greatest(x / 4 + 0.5, F.lit(0.0)), F.lit(1.0)))
+    v = arrays(spark, sf_dir).select("vec_id", a.alias("a")).withColumn("b", F.transform("a", lambda x: 1 - x))
+    return rounded(metrics.mutual_information(v, ["vec_id"], "a", "b"))
 
 
-@query()
+@query("SELECT event_type, json_object('max', max(value), 'min', min(value), 'count', count(value)) AS report FROM events GROUP BY event_type")
 def report_json(spark, sf_dir):
-    return report.report_json(report.statistics(table(spark, sf_dir, "events"), ["event_type"], "value"), "event_type")
+    s = report.statistics(table(spark, sf_dir, "events"), ["event_type"], "value").select("event_type", "max", "min", "count")
+    return report.report_json(s, "event_type")
\ No newline at end of file

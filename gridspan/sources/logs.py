@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -14,3 +14,64 @@ def parse(lines: DataFrame, column: str, fields: dict[str, tuple[str, str]]) ->
 
 def read(spark: SparkSession, path: str, fields: dict[str, tuple[str, str]]) -> DataFrame:
     return parse(spark.read.text(path), "value", fields)
+
+
+#: Terminal control sequences, and the parts of a progress line.
+ANSI = r"\x1B\[[0-9;?]*[A-Za-z]"
+PROGRESS = r"([0-9]+)%[^0-9]*?\|?[^|0-9]*\|?\s*([0-9]+)/([0-9]+)\s*\[([^<\]]+)<([^,\]]+),\s*([0-9.]+)([a-z]+/[a-z]+)\]"
+MEMORY, GPU, CPU = r"(?<!GPU )Memory \(([-+0-9.]+)G \(([-+0-9.]+) %\)\)", r"Memory GPU \(([-+0-9.]+)G \(([-+0-9.]+) %\)\)", r"CPU \(([-+0-9.]+) %\)"
+PAIR = r"([A-Za-z0-9_]+)\(([-+0-9.eE]+)\) : ([-+0-9.eE]+|nan)"
+EVALUATION = r"^Metric ([A-Za-z_]+) : "
+SCORE = r"([A-Za-z0-9_]+(?::[A-Za-z0-9_]+)+): ([-+0-9.eE]+|nan)"
+
+
+def plain(line: Column) -> Column:
+    return F.regexp_replace(line, ANSI, "")
+
+
+def _field(text: Column, pattern: str, group: int, kind: str) -> Column:
+    return F.nullif(F.regexp_extract(text, pattern, group), F.lit("")).try_cast(kind)
+
+
+def balanced(text: Column, prefix: str) -> Column:
+    """What stands between the parenthesis that ends ``prefix`` and the one that closes it; null without either."""
+    rest = F.substring(text, F.instr(text, prefix) + len(prefix), F.length(text))
+    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("seen"), F.lit(None).cast("int").alias("end"))
+    step = lambda a, c: F.when(a["end"].isNotNull(), a).otherwise(
+        F.struct((a["depth"] + F.when(c == "(", 1).when(c == ")", -1).otherwise(0)).alias("depth"), (a["seen"] + 1).alias("seen"), F.when((c == ")") & (a["depth"] == 1), a["seen"]).alias("end"))
+    )
+    end = F.aggregate(F.split(rest, ""), start, step)["end"]
+    return F.when(F.instr(text, prefix) > 0, F.when(end.isNotNull(), F.substring(rest, F.lit(1), end)))
+
+
+def model_metrics(body: Column) -> Column:
+    """array of struct(model, lr, metrics map) from ``Name(rate) : Metric(weight) : value ...`` groups."""
+    cells = F.regexp_extract_all(body, F.lit(r"[A-Za-z0-9_]+\([-+0-9.eE]+\) :(?: (?:[-+0-9.eE]+|nan)(?![A-Za-z0-9_(]))?"), F.lit(0))
+    name = lambda c: F.regexp_extract(c, r"^([A-Za-z0-9_]+)\(", 1)
+    weight = lambda c: F.regexp_extract(c, r"\(([-+0-9.eE]+)\)", 1).try_cast("double")
+    value = lambda c: F.nullif(F.regexp_extract(c, r" : ([-+0-9.eE]+|nan)$", 1), F.lit("")).try_cast("double")
+    group = "struct<model:string,lr:double,metrics:map<string,double>>"
+
+    def add(done: Column, c: Column) -> Column:
+        fresh = F.array(F.struct(name(c).alias("model"), weight(c).alias("lr"), F.create_map().cast("map<string,double>").alias("metrics")))
+        last = F.try_element_at(done, F.lit(-1))
+        with_one = F.struct(last["model"].alias("model"), last["lr"].alias("lr"), F.map_concat(last["metrics"], F.create_map(name(c), value(c))).alias("metrics"))
+        return F.when(value(c).isNull(), F.concat(done, fresh)).when(F.size(done) > 0, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(with_one))).otherwise(done).cast(f"array<{group}>")
+
+    return F.aggregate(cells, F.array().cast(f"array<{group}>"), add)
+
+
+def live(lines: DataFrame, column: str) -> DataFrame:
+    """``lines`` plus stage, label, step, total, percent, elapsed, remaining, rate, rate_unit, memory, CPU and GPU readings, and metrics (a map): for batches and streams alike.
+
+    Lines without progress and metrics have nulls and an empty map. Metrics are named model:metric, in evaluations as logged.
+    """
+    text = plain(F.col(column))
+    label = F.substring(F.trim(F.substring_index(text, ":", 1)), 1, 40)
+    evaluation = text.rlike(EVALUATION)
+    models = model_metrics(balanced(text, "Loss ("))
+    trained = F.flatten(F.transform(models, lambda m: F.transform(F.map_entries(m["metrics"]), lambda e: F.struct(F.concat(m["model"], F.lit(":"), e["key"]).alias("key"), e["value"].alias("value")))))
+    scored = F.transform(F.regexp_extract_all(text, F.lit(SCORE), F.lit(0)), lambda c: F.struct(F.regexp_extract(c, SCORE, 1).alias("key"), F.regexp_extract(c, SCORE, 2).try_cast("double").alias("value")))
+    entries = F.when(evaluation, scored).otherwise(F.coalesce(trained, F.array().cast("array<struct<key:string,value:double>>")))
+    numbers = {"percent": (PROGRESS, 1, "double"), "step": (PROGRESS, 2, "bigint"), "total": (PROGRESS, 3, "bigint"), "elapsed": (PROGRESS, 4, "string"), "remaining": (PROGRESS, 5, "string"), "rate": (PROGRESS, 6, "double"), "rate_unit": (PROGRESS, 7, "string"), "memory_gb": (MEMORY, 1, "double"), "memory_percent": (MEMORY, 2, "double"), "memory_gpu_gb": (GPU, 1, "double"), "memory_gpu_percent": (GPU, 2, "double"), "cpu_percent": (CPU, 1, "double")}
+    return lines.withColumns({"stage": F.when(evaluation, "Evaluation").otherwise(label), "label": label, **{n: _field(text, *spec) for n, spec in numbers.items()}, "lr": F.get(models, F.lit(0))["lr"], "metrics": F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))})

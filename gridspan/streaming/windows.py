@@ -24,5 +24,16 @@ def session(events: DataFrame, time: str, keys: list[str], value: str, gap: str)
 
 
 def late_safe(events: DataFrame, time: str, lateness: str) -> DataFrame:
-    """A stream whose state is dropped once events are ``lateness`` behind the newest."""
+    """A stream whose state is dropped once events are ``lateness`` behind the newest; later ones are left out of windows."""
     return events.withWatermark(time, lateness)
+
+
+def once(events: DataFrame, time: str, lateness: str, keys: list[str]) -> DataFrame:
+    """Events without repeats of their keys within the lateness."""
+    return events.withWatermark(time, lateness).dropDuplicatesWithinWatermark(keys)
+
+
+def newest(entries: DataFrame, keys: list[str], time: str, values: list[str]) -> DataFrame:
+    """The values of each key's newest entry: state is one row a key. Ties take the greatest values."""
+    row = F.struct(time, *values)
+    return entries.groupBy(*keys).agg(F.max(row).alias("__row")).select(*keys, F.col(f"__row.{time}").alias(time), *[F.col(f"__row.{v}").alias(v) for v in values])

@@ -6,7 +6,13 @@ import os
 import duckdb
 import pytest
 
-from gridspan.plans import catalogue
+from gridspan.plans import case_queries, catalogue, volume_queries  # noqa: F401
+
+
+@pytest.fixture(scope="module")
+def sf_dir():
+    # A larger table shows halves and ties that a small one has not.
+    return os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 
 
 @pytest.fixture(scope="module")
