@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +46,8 @@ EMPTY = "0" * HEX
 class TermMemo(BoundedMemo):
     """A chunk between ASCII white space -> the 64-bit hash of its term: lower case in ASCII, no edge punctuation; 0 for none."""
 
+    entry_bytes = 130
+
     def compute(self, chunk: bytes) -> int:
         term = chunk.strip(EDGES).lower()
         return xxhash.xxh64_intdigest(term, SEED) - (1 << 63) if term else 0
@@ -198,20 +201,25 @@ def compare_with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     The next document is the one with the next higher id, ties by hash of the text, null ids first; after the last comes the
     first, and a single document is its own next one. Null and empty texts have no terms; repeated rows follow one another; an
     empty table gives no rows; very long texts are read whole; other columns, whatever their names, are not carried along.
-    Texts are dealt once, by ranges of ids and text hashes, so that one id in many rows is divided too, and each task walks its
-    range in order. The last row of a range waits for the first of the next one; those two rows per task are written with
+    Texts are dealt once, compressed, by ranges of ids and text hashes, so that one id in many rows is divided too, and each task
+    walks its range in order. The last row of a range waits for the first of the next one; those two rows per task are written with
     their texts and joined afterwards.
     """
     spark = docs.sparkSession
     chosen = lexicon_of(docs, text_col=text_col) if lexicon is None else lexicon
     shared = spark.sparkContext.broadcast(chosen)
 
+    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        smaller = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([smaller(v.as_py()) for v in batch.column(2)], pa.binary())], schema=batch.schema)
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, part = Fingerprinter(shared.value), TaskContext.get().partitionId()
+        of, part, plain = Fingerprinter(shared.value), TaskContext.get().partitionId(), zstandard.ZstdDecompressor().decompress
         held, rows = None, []
         for batch in batches:
-            for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = value.as_py()
+            for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                text = plain(value.as_py()).decode("utf-8", "replace")
                 own = of(text.encode())
                 if held is None:
                     rows.append((part, "first", doc_id, len(text), None, bytes.fromhex(own), None, None, None, text))
@@ -225,10 +233,11 @@ def compare_with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             rows.append((part, "last", held[0], len(held[1]), None, bytes.fromhex(held[2]), None, None, None, held[1]))
             yield _record(rows)
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("high"), text.cast("binary").alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("doc_id"), F.xxhash64("text")]
-    walked = written(texts.repartitionByRange(parts, *order).sortWithinPartitions(*order, "text").mapInArrow(walk, COMPARED_DDL), "imatch-ranges")
+    dealt = texts.mapInArrow(compress, "doc_id long, high long, text binary").repartitionByRange(parts, "doc_id", "high").sortWithinPartitions("doc_id", "high", "text")
+    walked = written(dealt.mapInArrow(walk, COMPARED_DDL), "imatch-ranges")
 
     filled = sorted(r[0] for r in walked.where("edge = 'first'").select("part").collect())
     following = spark.createDataFrame([(p, filled[(i + 1) % len(filled)]) for i, p in enumerate(filled)], "part int, next_part int")

@@ -63,6 +63,8 @@ CHUNK = 2_000_000
 class WordHashes(BoundedMemo):
     """A word -> its 64-bit hash."""
 
+    entry_bytes = 130
+
     def compute(self, word: bytes) -> int:
         return xxhash.xxh3_64_intdigest(word)
 

@@ -16,8 +16,8 @@ from tokenizers import Regex, Tokenizer
 from tokenizers.models import BPE
 from tokenizers.pre_tokenizers import Split
 
-#: Bytes that a memo may hold, an entry's objects counted with ENTRY_BYTES; longer keys than LONGEST_KEY are not kept.
-MEMO_BYTES, ENTRY_BYTES, LONGEST_KEY = 80 << 20, 200, 64
+#: Bytes that a memo may hold; longer keys than LONGEST_KEY are not kept.
+MEMO_BYTES, LONGEST_KEY = 80 << 20, 64
 EDGE_MARKS = frozenset(b".,;:!?")
 # Letters of these ranges are in NFC, are \p{L} in every Unicode version and have one-to-one lower case.
 PLAIN_WORD = re.compile(r"[A-Za-zÀ-ÖØ-Þß-öø-ÿ]+").fullmatch
@@ -54,6 +54,8 @@ class BoundedMemo(dict):
     """
 
     held = 0
+    #: What an entry's objects and its place in the dictionary take, besides the key's own bytes.
+    entry_bytes = 200
 
     def __init__(self):
         self.older: dict = {}
@@ -65,7 +67,7 @@ class BoundedMemo(dict):
         if (value := self.older.get(key)) is None:
             value = self.compute(key)
         if len(key) <= LONGEST_KEY:
-            self.held += len(key) + ENTRY_BYTES + (len(value) if isinstance(value, bytes) else 0)
+            self.held += len(key) + self.entry_bytes + (len(value) if isinstance(value, bytes) else 0)
             if self.held > MEMO_BYTES // 2:
                 self.older, self.held = dict(self), 0
                 self.clear()

@@ -75,7 +75,7 @@ def test_memos_are_bounded(monkeypatch):
     want = {w: memo.compute(w) for w in [f"w{i}".encode() for i in range(900)]}
     for w, ids in [*want.items()] * 2:
         assert memo[w] == ids
-        assert (len(memo) + len(memo.older)) * vocab.ENTRY_BYTES <= 100_000
+        assert (len(memo) + len(memo.older)) * memo.entry_bytes <= 100_000
     memo[b"x" * 65]
     assert b"x" * 65 not in memo
 
