@@ -40,7 +40,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .histogram_sort import discard, written
-from .vocab import BoundedMemo
 
 WORDS, PERCENT = 5, 75
 #: Greatest boundary tried between light and heavy sets.
@@ -56,40 +55,89 @@ BLOCK = 4_000
 #: Words of 64 bits in a sketch, the shortest signature.
 SKETCH = 8
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: An odd factor for each place in a run.
+_FACTORS = np.random.default_rng(20240229).integers(0, 1 << 63, 16, np.uint64) * np.uint64(2) + np.uint64(1)
 #: Shingles gathered before they are counted or sent on.
 CHUNK = 2_000_000
 
 
-class WordHashes(BoundedMemo):
-    """A word -> its 64-bit hash."""
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-    entry_bytes = 130
 
-    def compute(self, word: bytes) -> int:
-        return xxhash.xxh3_64_intdigest(word)
+#: Bytes of a word that are hashed eight at a time over all words at once; longer words by themselves.
+LONG_WORD = 64
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each word: its length, then eight bytes at a time mixed in."""
+    joined = b" ".join(words) + b" "
+    # Eight bytes from each place on, as one number.
+    eight = np.ndarray((len(joined),), "<u8", joined + bytes(8), strides=(1,))
+    ends = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    starts = np.concatenate((np.zeros(1, np.int64), ends[:-1] + 1))
+    lengths = ends - starts
+    hashes = lengths.astype(np.uint64)
+    at = np.arange(len(words))
+    for done in range(0, LONG_WORD, 8):
+        at = at[lengths[at] > done]
+        if not len(at):
+            return hashes
+        hashes[at] = _mix(hashes[at] * _STEP + (eight[starts[at] + done] & _MASKS[np.minimum(lengths[at] - done, 8)]))
+    for k in at[lengths[at] > LONG_WORD].tolist():
+        hashes[k] = xxhash.xxh3_64_intdigest(words[k])
+    return hashes
+
+
+def _distinct(hashes: np.ndarray) -> np.ndarray:
+    hashes = np.sort(hashes)
+    fresh = np.ones(len(hashes), bool)
+    np.not_equal(hashes[1:], hashes[:-1], out=fresh[1:])
+    return hashes[fresh]
+
+
+def _combined(own: np.ndarray, width: int) -> np.ndarray:
+    """A hash for each run of ``width`` words, from the words' hashes; the width is part of it, so that a short text's only run is no other text's."""
+    runs = np.full(len(own) - width + 1, (width * int(_STEP)) & (1 << 64) - 1, np.uint64)
+    for k in range(width):
+        runs += own[k : k + len(runs)] * _FACTORS[k]
+    return _mix(runs)
 
 
-_words = WordHashes()
+def shingle_sets(texts: list[bytes], width: int = WORDS) -> list[np.ndarray]:
+    """Of each text the sorted hashes of its distinct runs of ``width`` words, in lower case in ASCII; fewer words make one run."""
+    split = [t.lower().split() for t in texts]
+    words = [w for own in split for w in own]
+    own = word_hashes(words) if words else np.empty(0, np.uint64)
+    runs = _combined(own, width) if len(own) >= width else own[:0]
+    out, at = [], 0
+    for n in map(len, split):
+        out.append(_distinct(runs[at : at + n - width + 1]) if n >= width else _combined(own[at : at + n], n) if n else own[:0])
+        at += n
+    return out
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def shingles(data: bytes, width: int = WORDS) -> np.ndarray:
+    return shingle_sets([data], width)[0]
 
 
-def shingles(data: bytes, width: int = WORDS) -> np.ndarray:
-    """Sorted hashes of the distinct runs of ``width`` words, in lower case in ASCII; fewer words make one run."""
-    words = data.lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    own = np.array([_words[w] for w in words], np.uint64)
-    width = min(width, len(words))
-    # The number of words is part of a run, so that a short text's only run is no other text's.
-    run = np.full(len(words) - width + 1, width, np.uint64)
-    for k in range(width):
-        run = _mix(run * _STEP + own[k : k + len(run)])
-    return np.unique(run)
+#: Bytes of texts that are hashed together.
+TOGETHER = 1 << 18
+
+
+def sets_in(column: pa.Array) -> Iterator[np.ndarray]:
+    """The sets of a column of texts, in order."""
+    held, size = [], 0
+    for value in column:
+        held.append(text := value.as_py())
+        size += len(text)
+        if size > TOGETHER:
+            yield from shingle_sets(held)
+            held, size = [], 0
+    yield from shingle_sets(held)
 
 
 def set_id(hashes: np.ndarray) -> int:
@@ -149,8 +197,7 @@ def describe(texts: DataFrame) -> DataFrame:
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ns, sids, signatures, sets, seen, size = [], [], [], [], set(), 0
-            for value in batch.column(1):
-                hashes = shingles(value.as_py())
+            for hashes in sets_in(batch.column(1)):
                 sid = set_id(hashes)
                 ns.append(len(hashes))
                 sids.append(sid)
@@ -220,8 +267,7 @@ def list_entries(texts: DataFrame, late: np.ndarray, boundary: int) -> DataFrame
         late = shared.value
         for batch in batches:
             seen, rows, size = set(), [], 0
-            for value in batch.column(1):
-                hashes = shingles(value.as_py())
+            for hashes in sets_in(batch.column(1)):
                 if (sid := set_id(hashes)) in seen:
                     continue
                 seen.add(sid)
@@ -299,8 +345,7 @@ def full_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
         chosen = None if chosen is None else set(chosen.tolist())
         for batch in batches:
             seen, sids, sets = set(), [], []
-            for value in batch.column(1):
-                hashes = shingles(value.as_py())
+            for hashes in sets_in(batch.column(1)):
                 sid = set_id(hashes)
                 if sid not in seen and (chosen is None or sid in chosen):
                     seen.add(sid)
@@ -436,8 +481,7 @@ def sid_of(text: Column) -> Column:
     @F.arrow_udf("long")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            sets = [shingles(value.as_py()) for value in batch]
-            yield pa.array([set_id(x) if len(x) else None for x in sets], pa.int64())
+            yield pa.array([set_id(x) if len(x) else None for x in sets_in(batch)], pa.int64())
 
     return of(F.coalesce(text, F.lit("")).cast("binary"))
 
