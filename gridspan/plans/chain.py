@@ -74,10 +74,11 @@ class Chain:
 
     def apply(self, df: DataFrame, column: str, grid: Grid) -> DataFrame:
         """The column taken through all steps. Each step's result is bound before the next reads it."""
-        value = F.col(column)
         for s, g in zip(self.steps, self.grids(grid), strict=False):
-            value = let(value, _on(s.apply, g))
-        return df.withColumn(column, value)
+            # Python functions run on columns alone, not on a lambda's variable.
+            whole = s.locality.kind is Kind.WHOLE_VOLUME
+            df = df.withColumn(column, s.apply(F.col(column), g) if whole else let(F.col(column), _on(s.apply, g)))
+        return df
 
     def undo(self, df: DataFrame, column: str, grid: Grid) -> DataFrame:
         """The steps' inverses in reverse order, for a column of the last grid; steps without one are an error."""

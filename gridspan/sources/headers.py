@@ -189,9 +189,13 @@ def meta_bytes(volume: np.ndarray, header: Header) -> bytes:
     return "\n".join(lines).encode("latin-1") + body.tobytes()
 
 
+#: Element types by their name in Zarr 3.
+ZARR_TYPES = {"int8": "<i1", "uint8": "<u1", "int16": "<i2", "uint16": "<u2", "int32": "<i4", "uint32": "<u4", "int64": "<i8", "uint64": "<u8", "float32": "<f4", "float64": "<f8"}
+
+
 def zarr_header(meta: dict, attributes: dict, level: int = 0) -> Header:
-    """An OME-Zarr level from its array's and its group's metadata; a channel axis is added where there is none, a time axis dropped."""
-    scales = attributes.get("multiscales", [{}])[0]
+    """An OME-Zarr level from its array's metadata and its group's attributes; a channel axis is added where there is none, a time axis dropped."""
+    scales = attributes.get("ome", attributes).get("multiscales", [{}])[0]
     axes = [a["name"] for a in scales.get("axes", [])] or ["t", "c", "z", "y", "x"][-len(meta["shape"]) :]
     own = scales.get("datasets", [{}] * (level + 1))[level].get("coordinateTransformations", [])
     scale = next((t["scale"] for t in own if t["type"] == "scale"), [1.0] * len(axes))
@@ -200,7 +204,8 @@ def zarr_header(meta: dict, attributes: dict, level: int = 0) -> Header:
     channels = meta["shape"][axes.index("c")] if "c" in axes else 1
     n = len(space)
     pick = lambda xs: tuple(float(xs[k]) for k in reversed(space))
-    return Header("omezarr", (channels, *(meta["shape"][k] for k in space)), meta["dtype"], pick(shift), pick(scale), tuple(float(i == j) for i in range(n) for j in range(n)), attributes={"axes": "".join(axes), "chunks": json.dumps(meta["chunks"])})
+    chunks = meta["chunk_grid"]["configuration"]["chunk_shape"]
+    return Header("omezarr", (channels, *(meta["shape"][k] for k in space)), ZARR_TYPES[meta["data_type"]], pick(shift), pick(scale), tuple(float(i == j) for i in range(n) for j in range(n)), attributes={"axes": "".join(axes), "chunks": json.dumps(chunks)})
 
 
 def region_of(header: Header, start: tuple[int, ...], stop: tuple[int, ...]) -> Header:

@@ -3,11 +3,13 @@
 Files come from Spark's own ``binaryFile`` reader, so any store that Spark reads will do, and are named
 ``root/case/group.ending``. A probe sends a file's first bytes to Python and no more; a region read of an
 uncompressed file sends the bytes of its planes. Formats: MetaImage, NIfTI-1, NumPy arrays, uncompressed
-DICOM slices, and OME-Zarr stores with raw or zlib chunks. Files of other kinds are left out of catalogues.
+DICOM slices, and OME-Zarr 0.5 stores (Zarr 3) with plain or gzip chunks. The metadata of older stores lies in hidden
+files, which Spark's readers pass over. Files of other kinds are left out of catalogues.
 """
 
 from __future__ import annotations
 
+import gzip
 import json
 import os
 import shutil
@@ -41,16 +43,24 @@ def _as_row(h: headers.Header | None) -> dict | None:
     return None if h is None else asdict(h) | {"shape": list(h.shape), "attributes": list(h.attributes.items())}
 
 
-@F.arrow_udf(f"struct<{','.join(f.strip().replace(' ', ':', 1) for f in HEADER.split(', '))}>")
-def probe(paths: pa.Array, data: pa.Array) -> pa.Array:
+def _header_ddl() -> str:
+    return f"struct<{','.join(f.strip().replace(' ', ':', 1) for f in HEADER.split(', '))}>"
+
+
+def probe(path: Column | str, data: Column) -> Column:
     """The header of a file from its first bytes; null for no volume or a broken header."""
-    out = []
-    for path, part in zip(paths.to_pylist(), data.to_pylist(), strict=True):
-        try:
-            out.append(_as_row(headers.header_of(path, part)))
-        except (ValueError, KeyError, TypeError, zlib.error, IndexError, headers.struct.error):
-            out.append(None)
-    return pa.array(out, _HEADER)
+
+    @F.arrow_udf(_header_ddl())
+    def read_headers(paths: pa.Array, parts: pa.Array) -> pa.Array:
+        out = []
+        for name, part in zip(paths.to_pylist(), parts.to_pylist(), strict=True):
+            try:
+                out.append(_as_row(headers.header_of(name, part)))
+            except (ValueError, KeyError, TypeError, IndexError, zlib.error, headers.struct.error):
+                out.append(None)
+        return pa.array(out, _HEADER)
+
+    return read_headers(path, data)
 
 
 def catalog(found: DataFrame) -> DataFrame:
@@ -191,22 +201,24 @@ def zarr(spark: SparkSession, root: str, level: int = 0) -> DataFrame:
     path = F.regexp_extract_all("path", F.lit(r"([^/]+)/([^/]+)\.zarr/(.*)$"), F.lit(0))
     named = found.where(F.size(path) > 0).select(F.regexp_extract("path", r"([^/]+)/[^/]+\.zarr/", 1).alias("case"), F.regexp_extract("path", r"/([^/]+)\.zarr/", 1).alias("grp"), F.regexp_extract("path", r"\.zarr/(.*)$", 1).alias("inner"), "content")
     text = lambda name: F.max(F.when(F.col("inner") == name, F.col("content").cast("string")))
-    small = named.where(F.col("inner").isin(".zattrs", f"{level}/.zarray"))
-    meta = small.groupBy("case", "grp").agg(text(f"{level}/.zarray").alias("meta"), text(".zattrs").alias("attrs")).where("meta is not null")
-    chunk = named.where(F.col("inner").rlike(rf"^{level}/[0-9]+([./][0-9]+)*$")).select("case", "grp", F.transform(F.split(F.substring_index("inner", f"{level}/", -1) if level else F.regexp_replace("inner", "^0/", ""), "[./]"), lambda c: c.cast("int")).alias("chunk"), "content")
+    small = named.where(F.col("inner").isin("zarr.json", f"{level}/zarr.json"))
+    meta = small.groupBy("case", "grp").agg(text(f"{level}/zarr.json").alias("meta"), text("zarr.json").alias("attrs")).where("meta is not null")
+    chunk = named.where(F.col("inner").rlike(rf"^{level}/c(/[0-9]+)+$")).select("case", "grp", F.transform(F.split(F.regexp_replace("inner", rf"^{level}/c/", ""), "/"), lambda c: c.try_cast("int")).alias("chunk"), "content")
 
     @F.arrow_udf("array<double>")
     def decode(metas: pa.Array, raw: pa.Array) -> pa.Array:
         out = []
         for m, r in zip(metas.to_pylist(), raw.to_pylist(), strict=True):
             info = json.loads(m)
-            body = zlib.decompress(r) if info.get("compressor") else r
-            out.append(np.frombuffer(body, np.dtype(info["dtype"])).astype(float))
+            packed = [c["name"] for c in info["codecs"] if c["name"] != "bytes"]
+            if packed not in ([], ["gzip"]):
+                raise ValueError(f"chunks packed by {packed} are not read")
+            out.append(np.frombuffer(gzip.decompress(r) if packed else r, np.dtype(headers.ZARR_TYPES[info["data_type"]])).astype(float))
         return pa.array(out, pa.list_(pa.float64()))
 
-    @F.arrow_udf(f"struct<{','.join(f.strip().replace(' ', ':', 1) for f in HEADER.split(', '))}>")
+    @F.arrow_udf(_header_ddl())
     def heads(metas: pa.Array, attrs: pa.Array) -> pa.Array:
-        return pa.array([_as_row(headers.zarr_header(json.loads(m), json.loads(a or "{}"), level)) for m, a in zip(metas.to_pylist(), attrs.to_pylist(), strict=True)], _HEADER)
+        return pa.array([_as_row(headers.zarr_header(json.loads(m), json.loads(a or "{}").get("attributes", {}), level)) for m, a in zip(metas.to_pylist(), attrs.to_pylist(), strict=True)], _HEADER)
 
     return chunk.join(meta.withColumn("h", heads("meta", "attrs")), ["case", "grp"]).select("case", "grp", "chunk", "h.*", decode("meta", "content").alias("values"))
 
@@ -280,23 +292,29 @@ class VolumeWriter(DataSourceWriter):
 
 
 def _write_zarr(path: str, volume: np.ndarray, header: headers.Header, planes_per_chunk: int = 16) -> None:
-    """A store of one level, chunks of whole planes, zlib."""
-    names = ["c", "z", "y", "x"][-volume.ndim :] if volume.ndim == 4 else ["c", "y", "x"]
+    """A store of one level, chunks of whole planes, gzip."""
+    names = ["c", "z", "y", "x"] if volume.ndim == 4 else ["c", "y", "x"]
     chunks = [1, min(planes_per_chunk, volume.shape[1]), *volume.shape[2:]]
     os.makedirs(os.path.join(path, "0"))
-    meta = {"zarr_format": 2, "shape": list(volume.shape), "chunks": chunks, "dtype": volume.dtype.newbyteorder("<").str, "compressor": {"id": "zlib", "level": 1}, "fill_value": 0, "order": "C", "filters": None}
-    space = list(reversed(header.spacing)), list(reversed(header.origin))
-    attributes = {"multiscales": [{"version": "0.4", "axes": [{"name": n} for n in names], "datasets": [{"path": "0", "coordinateTransformations": [{"type": "scale", "scale": [1.0, *space[0]]}, {"type": "translation", "translation": [0.0, *space[1]]}]}]}]}
-    for name, body in ((".zgroup", {"zarr_format": 2}), (".zattrs", attributes), ("0/.zarray", meta)):
+    kinds = {np.dtype(v): k for k, v in headers.ZARR_TYPES.items()}
+    little = volume.astype(volume.dtype.newbyteorder("<"))
+    codecs = [{"name": "bytes", "configuration": {"endian": "little"}}, {"name": "gzip", "configuration": {"level": 1}}]
+    array = {"zarr_format": 3, "node_type": "array", "shape": list(volume.shape), "data_type": kinds[little.dtype], "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": chunks}}, "chunk_key_encoding": {"name": "default", "configuration": {"separator": "/"}}, "fill_value": 0, "codecs": codecs, "dimension_names": names}
+    steps = [{"type": "scale", "scale": [1.0, *reversed(header.spacing)]}, {"type": "translation", "translation": [0.0, *reversed(header.origin)]}]
+    scales = [{"axes": [{"name": n} for n in names], "datasets": [{"path": "0", "coordinateTransformations": steps}]}]
+    group = {"zarr_format": 3, "node_type": "group", "attributes": {"ome": {"version": "0.5", "multiscales": scales}}}
+    for name, body in (("zarr.json", group), ("0/zarr.json", array)):
         with open(os.path.join(path, name), "w") as f:
             json.dump(body, f)
     counts = [-(-n // c) for n, c in zip(volume.shape, chunks, strict=True)]
     for at in np.ndindex(*counts):
-        part = volume[tuple(slice(a * c, (a + 1) * c) for a, c in zip(at, chunks, strict=True))]
-        whole = np.zeros(chunks, volume.dtype)
+        part = little[tuple(slice(a * c, (a + 1) * c) for a, c in zip(at, chunks, strict=True))]
+        whole = np.zeros(chunks, little.dtype)
         whole[tuple(slice(0, n) for n in part.shape)] = part
-        with open(os.path.join(path, "0", ".".join(map(str, at))), "wb") as f:
-            f.write(zlib.compress(whole.astype(whole.dtype.newbyteorder("<")).tobytes(), 1))
+        place = os.path.join(path, "0", "c", *map(str, at))
+        os.makedirs(os.path.dirname(place), exist_ok=True)
+        with open(place, "wb") as f:
+            f.write(gzip.compress(whole.tobytes(), 1))
 
 
 def write(volumes: DataFrame, root: str, kind: str = "mha") -> None:
