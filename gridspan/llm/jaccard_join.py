@@ -22,8 +22,9 @@ so too many of them prove a pair dissimilar. Full sets are read for the pairs th
 
 All links are found without all pairs of a list being written. Sets that are equal become one. Each
 list first links its members to its two hubs and to their neighbours by size and by name; sets that verified links join are one component, and a
-list within one component is done. Only lists of at least four members that still hold several
-components give their remaining pairs across components, which are verified too. So every pair that
+list within one component is done. In lists of at least four members that still hold several components
+each member meets a few drawn ones of other components; then what is left of such lists gives its
+remaining pairs across components, which are verified too. So every pair that
 could connect two components has been compared exactly.
 """
 
@@ -52,6 +53,8 @@ LATE_ENTRIES = 1_000_000
 BROADCAST_ROWS = 2_000_000
 #: Members of a list that one task pairs; longer lists are dealt into blocks of this size.
 BLOCK = 4_000
+#: Others that a member of a list in several components meets before all pairs across them are given.
+DRAWN = 8
 #: Words of 64 bits in a sketch, the shortest signature.
 SKETCH = 8
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -328,6 +331,20 @@ def block_of(sid: Column, blocks: Column) -> Column:
     return F.pmod(F.xxhash64(sid), blocks).cast("int")
 
 
+def can_be_near(x: Column, y: Column, a: Column, b: Column, percent: int = PERCENT) -> Column:
+    """Whether the sketches a, b of the sets of two entries allow their similarity: bits that differ are at most the shingles that do."""
+    total = F.shiftright(x, 32) + F.shiftright(y, 32)
+    different = sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(SKETCH)), F.lit(0))
+    return 100 * (total - different) >= percent * (total + different)
+
+
+def open_lists(lists: DataFrame, hubs: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+    """key, block, blocks, sid, place, label, sketch: entries of the lists that hold several components. Lists of up to three sets have had all their pairs compared."""
+    labelled = lists.join(hubs.where("members > 3").select("key"), "key").join(labels, "sid", "left").select("key", "sid", "place", F.coalesce("label", "sid").alias("label"))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("p"), F.max("label").alias("q"), F.count("*").alias("members")).where("p < q").select("key", blocks_of(F.col("members")).alias("blocks"))
+    return labelled.join(mixed, "key").withColumn("block", block_of(F.col("sid"), F.col("blocks"))).join(classes.select("sid", "sketch"), "sid")
+
+
 def full_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """sid and hashes of the sets whose sid is in ``wanted``, once each. ``wanted`` has with each sid the least id of a document that has that set.
 
@@ -450,17 +467,28 @@ def _linked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
     links = written(verified(tested, classes, texts), "jaccard-links")
     labels = components(links)
 
-    # Lists of up to three sets have had all their pairs compared.
-    open_lists = lists.join(hubs.where("members > 3").select("key"), "key").join(labels, "sid", "left").select("key", "sid", "place", F.coalesce("label", "sid").alias("label"))
-    mixed = open_lists.groupBy("key").agg(F.min("label").alias("p"), F.max("label").alias("q"), F.count("*").alias("members")).where("p < q").select("key", blocks_of(F.col("members")).alias("blocks"))
-    # A long list is dealt into blocks, and each pair of blocks is a list: a pair of entries meets in the one of its own two blocks.
-    dealt = open_lists.join(mixed, "key").withColumn("block", block_of(F.col("sid"), F.col("blocks")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sid", "place", "label")
-    rest = written(dealt.join(classes.select("sid", "sketch"), "sid"), "jaccard-rest")
-    different = sum((F.bit_count(F.get("x.sketch", F.lit(i)).bitwiseXOR(F.get("y.sketch", F.lit(i)))) for i in range(SKETCH)), F.lit(0))
-    total = F.shiftright("x.place", 32) + F.shiftright("y.place", 32)
-    near = 100 * (total - different) >= PERCENT * (total + different)
+    # Lists that still hold several components: first each member meets a few others of other components, drawn anew, so
+    # that a group of near copies in many parts grows together before all pairs across its parts are given.
+    drawn = open_lists(lists, hubs, labels, classes)
+    turn = Window.partitionBy("key", "block").orderBy(F.xxhash64("sid", F.lit(1)))
+    entry = F.struct("sid", "place", "label", "sketch")
+    met = drawn.withColumns({f"other{k}": F.lag(entry, k).over(turn) for k in range(1, DRAWN + 1)})
+    chosen = F.filter(F.array(*[f"other{k}" for k in range(1, DRAWN + 1)]), lambda x: x.isNotNull() & (x["label"] != F.col("label")) & can_match(F.col("place"), x["place"]) & can_be_near(F.col("place"), x["place"], F.col("sketch"), x["sketch"]))
+    few = met.select("sid", F.explode(F.array_distinct(F.transform(chosen, lambda x: x["sid"]))).alias("other")).select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b"))
+    few = written(few.distinct().join(tested, ["a", "b"], "left_anti"), "jaccard-drawn")
+    if not few.isEmpty():
+        tested = tested.unionByName(few)
+        more = written(verified(few, classes, texts), "jaccard-links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = components(links)
+
+    # What is left gives all pairs across components. A long list is dealt into blocks, and each pair of blocks is a list: a
+    # pair of entries meets in the one of its own two blocks.
+    dealt = open_lists(lists, hubs, labels, classes).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = written(dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sid", "place", "label", "sketch"), "jaccard-rest")
     own_blocks = (F.least("x.block", "y.block") == F.col("x.i")) & (F.greatest("x.block", "y.block") == F.col("x.j"))
+    near = can_be_near(F.col("x.place"), F.col("y.place"), F.col("x.sketch"), F.col("y.sketch"))
     meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j")) & own_blocks & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.label") != F.col("y.label")) & can_match(F.col("x.place"), F.col("y.place")) & near
     across = written(rest.alias("x").join(rest.alias("y"), meet).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "jaccard-across")
     if not across.isEmpty():
