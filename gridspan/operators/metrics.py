@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridspan.functions.arrays import average, sample_variance, total
+from gridspan.functions.arrays import average, let, sample_variance, total
 
 SMOOTH = 1e-6
 
@@ -110,9 +110,13 @@ def accuracy(df: DataFrame, keys: list[str], output: Column, target: Column) ->
 
 
 def log_softmax(logits: Column) -> Column:
-    top = F.array_max(logits)
-    norm = F.log(F.aggregate(logits, F.lit(0.0), lambda a, v: a + F.exp(v - top))) + top
-    return F.transform(logits, lambda v: v - norm)
+    """Each logit less the logarithm of the sum of all exponentials."""
+
+    def of(x: Column) -> Column:
+        top = F.array_max(x)
+        return let(let(top, lambda m: F.log(F.aggregate(x, F.lit(0.0), lambda a, v: a + F.exp(v - m))) + m), lambda norm: F.transform(x, lambda v: v - norm))
+
+    return let(logits, of)
 
 
 def cross_entropy(logits: Column, label: Column) -> Column:
@@ -171,10 +175,15 @@ def mutual_information(blocks: DataFrame, keys: list[str], a: str, b: str, bins:
     cells = tables.select(*keys, "__n", F.posexplode("__t").alias("__at", "__s")).groupBy(*keys, "__at").agg(F.sum("__s").alias("__s"), F.sum("__n").alias("__n"))
     # bins * bins cells a group: one small array.
     held = cells.groupBy(*keys).agg(F.max("__n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("__at", "__s"))), lambda c: c["__s"]).alias("__t"))
-    p = held.withColumn("__p", F.transform("__t", lambda s: s / F.col("n")))
-    p = p.withColumns({"__a": F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: total(F.slice("__p", i * bins + 1, F.lit(bins)))), "__b": F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda j: total(F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.get("__p", i * bins + j))))})
-    term = F.transform("__p", lambda x, at: x * F.log((x + 1e-7) / (F.get("__a", F.floor(at / bins).cast("int")) * F.get("__b", at % bins) + 1e-7) + 1e-7))
-    return p.select(*keys, "n", total(term).alias("mutual_information"))
+
+    def information(p: Column) -> Column:
+        each = F.sequence(F.lit(0), F.lit(bins - 1))
+        rows = F.transform(each, lambda i: total(F.slice(p, i * bins + 1, F.lit(bins))))
+        columns = F.transform(each, lambda j: total(F.transform(each, lambda i: F.get(p, i * bins + j))))
+        term = lambda a, b: total(F.transform(p, lambda x, at: x * F.log((x + 1e-7) / (F.get(a, F.floor(at / bins).cast("int")) * F.get(b, at % bins) + 1e-7) + 1e-7)))
+        return let(rows, lambda a: let(columns, lambda b: term(a, b)))
+
+    return held.select(*keys, "n", let(F.transform("__t", lambda s: s / F.col("n")), information).alias("mutual_information"))
 
 
 def features_of(features: Callable[[np.ndarray], np.ndarray], image: Column) -> Column:

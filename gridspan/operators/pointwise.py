@@ -78,15 +78,23 @@ def cast(values: Column, dtype: str) -> Column:
 
 def channel_sum(values: Column, channels: int) -> Column:
     """Sum over the channels of each voxel."""
-    n = F.floor(F.size(values) / channels).cast("int")
-    return F.transform(F.slice(values, F.lit(1), n), lambda v, i: sum((F.get(values, i + n * k) for k in range(1, channels)), v))
+    return _over_channels(values, channels, lambda parts: sum(parts[1:], parts[0]))
+
+
+def _over_channels(values: Column, channels: int, of) -> Column:
+    """``of`` the list of each voxel's channels."""
+
+    def bound(held: Column) -> Column:
+        n = F.floor(F.size(held) / channels).cast("int")
+        return F.transform(F.slice(held, F.lit(1), n), lambda v, i: of([v, *(F.get(held, i + n * k) for k in range(1, channels))]))
+
+    return let(values, bound)
 
 
 def sum_labels(values: Column, channels: int, classes: list[int]) -> Column:
     """Members' label maps added up, a member's labels first raised by the classes less one of the member before it."""
-    n = F.floor(F.size(values) / channels).cast("int")
-    raised = lambda k, v: F.when(v != 0, v + (classes[k - 1] - 1)).otherwise(v)
-    return F.transform(F.slice(values, F.lit(1), n), lambda v, i: sum((raised(k, F.get(values, i + n * k)) for k in range(1, channels)), v))
+    raised = lambda k, v: F.when(v != 0, v + (classes[k - 1] - 1)).otherwise(v) if k else v
+    return _over_channels(values, channels, lambda parts: sum((raised(k, v) for k, v in enumerate(parts)), F.lit(0)))
 
 
 def offsets(classes: list[int]) -> list[int]:
@@ -99,16 +107,15 @@ def offsets(classes: list[int]) -> list[int]:
 
 def merge_labels(values: Column, classes: list[int]) -> Column:
     """Members' label maps as one: each member's labels raised past those of the members before it; of several that claim a voxel the last wins."""
-    n, raised = F.floor(F.size(values) / len(classes)).cast("int"), offsets(classes)
+    raised = offsets(classes)
 
-    def at(v: Column, i: Column) -> Column:
-        out = v
-        for k in range(1, len(classes)):
-            own = F.get(values, i + n * k)
-            out = F.when(own != 0, own + raised[k]).otherwise(out)
+    def last(parts: list[Column]) -> Column:
+        out = parts[0]
+        for own, offset in list(zip(parts, raised, strict=True))[1:]:
+            out = F.when(own != 0, own + offset).otherwise(out)
         return out
 
-    return F.transform(F.slice(values, F.lit(1), n), at)
+    return _over_channels(values, len(classes), last)
 
 
 def flat_label(values: Column, labels: list[int] | None = None) -> Column:
@@ -122,8 +129,7 @@ def percentage(values: Column, baseline: float) -> Column:
 
 def norm(values: Column, channels: int) -> Column:
     """Length of each voxel's vector; channels first."""
-    n = F.floor(F.size(values) / channels).cast("int")
-    return F.transform(F.slice(values, F.lit(1), n), lambda v, i: F.sqrt(sum((F.get(values, i + n * k) * F.get(values, i + n * k) for k in range(1, channels)), v * v)))
+    return _over_channels(values, channels, lambda parts: F.sqrt(sum((v * v for v in parts), F.lit(0.0))))
 
 
 def masked(values: Column, mask: Column, outside: float = 0.0) -> Column:
@@ -177,8 +183,7 @@ def mean_of(values: Column) -> Column:
 
 def channel_variance(values: Column, channels: int) -> Column:
     """Mean over the voxels of the sample variance over their channels; one channel gives 0."""
-    n = F.floor(F.size(values) / channels).cast("int")
-    return average(F.transform(F.slice(values, F.lit(1), n), lambda v, i: sample_variance(F.array(v, *[F.get(values, i + n * k) for k in range(1, channels)]))))
+    return average(_over_channels(values, channels, lambda parts: sample_variance(F.array(*parts))))
 
 
 def gram_matrix(values: Column, channels: int) -> Column:

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridspan.functions.arrays import let
+
 from .ordering import quantiles
 
 
@@ -45,9 +47,13 @@ def clip_percentile(voxels: DataFrame, case: str, value: str, low: float, high:
 
 
 def softmax(values: Column) -> Column:
-    top = F.array_max(values)
-    total = F.aggregate(values, F.lit(0.0), lambda a, v: a + F.exp(v - top))
-    return F.transform(values, lambda v: F.exp(v - top) / total)
+    """Exponentials by their sum."""
+
+    def of(x: Column) -> Column:
+        shares = let(F.array_max(x), lambda top: F.transform(x, lambda v: F.exp(v - top)))
+        return let(shares, lambda e: let(F.aggregate(e, F.lit(0.0), lambda a, v: a + v), lambda s: F.transform(e, lambda v: v / s)))
+
+    return let(values, of)
 
 
 def argmax(values: Column) -> Column:

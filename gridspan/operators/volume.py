@@ -59,11 +59,14 @@ def voxels_of(grid: Grid, value: Callable[[list[Column]], Column]) -> Column:
 def gather(values: Column, source: Grid, out: Grid, where: Places, fill: float | None = None) -> Column:
     """For each voxel of ``out`` the source voxel at ``where`` of its coordinates; ``fill`` outside."""
 
-    def read(at: list[Column]) -> Column:
-        found = where(at)
-        return F.when(source.inside(found), F.get(values, source.place(found))).otherwise(F.lit(fill))
+    def bound(held: Column) -> Column:
+        def read(at: list[Column]) -> Column:
+            found = where(at)
+            return F.when(source.inside(found), F.get(held, source.place(found))).otherwise(F.lit(fill))
 
-    return voxels_of(out, read)
+        return voxels_of(out, read)
+
+    return let(values, bound)
 
 
 def long_form(volumes: DataFrame, keys: list[str], values: str, grid: Grid, axes: list[str]) -> DataFrame:
@@ -198,23 +201,26 @@ def bordered(c: Column, n: int, border: str) -> Column:
 def interpolate(values: Column, grid: Grid, out: Grid, where: Places, border: str = "zeros") -> Column:
     """Linear interpolation at ``where`` of each voxel of ``out``; beyond the border by ``bordered``, voxels outside count 0."""
 
-    def read(at: list[Column]) -> Column:
-        places = F.array(*[bordered(c, n, border).cast("double") for c, n in zip(where(at), grid.shape, strict=True)])
+    def bound(held: Column) -> Column:
+        def read(at: list[Column]) -> Column:
+            places = F.array(*[bordered(c, n, border).cast("double") for c, n in zip(where(at), grid.shape, strict=True)])
+
+            def taps(p: Column) -> Column:
+                coords = [F.get(p, F.lit(k)) for k in range(len(grid.shape))]
+                low = [F.floor(c).cast("int") for c in coords]
+                value = F.lit(0.0)
+                for corner in itertools.product((0, 1), repeat=len(grid.shape)):
+                    weight, tap = F.lit(1.0), [a + b for a, b in zip(low, corner, strict=True)]
+                    for c, a, b in zip(coords, low, corner, strict=True):
+                        weight = weight * ((c - a) if b else (1 - (c - a)))
+                    value = value + F.when(grid.inside(tap), weight * F.get(held, grid.place(tap))).otherwise(0.0)
+                return value
 
-        def taps(p: Column) -> Column:
-            coords = [F.get(p, F.lit(k)) for k in range(len(grid.shape))]
-            low = [F.floor(c).cast("int") for c in coords]
-            value = F.lit(0.0)
-            for corner in itertools.product((0, 1), repeat=len(grid.shape)):
-                weight, tap = F.lit(1.0), [a + b for a, b in zip(low, corner, strict=True)]
-                for c, a, b in zip(coords, low, corner, strict=True):
-                    weight = weight * ((c - a) if b else (1 - (c - a)))
-                value = value + F.when(grid.inside(tap), weight * F.get(values, grid.place(tap))).otherwise(0.0)
-            return value
+            return let(places, taps)
 
-        return let(places, taps)
+        return voxels_of(out, read)
 
-    return voxels_of(out, read)
+    return let(values, bound)
 
 
 def half_pixel(out: Grid, grid: Grid) -> Places:
@@ -320,24 +326,17 @@ def rigid_affine(angles: list[float], shift: list[float]) -> list[list[float]]:
 def along(values: Column, grid: Grid, axis: int, near: Callable[[list[Column], Callable[[int], Column]], Column]) -> Column:
     """Each voxel from its neighbours along an axis; ``near`` gets its coordinates and a reader by distance, null outside."""
 
-    def read(at: list[Column]) -> Column:
-        def neighbour(d: int) -> Column:
-            there = [c + d if k == axis else c for k, c in enumerate(at)]
-            return F.when((there[axis] >= 0) & (there[axis] < grid.shape[axis]), F.get(values, grid.place(there)))
-
-        return near(at, neighbour)
+    def bound(held: Column) -> Column:
+        def read(at: list[Column]) -> Column:
+            def neighbour(d: int) -> Column:
+                there = [c + d if k == axis else c for k, c in enumerate(at)]
+                return F.when((there[axis] >= 0) & (there[axis] < grid.shape[axis]), F.get(held, grid.place(there)))
 
-    return voxels_of(grid, read)
+            return near(at, neighbour)
 
+        return voxels_of(grid, read)
 
-def stage(df: DataFrame, column: str, steps: list[Callable[[Column], Column]]) -> DataFrame:
-    """A column taken through steps one after the other: each is computed in full before the next reads it."""
-    held = "__stage"
-    out = df.withColumn(held, F.col(column))
-    for step in steps:
-        # A lambda's variable holds the array, so that no element computes the steps before it anew.
-        out = out.withColumn(held, let(F.col(held), step))
-    return out.withColumn(column, F.col(held)).drop(held)
+    return let(values, bound)
 
 
 def dilate(values: Column, grid: Grid, radius: int) -> Column:

@@ -83,11 +83,14 @@ def argmax(values: Column, grid: Grid, axis: int) -> Column:
     """Place of the greatest value along an axis, the first of ties; the axis goes."""
     out = Grid(tuple(n for k, n in enumerate(grid.shape) if k != axis))
 
-    def best(at: list[Column]) -> Column:
-        line = F.array(*[F.get(values, grid.place([*at[:axis], F.lit(k), *at[axis:]])) for k in range(grid.shape[axis])])
-        return let(line, lambda x: F.array_position(x, F.array_max(x)) - 1)
+    def bound(held: Column) -> Column:
+        def best(at: list[Column]) -> Column:
+            line = F.array(*[F.get(held, grid.place([*at[:axis], F.lit(k), *at[axis:]])) for k in range(grid.shape[axis])])
+            return let(line, lambda x: F.array_position(x, F.array_max(x)) - 1)
 
-    return voxels_of(out, best)
+        return voxels_of(out, best)
+
+    return let(values, bound)
 
 
 def select(values: Column, grid: Grid, slices: list[tuple[int, int, int]]) -> tuple[Column, Grid]:
