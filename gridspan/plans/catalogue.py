@@ -563,7 +563,7 @@ def mutual_information(spark, sf_dir):
     return rounded(metrics.mutual_information(v, ["vec_id"], "a", "b"))
 
 
-@query("SELECT event_type, json_object('max', max(value), 'min', min(value), 'count', count(value)) AS report FROM events GROUP BY event_type")
+@query("SELECT event_type, json_object('max', max(value), 'min', min(value), 'count', count(value))::VARCHAR AS report FROM events GROUP BY event_type")
 def report_json(spark, sf_dir):
     s = report.statistics(table(spark, sf_dir, "events"), ["event_type"], "value").select("event_type", "max", "min", "count")
     return report.report_json(s, "event_type")
\ No newline at end of file
