@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, histogram_sort, imatch, jaccard_join, license_scan, packing, pii, quality_bands, unigram_counts
+from . import byte_bpe, chat_format, fill_middle, histogram_sort, imatch, jaccard_join, license_scan, packing, pii, quality_bands, unigram_counts, vector_codes, vector_search
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +86,30 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.compare_with_edits(_documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hierarchical_packing, op2_byte_bpe, op3_histogram_sort, op4_jaccard_join, op5_unigram_counts, op6_license_scan, op7_chat_format, op8_quality_bands, op9_personal_data, op10_imatch)}
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(_documents(spark, sf_dir))
+    return made.select(
+        "doc_id",
+        F.col("fim_n").alias("n"),
+        F.col("fim_form").alias("form"),
+        F.col("fim_prefix_chars").alias("prefix_chars"),
+        F.col("fim_middle_chars").alias("middle_chars"),
+        F.sha2("fim_output", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restore(F.col("fim_output"), F.col("fim_form")), 256).alias("restored_sha256"),
+    )
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label"))
+    summed = vector_codes.with_label_error(coded)
+    return summed.select("vec_id", F.lower(F.hex("codes")).alias("code"), "error", "label_error", F.lit(books.digest() if books else None).cast("string").alias("codebooks_sha256"))
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hierarchical_packing, op2_byte_bpe, op3_histogram_sort, op4_jaccard_join, op5_unigram_counts, op6_license_scan, op7_chat_format, op8_quality_bands, op9_personal_data, op10_imatch, op11_fill_middle, op12_vector_codes, op13_nearest_neighbours)}
 
 #: Words and sets of shingles, links through the shingles that two documents share, and what links reach.
 JACCARD_SQL = r"""
@@ -127,4 +150,52 @@ SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss)
 FROM c
 """
 
-ORACLES: dict[str, str] = {"op4_jaccard_join": JACCARD_SQL, "op7_chat_format": CHAT_SQL}
+#: Units of a text, and the text cut by their ordinals.
+FILL_SQL = r"""
+WITH t AS (
+    SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), d AS (
+    SELECT *, len(u) AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS c1, ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS c2,
+        CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 90 THEN 'plain'
+            WHEN ('0x' || h[25:32])::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+    FROM t
+), p AS (
+    SELECT *, array_to_string(u[1:least(c1, c2)], '') AS prefix, array_to_string(u[least(c1, c2) + 1:greatest(c1, c2)], '') AS middle, array_to_string(u[greatest(c1, c2) + 1:n], '') AS suffix FROM d
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+    sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE text END) AS output_sha256,
+    sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+def _codes_sql(parts: int = vector_codes.PARTS, entries: int = vector_codes.ENTRIES, rounds: int = vector_codes.ROUNDS, scale: int = vector_codes.SCALE) -> str:
+    """All distances in every round; the nearest entry by (distance, index) in one number."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (
+    SELECT p.vec_id, p.label, p.part, p.v, min(list_sum(list_transform(list_zip(p.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::HUGEINT * {entries} + c.entry) AS best
+    FROM p JOIN c{k} c ON c.part = p.part GROUP BY p.vec_id, p.label, p.part, p.v
+)""")
+        if k < rounds:
+            steps.append(f"""s{k} AS (
+    SELECT part, (best % {entries})::BIGINT AS entry, unnest(v) AS x, unnest(range(len(v))) AS pos FROM a{k}
+), m{k} AS (
+    SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY pos) AS v FROM (SELECT part, entry, pos, sum(x)::BIGINT AS s, count(*) AS n FROM s{k} GROUP BY ALL) GROUP BY part, entry
+), c{k + 1} AS MATERIALIZED (SELECT c.part, c.entry, coalesce(m.v, c.v) AS v FROM c{k} c LEFT JOIN m{k} m ON m.part = c.part AND m.entry = c.entry)""")
+    return f"""
+WITH k AS (
+    SELECT vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS MATERIALIZED (SELECT vec_id, label, part, v[part * len(v) // {parts} + 1:(part + 1) * len(v) // {parts}] AS v FROM k, range({parts}) r(part)
+), f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM k QUALIFY entry < {entries}
+), c0 AS MATERIALIZED (SELECT p.part, f.entry, p.v FROM p JOIN f ON f.vec_id = p.vec_id
+), {", ".join(steps)}, e AS (
+    SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', (best % {entries})::BIGINT), '' ORDER BY part) AS code, sum(best // {entries})::BIGINT AS error FROM a{rounds} GROUP BY vec_id
+), l AS (SELECT label, sum(error)::BIGINT AS label_error FROM e GROUP BY label)
+SELECT e.vec_id, e.code, e.error, l.label_error, (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) FROM c{rounds}) AS codebooks_sha256
+FROM e JOIN l ON l.label IS NOT DISTINCT FROM e.label
+"""
+
+
+ORACLES: dict[str, str] = {"op4_jaccard_join": JACCARD_SQL, "op7_chat_format": CHAT_SQL, "op11_fill_middle": FILL_SQL, "op12_vector_codes": _codes_sql()}
