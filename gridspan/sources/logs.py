@@ -1,10 +1,17 @@
-"""Log lines as rows: patterns to typed columns, for batch and streaming text alike."""
+"""Log lines as rows: patterns to typed columns, for batch and streaming text alike.
+
+A live line is cut at its own separators, from the outside in: the last brackets hold times and rate, what stands before them
+the counts and the share; the rest is a narrative of readings ``Name (amount (share))`` and of metrics, either
+``Loss (Model(rate) : Metric(weight) : value ...)`` or ``Metric SPLIT : name: value | name: value``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridspan.functions.arrays import let, running
+
 
 def parse(lines: DataFrame, column: str, fields: dict[str, tuple[str, str]]) -> DataFrame:
     """A column per field, of the first group of its pattern; null where a line has none."""
@@ -16,62 +23,149 @@ def read(spark: SparkSession, path: str, fields: dict[str, tuple[str, str]]) ->
     return parse(spark.read.text(path), "value", fields)
 
 
-#: Terminal control sequences, and the parts of a progress line.
-ANSI = r"\x1B\[[0-9;?]*[A-Za-z]"
-PROGRESS = r"([0-9]+)%(?:\|[^|]*\|)?\s*([0-9]+)/([0-9]+)\s*\[([^<\]]+)<([^,\]]+),\s*([0-9.]+)([a-z]+/[a-z]+)\]"
-MEMORY, GPU, CPU = r"(?<!GPU )Memory \(([-+0-9.]+)G \(([-+0-9.]+) %\)\)", r"Memory GPU \(([-+0-9.]+)G \(([-+0-9.]+) %\)\)", r"CPU \(([-+0-9.]+) %\)"
-PAIR = r"([A-Za-z0-9_]+)\(([-+0-9.eE]+)\) : ([-+0-9.eE]+|nan)"
-EVALUATION = r"^Metric ([A-Za-z_]+) : "
-SCORE = r"([A-Za-z0-9_]+(?::[A-Za-z0-9_]+)+): ([-+0-9.eE]+|nan)"
+#: The words of a live line that tell its parts.
+STAGES, SCORED, LOSS = ("Training", "Validation", "Prediction"), "Metric", "Loss ("
+MEMORY, GPU, CPU = "Memory", "Memory GPU", "CPU"
+LABEL_CHARS = 40
 
 
 def plain(line: Column) -> Column:
-    return F.regexp_replace(line, ANSI, "")
+    """Without terminal control sequences: parameter bytes, intermediate bytes and a final byte, as ECMA-48 has them."""
+    return F.regexp_replace(line, r"\x1B\[[0-?]*[ -/]*[@-~]", "")
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+
+
+def _before_last(text: Column, mark: str) -> Column:
+    """What stands before the last ``mark``; null without one."""
+    return F.when(F.contains(text, F.lit(mark)), F.substring(text, F.lit(1), F.length(text) - F.length(F.substring_index(text, mark, -1)) - len(mark)))
+
+
+def _number(text: Column) -> Column:
+    return F.trim(text).try_cast("double")
+
+
+def progress(text: Column) -> Column:
+    """struct(narrative, percent, step, total, elapsed, remaining, rate, rate_unit); all but the narrative null where the line has no progress."""
+    left = _before_last(text, "[")
+    times = F.split(F.substring_index(F.substring_index(text, "[", -1), "]", 1), ",")
+    clock = F.split(F.get(times, F.lit(0)), "<")
+    speed = F.trim(F.get(times, F.lit(1)))
+    unit = F.trim(F.ltrim(speed, F.lit("0123456789.")))
+    share = F.substring_index(F.translate(_before_last(left, "%"), ":", " "), " ", -1)
+    counts = F.split(F.substring_index(F.substring_index(left, "%", -1), "|", -1), "/")
+    whole = lambda i: F.trim(F.get(counts, F.lit(i))).try_cast("bigint")
+    found = F.struct(
+        _number(share).alias("percent"),
+        whole(0).alias("step"),
+        whole(1).alias("total"),
+        F.trim(F.get(clock, F.lit(0))).alias("elapsed"),
+        F.trim(F.get(clock, F.lit(1))).alias("remaining"),
+        _number(F.substring(speed, F.lit(1), F.length(speed) - F.length(F.ltrim(speed, F.lit("0123456789."))))).alias("rate"),
+        unit.alias("rate_unit"),
+    )
+
+    def checked(found: Column) -> Column:
+        sure = (F.size(counts) == 2) & (F.size(clock) == 2) & found["percent"].isNotNull() & found["step"].isNotNull() & found["total"].isNotNull() & found["rate"].isNotNull() & found["rate_unit"].isin("it/s", "s/it")
+        return F.when(sure, found)
 
+    def named(found: Column) -> Column:
+        rest = _before_last(left, "%")
+        narrative = F.when(found.isNull(), text).otherwise(F.substring(rest, F.lit(1), F.length(rest) - F.length(share)))
+        return F.struct(narrative.alias("narrative"), *[found[c].alias(c) for c in ("percent", "step", "total", "elapsed", "remaining", "rate", "rate_unit")])
 
-def _field(text: Column, pattern: str, group: int, kind: str) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit("")).try_cast(kind)
+    return let(let(found, checked), named)
+
+
+def readings(text: Column) -> Column:
+    """array of struct(name, amount): what stands before each opening parenthesis, and after it up to the next parenthesis."""
+
+    def cells(pieces: Column) -> Column:
+        name = lambda p: F.trim(F.element_at(F.split(p, "[)|:]"), -1))
+        return F.transform(F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p, i: F.struct(name(p).alias("name"), F.trim(F.substring_index(F.get(pieces, i + 1), ")", 1)).alias("amount")))
+
+    return let(F.split(text, r"\("), cells)
+
+
+def _reading(cells: Column, name: str, nested: int, unit: str) -> Column:
+    """The amount of the first reading of a name, or that of the parenthesis ``nested`` further on, without its unit."""
+    ends = F.transform(cells, lambda c: F.endswith(F.concat(F.lit(" "), c["name"]), F.lit(f" {name}")))
+    at = F.array_position(ends, F.lit(True)).cast("int")
+    amount = F.get(cells, at - 1 + nested)["amount"]
+    return F.when((at > 0) & F.endswith(amount, F.lit(unit)), _number(F.rtrim(amount, F.lit(unit))))
 
 
 def balanced(text: Column, prefix: str) -> Column:
     """What stands between the parenthesis that ends ``prefix`` and the one that closes it; null without either."""
-    rest = F.substring(text, F.instr(text, prefix) + len(prefix), F.length(text))
-    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("seen"), F.lit(None).cast("int").alias("end"))
-    step = lambda a, c: F.when(a["end"].isNotNull(), a).otherwise(
-        F.struct((a["depth"] + F.when(c == "(", 1).when(c == ")", -1).otherwise(0)).alias("depth"), (a["seen"] + 1).alias("seen"), F.when((c == ")") & (a["depth"] == 1), a["seen"]).alias("end"))
-    )
-    end = F.aggregate(F.split(rest, ""), start, step)["end"]
-    return F.when(F.instr(text, prefix) > 0, F.when(end.isNotNull(), F.substring(rest, F.lit(1), end)))
+
+    def of(rest: Column) -> Column:
+        steps = F.transform(F.split(rest, ""), lambda c: F.when(c == "(", 1).when(c == ")", -1).otherwise(0))
+        # Depth before each character; the closing one is the first that comes at depth 0 and leads below.
+        depth = F.zip_with(running(steps, F.lit(0), lambda a, d: a + d), steps, lambda a, d: a + d)
+        end = F.array_position(F.transform(depth, lambda d: d < 0), F.lit(True)).cast("int")
+        return F.when(end > 0, F.substring(rest, F.lit(1), end - 1))
+
+    return F.when(F.contains(text, F.lit(prefix)), let(F.substring(text, F.instr(text, prefix) + len(prefix), F.length(text)), of))
 
 
 def model_metrics(body: Column) -> Column:
-    """array of struct(model, lr, metrics map) from ``Name(rate) : Metric(weight) : value ...`` groups."""
-    cells = F.regexp_extract_all(body, F.lit(r"[A-Za-z0-9_]+\([-+0-9.eE]+\) :(?: (?:[-+0-9.eE]+|nan)(?![A-Za-z0-9_(]))?"), F.lit(0))
-    name = lambda c: F.regexp_extract(c, r"^([A-Za-z0-9_]+)\(", 1)
-    weight = lambda c: F.regexp_extract(c, r"\(([-+0-9.eE]+)\)", 1).try_cast("double")
-    value = lambda c: F.nullif(F.regexp_extract(c, r" : ([-+0-9.eE]+|nan)$", 1), F.lit("")).try_cast("double")
-    group = "struct<model:string,lr:double,metrics:map<string,double>>"
+    """array of struct(model, lr, metric, weight, value). A name with a number in parentheses is a metric if a number follows, else the model of those behind it."""
+    name = lambda w: F.substring_index(w, "(", 1)
+    inside = lambda w: _number(F.rtrim(F.substring_index(w, "(", -1), F.lit(")")))
+    is_name = lambda w: F.contains(w, F.lit("("))
+
+    def of(words: Column) -> Column:
+        value = lambda i: F.when(~is_name(F.get(words, i + 1)), _number(F.get(words, i + 1)))
+        model = F.struct(F.lit(None).cast("string").alias("model"), F.lit(None).cast("double").alias("lr"))
+        models = F.transform(words, lambda w, i: F.when(is_name(w) & value(i).isNull(), F.struct(name(w).alias("model"), inside(w).alias("lr"))))
+        last = running(models, model, lambda a, m: F.coalesce(m, a))
+        made = F.zip_with(F.transform(words, lambda w, i: F.struct(w.alias("word"), value(i).alias("value"))), last, lambda w, m: F.struct(m["model"].alias("model"), m["lr"].alias("lr"), name(w["word"]).alias("metric"), inside(w["word"]).alias("weight"), w["value"].alias("value"), is_name(w["word"]).alias("named")))
+        return F.transform(F.filter(made, lambda m: m["named"] & m["value"].isNotNull() & m["model"].isNotNull()), lambda m: m.dropFields("named"))
+
+    return F.when(body.isNull(), F.array().cast("array<struct<model:string,lr:double,metric:string,weight:double,value:double>>")).otherwise(let(F.filter(_words(body), lambda w: w != ":"), of))
 
-    def add(done: Column, c: Column) -> Column:
-        fresh = F.array(F.struct(name(c).alias("model"), weight(c).alias("lr"), F.create_map().cast("map<string,double>").alias("metrics")))
-        last = F.try_element_at(done, F.lit(-1))
-        with_one = F.struct(last["model"].alias("model"), last["lr"].alias("lr"), F.map_concat(last["metrics"], F.create_map(name(c), value(c))).alias("metrics"))
-        return F.when(value(c).isNull(), F.concat(done, fresh)).when(F.size(done) > 0, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(with_one))).otherwise(done).cast(f"array<{group}>")
 
-    return F.aggregate(cells, F.array().cast(f"array<{group}>"), add)
+def scores(narrative: Column) -> Column:
+    """array of struct(key, value) of ``name: value`` cells between bars; a name may hold colons itself."""
+    cells = F.transform(F.split(narrative, r"\|"), lambda c: F.rtrim(F.trim(c), F.lit(": ")))
+    pairs = F.transform(cells, lambda c: F.struct(F.trim(_before_last(c, ":")).alias("key"), _number(F.substring_index(c, ":", -1)).alias("value")))
+    return F.filter(pairs, lambda p: (F.length(p["key"]) > 0) & p["value"].isNotNull())
 
 
 def live(lines: DataFrame, column: str) -> DataFrame:
-    """``lines`` plus stage, label, step, total, percent, elapsed, remaining, rate, rate_unit, memory, CPU and GPU readings, and metrics (a map): for batches and streams alike.
+    """``lines`` plus stage, label, step, total, percent, elapsed, remaining, rate, rate_unit, memory, CPU and GPU readings, lr, and metrics (a map): for batches and streams alike.
 
-    Lines without progress and metrics have nulls and an empty map. Metrics are named model:metric, in evaluations as logged.
+    Lines without progress and metrics have nulls and an empty map; a null line has no label either. Metrics are named
+    model:metric, in evaluations as logged; of one name the last stays.
     """
     text = plain(F.col(column))
-    label = F.substring(F.trim(F.substring_index(text, ":", 1)), 1, 40)
-    evaluation = text.rlike(EVALUATION)
-    models = model_metrics(balanced(text, "Loss ("))
-    trained = F.flatten(F.transform(models, lambda m: F.transform(F.map_entries(m["metrics"]), lambda e: F.struct(F.concat(m["model"], F.lit(":"), e["key"]).alias("key"), e["value"].alias("value")))))
-    scored = F.transform(F.regexp_extract_all(text, F.lit(SCORE), F.lit(0)), lambda c: F.struct(F.regexp_extract(c, SCORE, 1).alias("key"), F.regexp_extract(c, SCORE, 2).try_cast("double").alias("value")))
-    entries = F.when(evaluation, scored).otherwise(F.coalesce(trained, F.array().cast("array<struct<key:string,value:double>>")))
-    numbers = {"percent": (PROGRESS, 1, "double"), "step": (PROGRESS, 2, "bigint"), "total": (PROGRESS, 3, "bigint"), "elapsed": (PROGRESS, 4, "string"), "remaining": (PROGRESS, 5, "string"), "rate": (PROGRESS, 6, "double"), "rate_unit": (PROGRESS, 7, "string"), "memory_gb": (MEMORY, 1, "double"), "memory_percent": (MEMORY, 2, "double"), "memory_gpu_gb": (GPU, 1, "double"), "memory_gpu_percent": (GPU, 2, "double"), "cpu_percent": (CPU, 1, "double")}
-    return lines.withColumns({"stage": F.when(evaluation, "Evaluation").otherwise(label), "label": label, **{n: _field(text, *spec) for n, spec in numbers.items()}, "lr": F.get(models, F.lit(0))["lr"], "metrics": F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))})
+    head = F.substring_index(text, ":", 1)
+    words = _words(head)
+    evaluation = (F.try_element_at(words, F.lit(-2)) == SCORED) & F.contains(text, F.lit(":"))
+    evaluation = F.coalesce(evaluation, F.lit(False))
+    label = F.when(evaluation, F.concat(F.lit(f"{SCORED} "), F.upper(F.element_at(words, -1)))).otherwise(F.substring(F.trim(head), 1, LABEL_CHARS))
+    stage = F.when(evaluation, "Evaluation").when(F.try_element_at(words, F.lit(-1)).isin(*STAGES), F.element_at(words, -1)).otherwise(label)
+    hidden = lines.withColumns({"__progress": progress(text), "__cells": readings(text), "__models": model_metrics(balanced(text, LOSS)), "stage": stage, "label": label, "__scored": evaluation})
+    said = F.col("__progress.narrative")
+    scored = scores(F.substring(said, F.instr(said, ":") + 1, F.length(said)))
+    trained = F.transform("__models", lambda m: F.struct(F.concat(m["model"], F.lit(":"), m["metric"]).alias("key"), m["value"].alias("value")))
+    entries = F.when(F.col("__scored"), scored).otherwise(trained)
+
+    def latest(entries: Column) -> Column:
+        return F.map_from_entries(F.filter(entries, lambda e, i: ~F.array_contains(F.transform(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"]), e["key"])))
+
+    cells = F.col("__cells")
+    return hidden.withColumns(
+        {
+            **{c: F.col(f"__progress.{c}") for c in ("percent", "step", "total", "elapsed", "remaining", "rate", "rate_unit")},
+            "memory_gb": _reading(cells, MEMORY, 0, "G"),
+            "memory_percent": _reading(cells, MEMORY, 1, " %"),
+            "memory_gpu_gb": _reading(cells, GPU, 0, "G"),
+            "memory_gpu_percent": _reading(cells, GPU, 1, " %"),
+            "cpu_percent": _reading(cells, CPU, 0, " %"),
+            "lr": F.get("__models", F.lit(0))["lr"],
+            "metrics": F.when(entries.isNull(), F.create_map().cast("map<string,double>")).otherwise(let(entries, latest)),
+        }
+    ).drop("__progress", "__cells", "__models", "__scored")

@@ -189,10 +189,19 @@ LINES = [
 
 
 def test_live_lines(spark):
-    df = spark.createDataFrame(list(enumerate(LINES)), "n int, line string")
-    a, b, c, d = logs.live(df, "line").orderBy("n").collect()
+    more = ["x Training : Loss (A(0.1) : L1(1) : nan L2(2.0) : 1e-3 B(0.01) : L1(1) : 4 ) : 3% 1 / 30 [00:01<00:31, 2.0 it/s]", "Metric validation : A:B:Dice: 0.5:  10%|#| 1/10 [00:00<00:09,  1.0it/s]", "… Memory GPU (19.55G (76.22 %)) | Memory (33.96G (27.60 %)) …", "Loss (never closed", "", None, "a [b] 5% 1/x [1<2, 3it/s]", "Metric TRAIN : A:Dice: 0.5 | A:Dice: 0.75 | A:HD: -inf"]
+    df = spark.createDataFrame(list(enumerate([*LINES, *more])), "n int, line string")
+    a, b, c, d, *rest = logs.live(df, "line").orderBy("n").collect()
     assert (a["stage"], a["step"], a["total"], a["rate_unit"], a["memory_gpu_gb"], a["memory_gpu_percent"], a["memory_gb"], a["lr"]) == ("Training", 335, 2130, "s/it", 19.55, 76.22, 33.96, 0.001)
+    assert (a["percent"], a["elapsed"], a["remaining"], a["rate"], a["memory_percent"], a["cpu_percent"]) == (16.0, "19:06", "1:03:43", 2.13, 27.6, None)
     assert a["metrics"] == {"Net5:MAE": 0.012225, "Net5:Feature_L1": 0.080258}
-    assert (b["stage"], b["step"], b["memory_gb"], b["cpu_percent"], b["metrics"]) == ("Caching Train", 3, 18.62, 23.6, {})
+    assert (b["stage"], b["step"], b["percent"], b["memory_gb"], b["cpu_percent"], b["memory_gpu_gb"], b["metrics"]) == ("Caching Train", 3, 5.0, 18.62, 23.6, None, {})
     assert (c["stage"], c["label"], c["step"], c["metrics"]) == ("Evaluation", "Metric TRAIN", 5, {"PRED:SEG:Dice": 0.9123, "PRED:SEG:HD95": 3.421})
     assert d["step"] is None and d["metrics"] == {}
+    e, f, g, h, i, j, k, m = rest
+    assert (e["stage"], e["step"], e["total"], e["percent"], e["rate"], e["rate_unit"], e["lr"]) == ("Training", 1, 30, 3.0, 2.0, "it/s", 0.1)
+    assert repr(e["metrics"]["A:L1"]) == "nan" and (e["metrics"]["A:L2"], e["metrics"]["B:L1"]) == (0.001, 4.0)
+    assert (f["stage"], f["label"], f["metrics"], f["step"]) == ("Evaluation", "Metric VALIDATION", {"A:B:Dice": 0.5}, 1)
+    assert (g["memory_gpu_gb"], g["memory_gpu_percent"], g["memory_gb"], g["memory_percent"]) == (19.55, 76.22, 33.96, 27.6)
+    assert all(x["step"] is None and x["rate"] is None and x["metrics"] == {} for x in (h, i, j, k))
+    assert m["metrics"] == {"A:Dice": 0.75, "A:HD": float("-inf")}
