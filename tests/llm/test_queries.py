@@ -449,6 +449,26 @@ def test_personal_data(docs):
     assert lines(got) == sorted(want, key=repr)
 
 
+def test_personal_data_in_long_runs(spark):
+    """Runs that no match takes in, a megabyte each, and matches that follow one another at once."""
+    import time
+
+    n = 1_000_000
+    long = ["x@y.org " + "a" * n, "1.2.3.4 " + "7" * n, "x@y.org " + "a1+" * (n // 3) + "@", "a@" * (n // 2), "1.2." * (n // 4), "+1" + "(" * n, "QUJD" * (n // 4) + "= m@x.de", "4 " * (n // 2) + "a"]
+    short = ["a@b.c+x@y.z", "a@b.c.d+e@f.g+h@i", "1.2.3.45.6.7.8", "1.1.1.1.1.1.1.1.1", "999.1.1.1.1.1.1", "1.2.3.4a@b.c5.6.7.8", "..a@b..c@d.e", "a@b@c.d", "12.3.4.5@6.7.8.9", "+@a.b", "é1.2.3.4é%@é.é"]
+    texts = short + long
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    began = time.time()
+    got = dict(pii.find_personal_data(df).select("doc_id", pii.span_list(F.col("pii_spans"), pii.BASE)).collect())
+    assert time.time() - began < 60, "cost is linear in a run"
+    plain = lambda t: [s for k in PII for s in naive_pii(t)[k]]
+    for i, t in enumerate(short):
+        assert got[i] == ",".join(plain(t)), t
+    # Plain patterns are quadratic too: they run on shorter texts of the same kind.
+    for i, t in enumerate(long[:2]):
+        assert got[len(short) + i] == ",".join(s for s in plain(t.replace("a" * n, "a" * 2000).replace("7" * n, "7" * 2000)) if not s.startswith("card"))
+
+
 def test_personal_data_checks_and_redaction(spark):
     texts = ["iban DE89 3704 0044 0532 0130 00 or DE88 3704 0044 0532 0130 00", "call +1 (389) 555-5010 or a@b.cc, é 4111-1111-1111-1111!", None, "nothing"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
