@@ -9,14 +9,14 @@ How many leaves to visit is calibrated: for a bounded sample of queries the true
 all vectors, and visits are widened until the mean recall reaches the target; the ease that needs the fewest visits is taken.
 
 Equal vectors are one in the index, with the ``k`` + 1 least ids that hold them: scores tie, so no other copy can be among
-the nearest. Equal queries are searched once. Leaves are packed into bins of at most BIN_ROWS vectors, and large ones dealt to
-several; a bin meets its queries in blocks of QUERY_ROWS, so that no group grows with the table.
+the nearest. Equal queries are searched once. Leaves are packed into bins of at most BIN_BYTES, and large ones dealt to
+several; a bin meets the queries that visit it in blocks of at most QUERY_BYTES, so that no group grows with the table.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,14 +25,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .histogram_sort import written
+from .histogram_sort import constants, written
 from .vector_codes import list_rows, usable
 
 #: Vectors that the tree is grown on, and queries that calibrate it, at most.
 SAMPLE, CALIBRATION = 32_768, 256
 #: Vectors of a leaf, children of a node, rounds of k-means.
 LEAF_ROWS, BRANCHES, ROUNDS = 128, 8, 6
-BIN_ROWS, QUERY_ROWS = 4096, 1024
+#: Vectors of a bin, and of a block of queries, as doubles; queries whose scores are held at once.
+BIN_BYTES, QUERY_BYTES, SLICE = 8 << 20, 4 << 20, 256
 EASES = (0.0, 0.5, 1.0)
 TARGET = 0.95
 SEED = 31
@@ -138,11 +139,18 @@ def scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return (queries * rows).sum(1)
 
 
-def nearest(queries: np.ndarray, x: np.ndarray, k: int, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, score) of at least the ``k`` best rows of each query; ``allowed`` (query, row) leaves others out."""
+def nearest(queries: np.ndarray, x: np.ndarray, k: int, allowed: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of at least the ``k`` best rows of each query; ``allowed`` (query, leaf), with the rows' leaves, leaves others out."""
+    parts = [_nearest(queries[a : a + SLICE], x, k, allowed and (allowed[0][a : a + SLICE], allowed[1])) for a in range(0, len(queries), SLICE)]
+    offsets = np.repeat(np.arange(len(parts)) * SLICE, [len(p[0]) for p in parts])
+    q, r, score = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    return q + offsets, r, score
+
+
+def _nearest(queries: np.ndarray, x: np.ndarray, k: int, allowed: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rough = queries @ x.T
     if allowed is not None:
-        rough[~allowed] = -np.inf
+        rough[~allowed[0][:, allowed[1]]] = -np.inf
     if len(x) > k:
         # Rows whose rough score is within rounding of the k-th best stay too.
         kth = np.partition(rough, len(x) - k, axis=1)[:, len(x) - k]
@@ -158,6 +166,12 @@ def _hash(vector: str) -> Column:
     return F.xxhash64(vector)
 
 
+def _by_leaf(values: list[int]) -> Callable[[Column], Column]:
+    """A number for each leaf, as a constant of the plan: there are fewer leaves than sampled vectors."""
+    held = constants(values)
+    return lambda leaf: F.get(held, leaf).cast("int")
+
+
 def _keep(df: DataFrame, by: list[str], k: int) -> DataFrame:
     """Of each group the ``k`` rows with the best score, ties to the smaller id; tasks leave out the rest before the shuffle."""
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "id"))
@@ -241,27 +255,26 @@ class Index:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(leaves, pa.list_(pa.int32()))], names=["hash", "low", "vector", "leaves"])
 
         routed = written(asked.select("hash", "low", "vector").mapInArrow(route, f"hash long, low long, vector {kind}, leaves array<int>"), "vector-routes")
-        visited = dict(routed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect())
-        # Bins of whole leaves in order; a leaf of more than BIN_ROWS has bins of its own.
-        first, pieces, members, filled = {}, {}, {}, 0
-        at = 0
-        for leaf, n in enumerate(self.distinct.tolist()):
-            if filled and filled + n > BIN_ROWS:
+        # Bins of whole leaves in order, numbered by their first piece; a leaf larger than a bin has bins of its own.
+        width = 8 * len(self.tree.centres[0])
+        most, first, pieces, at, filled = max(1, BIN_BYTES // width), [], [], 0, 0
+        for n in self.distinct.tolist():
+            if filled and filled + n > most:
                 at, filled = at + 1, 0
-            pieces[leaf] = max(1, -(-n // BIN_ROWS))
-            first[leaf] = at
-            members.setdefault(at, []).append(leaf)
+            first.append(at)
+            pieces.append(max(1, -(-n // most)))
             filled += n
-            if pieces[leaf] > 1:
-                at, filled = at + pieces[leaf], 0
-        blocks = {leaf: max(1, -(-sum(visited.get(x, 0) for x in mine) // QUERY_ROWS)) for mine in members.values() for leaf in mine}
-        plan = self.spark.createDataFrame([(leaf, first[leaf], pieces[leaf], blocks[leaf]) for leaf in first], "leaf int, first int, pieces int, blocks int")
-        plan = F.broadcast(plan)
+            if pieces[-1] > 1:
+                at, filled = at + pieces[-1], 0
+        first_of, pieces_of = _by_leaf(first), _by_leaf(pieces)
+        calls = routed.select("hash", "low", "vector", "leaves", F.explode(F.array_distinct(F.transform("leaves", first_of))).alias("first"))
+        counts = dict(calls.groupBy("first").count().collect())
+        blocks_of = _by_leaf([max(1, -(-counts.get(b, 0) * width // QUERY_BYTES)) for b in first])
         spread = lambda c, n: F.pmod(c, n).cast("int")
-        rows = self.table.join(plan, "leaf").select((F.col("first") + spread(_hash("vector"), F.col("pieces"))).alias("bin"), "leaf", "vector", "ids", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-        calls = routed.select("hash", "low", "vector", F.explode("leaves").alias("leaf")).join(plan, "leaf")
-        calls = calls.groupBy("hash", "low", "vector", "first", "pieces", "blocks").agg(F.collect_list("leaf").alias("leaves"))
-        calls = calls.select("hash", "low", "vector", "leaves", spread(F.col("hash"), F.col("blocks")).alias("block"), F.explode(F.sequence(F.col("first"), F.col("first") + F.col("pieces") - 1)).alias("bin"))
+        leaf = F.col("leaf")
+        rows = self.table.select((first_of(leaf) + spread(_hash("vector"), pieces_of(leaf))).alias("bin"), "leaf", "vector", "ids", F.explode(F.sequence(F.lit(0), blocks_of(leaf) - 1)).alias("block"))
+        calls = calls.withColumn("leaves", F.filter("leaves", lambda x: first_of(x) == F.col("first"))).withColumn("leaf", F.get("leaves", F.lit(0)))
+        calls = calls.select("hash", "low", "vector", "leaves", spread(F.col("hash"), blocks_of(leaf)).alias("block"), F.explode(F.sequence("first", F.col("first") + pieces_of(leaf) - 1)).alias("bin"))
         leaves = self.tree.leaves
 
         def meet(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -271,7 +284,7 @@ class Index:
                 where, lengths = list_rows(right["leaves"].combine_chunks())
                 open_leaves = np.zeros((right.num_rows, leaves), bool)
                 open_leaves[np.repeat(np.arange(right.num_rows), lengths), where] = True
-                q, r, score = nearest(_matrix(right["vector"].combine_chunks()), _matrix(left["vector"].combine_chunks()), k, open_leaves[:, left["leaf"].to_numpy()])
+                q, r, score = nearest(_matrix(right["vector"].combine_chunks()), _matrix(left["vector"].combine_chunks()), k, (open_leaves, left["leaf"].to_numpy()))
                 out = {"hash": right["hash"].take(pa.array(q)), "low": right["low"].take(pa.array(q)), "ids": left["ids"].take(pa.array(r)), "score": pa.array(score)}
             return pa.table(out)
 

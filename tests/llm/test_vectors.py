@@ -110,8 +110,9 @@ def test_few_and_no_vectors(spark):
 
 def test_recall_and_scores(spark, sf_dir, monkeypatch):
     """Every row is indexed, bins and blocks are many, and the mean recall against all pairs is 0.9 at least."""
-    monkeypatch.setattr(vector_search, "BIN_ROWS", 60)
-    monkeypatch.setattr(vector_search, "QUERY_ROWS", 7)
+    monkeypatch.setattr(vector_search, "BIN_BYTES", 60 * 8 * 64)
+    monkeypatch.setattr(vector_search, "QUERY_BYTES", 7 * 8 * 64)
+    monkeypatch.setattr(vector_search, "SLICE", 3)
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     rows = [tuple(r) for r in vectors.select("vec_id", "embedding").collect()]
     want = defaultdict(list)
@@ -125,6 +126,13 @@ def test_recall_and_scores(spark, sf_dir, monkeypatch):
     assert all(v == sorted(v, key=lambda x: (-x[1], x[0])) for v in found.values())
 
 
+def test_leaves_larger_than_a_bin(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(vector_search, "BIN_BYTES", 9 * 8 * 64)
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    rows = [tuple(r) for r in vectors.select("vec_id", "embedding").collect()]
+    assert sorted(tuple(r) for r in vector_search.nearest_neighbours(vectors, leaf_rows=100, target=1.0, calibration=500).collect()) == sorted(plain_neighbours(rows))
+
+
 def test_tree_splits_and_orders():
     rng = np.random.default_rng(5)
     points = rng.normal(size=(900, 6))
