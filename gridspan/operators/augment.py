@@ -131,7 +131,7 @@ def inverse_of(rows: Column) -> Column:
 
 def euler(values: Column, grid: Grid, affine: Column, labels: bool = False) -> Column:
     """Sampled through an affine map, mirrored at the border; label maps take the nearest voxel."""
-    return let(affine, lambda m: warp(values, grid, m, "reflection", labels))
+    return warp(values, grid, affine, "reflection", labels)
 
 
 def quarter_turn(values: Column, grid: Grid, axes: tuple[int, int], turns: int) -> tuple[Column, Grid]:

@@ -30,6 +30,29 @@ def list_column(rows: Sequence[np.ndarray | None]) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, values, mask=mask)
 
 
+def matrix_of(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """Rows of ``size`` values, and which of them are null or lacking (None: none); a null row lacks all."""
+    lengths = column.value_lengths()
+    if not column.null_count and len(column) and (np.asarray(lengths) == size).all():
+        flat = column.flatten()
+        missing = None if not flat.null_count else np.asarray(flat.is_null()).reshape(-1, size)
+        return flat.cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, size), missing
+    out, missing = np.full((len(column), size), np.nan), np.ones((len(column), size), bool)
+    for i, values in enumerate(column):
+        if values.is_valid:
+            own = values.values.cast(pa.float64())
+            n = min(size, len(own))
+            out[i, :n], missing[i, :n] = own.to_numpy(zero_copy_only=False)[:n], np.asarray(own.is_null())[:n]
+    return out, missing
+
+
+def lists_of(rows: np.ndarray, missing: np.ndarray | None, valid: np.ndarray) -> pa.Array:
+    """A list column of equally long rows; ``missing`` values and rows that aren't ``valid`` are null."""
+    offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1])
+    values = pa.array(np.ascontiguousarray(rows).ravel(), pa.float64(), mask=None if missing is None else np.ascontiguousarray(missing).ravel())
+    return pa.ListArray.from_arrays(offsets, values, mask=pa.array(~valid))
+
+
 def _shifted(x: np.ndarray, axis: int, start: int, n: int) -> np.ndarray:
     return x[(slice(None),) * axis + (slice(start, start + n),)]
 
@@ -144,3 +167,30 @@ def along_axis(x: np.ndarray, axis: int, places: np.ndarray) -> np.ndarray:
     high = np.minimum(low + 1, x.shape[axis] - 1)
     rest = (places - low).reshape([-1 if k == axis else 1 for k in range(x.ndim)])
     return np.take(x, low, axis) * (1 - rest) + np.take(x, high, axis) * rest
+
+
+#: Values that one step of a batch of rows makes.
+STEP = 1 << 20
+
+
+def sampled_rows(x: np.ndarray, shape: Sequence[int], places: Callable[[slice], list[np.ndarray]], count: int, border: str, labels: bool) -> np.ndarray:
+    """Row by row: the volumes ``x`` (row, voxel) sampled at ``count`` places each. ``places`` gives for a slice of rows a (row or 1, place) array per axis."""
+    out = np.empty((len(x), count))
+    strides = [int(np.prod(shape[k + 1 :])) for k in range(len(shape))]
+    step = max(1, STEP // max(1, count))
+    for a in range(0, len(x), step):
+        some = slice(a, min(a + step, len(x)))
+        at = [bordered(np.asarray(p, float), n, border) for p, n in zip(places(some), shape, strict=True)]
+        low = [np.rint(c) if labels else np.floor(c) for c in at]
+        value = np.zeros((some.stop - a, count))
+        for corner in [(0,) * len(shape)] if labels else itertools.product((0, 1), repeat=len(shape)):
+            weight, index = 1.0, 0
+            for c, start, d, n, stride in zip(at, low, corner, shape, strides, strict=True):
+                tap = start + d
+                weight = weight * np.where((tap >= 0) & (tap < n), 1.0 if labels else (c - start if d else 1 - (c - start)), 0.0)
+                index = index + np.clip(tap, 0, n - 1).astype(np.int64) * stride
+            taken = np.take_along_axis(x[some], np.broadcast_to(index, value.shape), 1)
+            # A voxel outside counts 0, whatever stands at the edge.
+            value += np.where(weight == 0, 0.0, weight * taken)
+        out[some] = value
+    return out

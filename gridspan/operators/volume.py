@@ -1,9 +1,11 @@
-"""Volumes of any rank as flat row-major arrays in a row: every transform is an expression, and nothing is shuffled.
+"""Volumes of any rank as flat row-major arrays in a row: every transform is a column, and nothing is shuffled.
 
 A grid knows the extents. ``gather`` reads, for each voxel of an output grid, one voxel of a source grid;
 ``interpolate`` reads the voxels about a fractional place. Orientation, cropping, padding, patches,
-resampling and warps differ only in the places that they name. ``long_form`` gives a row per voxel for
-volumes that do not fit a row, and ``flat_form`` leads back.
+resampling and warps differ only in the places that they name. What interpolates at many places (``resample``, ``warp``,
+``displace``) runs in NumPy over Arrow batches, places and weights computed once for a grid or a batch: columns of
+a table, not a lambda's variable, must be its arguments. Volumes that do not fit a row are tiles (``tiles``); ``long_form`` gives
+a row per voxel, and ``flat_form`` leads back.
 
 Null volumes give null; a volume whose length is not the grid's is an error of the caller and gives nulls
 for the voxels that it lacks.
@@ -16,10 +18,13 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridspan.functions.arrays import average, let, total
+from gridspan.operators import kernels
 
 Places = Callable[[list[Column]], list[Column]]
 
@@ -229,11 +234,27 @@ def half_pixel(out: Grid, grid: Grid) -> Places:
     return lambda at: [F.greatest(F.lit(s) * (c + 0.5) - 0.5, F.lit(0.0)) for c, s in zip(at, scales, strict=True)]
 
 
+def _sampled(rows: pa.Array, grid: Grid, places: Callable[[slice], list[np.ndarray]], count: int, border: str, labels: bool, valid: np.ndarray | None = None) -> pa.Array:
+    """A batch of volumes sampled at places; a place that a null voxel adds to is null."""
+    x, missing = kernels.matrix_of(rows, grid.size)
+    valid = np.asarray(rows.is_valid()) if valid is None else valid & np.asarray(rows.is_valid())
+    value = kernels.sampled_rows(x, grid.shape, places, count, border, labels)
+    if missing is not None:
+        missing = kernels.sampled_rows(missing.astype(float), grid.shape, places, count, border, labels) > 0
+    return kernels.lists_of(value, missing, valid)
+
+
 def resample(values: Column, grid: Grid, out: Grid, labels: bool = False) -> Column:
     """Resized: linear between pixel centres, or the source voxel floor(o * scale) for label maps."""
-    if labels:
-        return gather(values, grid, out, lambda at: [F.least(F.floor(c * F.lit(n / m)).cast("int"), F.lit(n - 1)) for c, n, m in zip(at, grid.shape, out.shape, strict=True)])
-    return interpolate(values, grid, out, half_pixel(out, grid), "border")
+    scales = [n / m for n, m in zip(grid.shape, out.shape, strict=True)]
+    own = [np.ravel(np.broadcast_to(c, out.shape)) for c in kernels.open_grid(out.shape)]
+    places = [np.minimum(np.floor(c * s), n - 1)[None] if labels else kernels.half_pixel(c, s)[None] for c, s, n in zip(own, scales, grid.shape, strict=True)]
+
+    @F.arrow_udf("array<double>")
+    def run(rows: pa.Array) -> pa.Array:
+        return _sampled(rows, grid, lambda _: places, out.size, "border", labels)
+
+    return run(values.cast("array<double>"))
 
 
 def grid_of_shape(grid: Grid, shape: tuple[int, ...]) -> Grid:
@@ -271,19 +292,38 @@ def warp(values: Column, grid: Grid, affine: Column, border: str = "reflection",
     ``affine`` is an array of rows (factors and a shift), a column: each row of the table may have its own.
     """
     rank = len(grid.shape)
+    unit = np.stack([np.ravel(np.broadcast_to(2.0 * c / max(n - 1, 1) - 1, grid.shape)) for c, n in zip(kernels.open_grid(grid.shape), grid.shape, strict=True)][::-1] + [np.ones(grid.size)])
 
-    def where(at: list[Column]) -> list[Column]:
-        unit = [2.0 * c / max(n - 1, 1) - 1 for c, n in zip(at, grid.shape, strict=True)][::-1]
-        image = [sum((F.get(F.get(affine, F.lit(i)), F.lit(k)) * unit[k] for k in range(rank)), F.lit(0.0)) + F.get(F.get(affine, F.lit(i)), F.lit(rank)) for i in range(rank)]
-        return [(image[rank - 1 - k] + 1) / 2 * (n - 1) for k, n in enumerate(grid.shape)]
+    @F.arrow_udf("array<double>")
+    def run(rows: pa.Array, maps: pa.Array) -> pa.Array:
+        read = [m if m is not None and len(m) == rank and all(r is not None and None not in r and len(r) > rank for r in m) else None for m in maps.to_pylist()]
+        factors = np.array([m if m is not None else [[0.0] * (rank + 1)] * rank for m in read], float).reshape(-1, rank, rank + 1)
+
+        def places(some: slice) -> list[np.ndarray]:
+            image = factors[some] @ unit
+            return [(image[:, rank - 1 - k] + 1) / 2 * (n - 1) for k, n in enumerate(grid.shape)]
+
+        return _sampled(rows, grid, places, grid.size, border, labels, np.array([m is not None for m in read], bool))
 
-    return (nearest if labels else interpolate)(values, grid, grid, where, border)
+    return run(values.cast("array<double>"), affine.cast("array<array<double>>"))
 
 
 def displace(values: Column, grid: Grid, fields: list[Column], border: str = "border", labels: bool = False) -> Column:
     """Sampled at each voxel's own displaced place; ``fields`` are displacements in voxels, an array per axis."""
-    where = lambda at: [c + F.get(f, grid.place(at)) for c, f in zip(at, fields, strict=True)]
-    return (nearest if labels else interpolate)(values, grid, grid, where, border)
+    own = [np.ravel(np.broadcast_to(c, grid.shape)) for c in kernels.open_grid(grid.shape)]
+
+    @F.arrow_udf("array<double>")
+    def run(rows: pa.Array, *moves: pa.Array) -> pa.Array:
+        read = [kernels.matrix_of(m, grid.size) for m in moves]
+        valid = np.logical_and.reduce([np.asarray(m.is_valid()) for m in moves])
+        unknown = np.logical_or.reduce([m if m is not None else np.zeros_like(f, bool) for f, m in read])
+        made = _sampled(rows, grid, lambda some: [c[None] + np.nan_to_num(f[some]) for c, (f, _) in zip(own, read, strict=True)], grid.size, border, labels, valid)
+        if not unknown.any():
+            return made
+        x, missing = kernels.matrix_of(made, grid.size)
+        return kernels.lists_of(x, unknown if missing is None else unknown | missing, np.asarray(made.is_valid()))
+
+    return run(values.cast("array<double>"), *[f.cast("array<double>") for f in fields])
 
 
 def integrate(field: DataFrame, columns: list[str], grid: Grid, steps: int) -> DataFrame:

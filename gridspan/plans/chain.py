@@ -83,6 +83,17 @@ def _on(operation: Callable[[Column, Grid], Column], grid: Grid) -> Callable[[Co
     return lambda values: operation(values, grid)
 
 
+def _bound(df: DataFrame, column: str, step: Step, operation: Callable[[Column, Grid], Column], grid: Grid) -> DataFrame:
+    """The column through one step. An expression gets its argument bound first; a Python function runs on columns alone.
+
+    Spark would write the steps before into a Python function's argument, and doesn't find the function again where that holds nested
+    lambdas: a generated row of one keeps them apart.
+    """
+    if step.locality.kind in (Kind.WHOLE_VOLUME, Kind.RESCALE):
+        return df.withColumn(column, F.explode(F.array(column))).withColumn(column, operation(F.col(column), grid))
+    return df.withColumn(column, let(F.col(column), _on(operation, grid)))
+
+
 def _composed(parts: list[Callable[[np.ndarray], np.ndarray]]) -> Callable[[np.ndarray], list[np.ndarray]]:
     def run(x: np.ndarray) -> list[np.ndarray]:
         for f in parts:
@@ -106,9 +117,7 @@ class Chain:
     def apply(self, df: DataFrame, column: str, grid: Grid) -> DataFrame:
         """The column taken through all steps. Each step's result is bound before the next reads it."""
         for s, g in zip(self.steps, self.grids(grid), strict=False):
-            # Python functions run on columns alone, not on a lambda's variable.
-            whole = s.locality.kind is Kind.WHOLE_VOLUME
-            df = df.withColumn(column, s.apply(F.col(column), g) if whole else let(F.col(column), _on(s.apply, g)))
+            df = _bound(df, column, s, s.apply, g)
         return df
 
     def undo(self, df: DataFrame, column: str, grid: Grid) -> DataFrame:
@@ -116,10 +125,9 @@ class Chain:
         lacking = [s.name for s in self.steps if s.undo is None]
         if lacking:
             raise ValueError(f"no inverse: {', '.join(lacking)}")
-        value = F.col(column)
         for s, g in reversed(list(zip(self.steps, self.grids(grid), strict=False))):
-            value = let(value, _on(s.undo, g))
-        return df.withColumn(column, value)
+            df = _bound(df, column, s, s.undo, g)
+        return df
 
     def apply_recorded(self, df: DataFrame, column: str, grid: Grid, attributes: str = "attributes") -> DataFrame:
         """``apply``, with each step pushing what it saw on the stacks of the map column ``attributes`` (made if missing).
@@ -154,7 +162,7 @@ class Chain:
                 for k in keys:
                     held = parse.pop(held, k)
             elif s.invert and s.undo:
-                df = df.withColumn(column, let(F.col(column), _on(s.undo, g)))
+                df = _bound(df, column, s, s.undo, g)
                 # The least of a stack is the volume's own.
                 held = F.when(F.size(F.try_element_at(held, F.lit(ORIGIN))) > 1, parse.pop(held, ORIGIN)).otherwise(held) if s.offset else held
             df = df.withColumn(attributes, held)

@@ -118,7 +118,7 @@ def test_warps(one, cube):
     zeros = np.zeros(GRID.size)
     fields = [np.linspace(-1, 2, GRID.size), zeros, np.full(GRID.size, 0.25)]
     columns = [F.array(*map(F.lit, f.tolist())) for f in fields]
-    got = values(one, arrays.let(affine, lambda a: volume.warp(F.col("v"), GRID, a)), volume.displace(F.col("v"), GRID, columns), back, drawn)
+    got = values(one, volume.warp(F.col("v"), GRID, affine), volume.displace(F.col("v"), GRID, columns), back, drawn)
 
     def image(at):
         unit = [2 * c / (n - 1) - 1 for c, n in zip(at, GRID.shape, strict=True)][::-1]
