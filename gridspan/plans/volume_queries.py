@@ -261,3 +261,14 @@ def cross_entropy_weighted(spark, sf_dir):
     e = arrays(spark, sf_dir).withColumn("grp", (V("vec_id") % 7).cast("int"))
     return rounded(metrics.weighted_cross_entropy(e, ["grp"], F.slice("v", 1, 10), V("label"), [float(k + 1) for k in range(10)]))
 
+
+
+@query(f"WITH {VOX}, {CUBED} SELECT vec_id, z, y, x, round(value, 4) AS v, 3::BIGINT AS attributes FROM v")
+def chain_undo_statistics(spark, sf_dir):
+    """Normalised, standardised and padded, each pushing what it saw, and undone by popping it: the volume and its own attributes are back."""
+    steps = chain.from_config([{"Normalize": {}}, {"Standardize": {}}, {"Padding": {"before": [1, 0, 2], "after": [0, 1, 0]}}, {"Normalize": {"min_value": 0.0, "max_value": 5.0}}])
+    own = arrays(spark, sf_dir).withColumn("attributes", F.create_map(*[F.lit(x) for k, v in {"Origin": "[0 0 0]", "Spacing": "[1 1 2]", "Direction": "[1 0 0 0 1 0 0 0 1]"}.items() for x in (k, v)]))
+    own = own.withColumn("attributes", F.transform_values("attributes", lambda _, v: F.array(v)))
+    back = steps.undo_recorded(steps.apply_recorded(own, "v", CUBE), "v", CUBE)
+    held = back.select("vec_id", F.size(F.flatten(F.map_values("attributes"))).cast("long").alias("attributes"))
+    return cube_points(back, "v").join(held, "vec_id")
