@@ -194,3 +194,22 @@ def sampled_rows(x: np.ndarray, shape: Sequence[int], places: Callable[[slice],
             value += np.where(weight == 0, 0.0, weight * taken)
         out[some] = value
     return out
+
+
+def displaced_rows(x: np.ndarray, shape: Sequence[int], fields: Sequence[np.ndarray], border: str = "border") -> np.ndarray:
+    """Row by row: volumes sampled at each voxel's own displaced place; ``fields`` (row, voxel) in voxels, one for each axis."""
+    own = [np.ravel(np.broadcast_to(c, shape)) for c in open_grid(shape)]
+    return sampled_rows(x, shape, lambda some: [c[None] + f[some] for c, f in zip(own, fields, strict=True)], x.shape[1], border, False)
+
+
+def inverted_fields(fields: Sequence[np.ndarray], shape: Sequence[int], rounds: int = 20) -> list[np.ndarray]:
+    """The displacements that undo ``fields``, by fixed-point iteration: each place goes back by what the field is where it comes from."""
+    back = [-f for f in fields]
+    for _ in range(rounds):
+        back = [-displaced_rows(f, shape, back) for f in fields]
+    return back
+
+
+def composed_fields(first: Sequence[np.ndarray], then: Sequence[np.ndarray], shape: Sequence[int]) -> list[np.ndarray]:
+    """The displacement of going by ``first`` and then by ``then``."""
+    return [a + displaced_rows(b, shape, first) for a, b in zip(first, then, strict=True)]

@@ -276,6 +276,79 @@ def pad(tiles: DataFrame, keys: list[str], columns: list[str], source: Tiling, t
     return exchange(tiles, keys, columns, source, target, window, kernel, ordered=mode != "reflect")
 
 
+def blend(pieces: DataFrame, keys: list[str], column: str, tiling: Tiling, patch: tuple[int, ...], overlap: tuple[int, ...], kind: str | None) -> DataFrame:
+    """Tiles put together from patches (keys, patch_idx, column): the weighted mean over patches, or for no kind the last patch's voxel.
+
+    One shuffle: a patch's part in a tile goes to that tile, which holds one array of sums and one of weights. A patch number that comes
+    twice counts once, the last of its values by their order. Null voxels add their weight and nothing else; where no patch lies, or
+    for no kind the last patch has a null, voxels are null. Voxels of a patch beyond the volume are left out.
+    """
+    starts = volume.cells(tiling.shape, patch, overlap)
+    weight = np.ones(())
+    for p, o in zip(patch, overlap, strict=True):
+        weight = np.multiply.outer(weight, volume.axis_weights(kind or "mean", p, o))
+    size = math.prod(patch)
+    ints = T.ArrayType(T.IntegerType())
+    parts_schema = T.StructType([*_fields(pieces, keys, [], [("patch", T.LongType()), ("lo", ints), ("size", ints)]).fields, T.StructField(column, T.ArrayType(T.DoubleType()))])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, missing = kernels.matrix_of(batch.column(len(keys) + 1), size)
+            for r, index in enumerate(batch.column(len(keys)).to_pylist()):
+                if index is None or not 0 <= index < len(starts):
+                    continue
+                start, _ = starts[index]
+                stop = [min(a + p, n) for a, p, n in zip(start, patch, tiling.shape, strict=True)]
+                whole, lost = x[r].reshape(patch), None if missing is None else missing[r].reshape(patch)
+                numbers, lows, sizes, held, gaps = [], [], [], [], []
+                for met in itertools.product(*[range(a // t, -(-b // t)) for a, b, t in zip(start, stop, tiling.tile, strict=True)]):
+                    cuts = [tiling.cut(axis, k) for axis, k in enumerate(met)]
+                    lo = [max(a, c) for a, (c, _) in zip(start, cuts, strict=True)]
+                    hi = [min(b, d) for b, (_, d) in zip(stop, cuts, strict=True)]
+                    own = tuple(slice(a - s, b - s) for a, b, s in zip(lo, hi, start, strict=True))
+                    numbers.append(tiling.number(met))
+                    lows.append(lo)
+                    sizes.append([b - a for a, b in zip(lo, hi, strict=True)])
+                    held.append(np.ravel(whole[own]))
+                    gaps.append(np.zeros(held[-1].size, bool) if lost is None else np.ravel(lost[own]))
+                values = kernels.list_column(held)
+                if lost is not None:
+                    values = pa.ListArray.from_arrays(values.offsets, pa.array(np.concatenate(held), pa.float64(), mask=np.concatenate(gaps)))
+                take = pa.array([r] * len(numbers))
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).take(take) for i in range(len(keys))], pa.array(numbers, pa.int32()), pa.array([index] * len(numbers), pa.int64()), pa.array(lows, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.int32())), values], names=parts_schema.names)
+
+    made_schema = _fields(pieces, keys, [column])
+
+    def receive(parts: pa.Table) -> pa.Table:
+        tile = parts["tile"][0].as_py()
+        start, stop = tiling.box(tile)
+        shape = [b - a for a, b in zip(start, stop, strict=True)]
+        sums, weights, gaps = np.zeros(shape), np.zeros(shape), np.ones(shape, bool)
+        held: dict[int, tuple] = {}
+        values = parts[column].combine_chunks()
+        for r, (index, lo, n) in enumerate(zip(parts["patch"].to_pylist(), parts["lo"].to_pylist(), parts["size"].to_pylist(), strict=True)):
+            x, missing = kernels.matrix_of(values.slice(r, 1), math.prod(n))
+            if index not in held or tuple(x[0]) > tuple(held[index][2][0]):
+                held[index] = lo, n, x, missing
+        for index in sorted(held):
+            lo, n, x, missing = held[index]
+            place = tuple(slice(a - s, a - s + m) for a, m, s in zip(lo, n, start, strict=True))
+            x = x.reshape(n)
+            lost = np.zeros(n, bool) if missing is None else missing.reshape(n)
+            if kind is None:
+                sums[place], gaps[place] = x, lost
+                continue
+            own = weight[tuple(slice(a - s, a - s + m) for a, m, s in zip(lo, n, starts[index][0], strict=True))]
+            sums[place] += np.where(lost, 0.0, x * own)
+            weights[place] += own
+            gaps[place] = False
+        made = sums if kind is None else sums / np.maximum(weights, np.finfo(float).tiny)
+        return pa.table([*[parts[k].slice(0, 1) for k in keys], pa.array([tile], pa.int32()), kernels.lists_of(made.reshape(1, -1), gaps.reshape(1, -1) if gaps.any() else None, np.ones(1, bool))], names=made_schema.names)
+
+    chosen = pieces.select(*keys, F.col("patch_idx").cast("long").alias("patch_idx"), F.col(column).cast("array<double>").alias(column))
+    return chosen.mapInArrow(send, parts_schema).groupBy(*keys, "tile").applyInArrow(receive, made_schema)
+
+
 def structural_similarity(tiles: DataFrame, keys: list[str], a: str, b: str, tiling: Tiling, data_range: float, width: int = 7) -> DataFrame:
     """keys and ssim: the mean over the windows of ``width`` that lie inside the volume. Tiles give sums; no window map leaves its task."""
     if any(n < width for n in tiling.shape):

@@ -308,6 +308,52 @@ def warp(values: Column, grid: Grid, affine: Column, border: str = "reflection",
     return run(values.cast("array<double>"), affine.cast("array<array<double>>"))
 
 
+@dataclass(frozen=True)
+class Placed:
+    """Where a volume lies: extents slowest first, the rest in x, y, z order, ``direction`` row-major."""
+
+    grid: Grid
+    origin: tuple[float, ...]
+    spacing: tuple[float, ...]
+    direction: tuple[float, ...]
+
+
+def canonical_place(place: Placed, canonical: tuple[float, ...] = (-1.0, -1.0, 1.0)) -> Placed:
+    """The place after reorientation, its centre where it was. An oblique direction keeps grid and spacing."""
+    n = len(place.origin)
+    found = orientation(list(place.direction), canonical)
+    dims = found[0] if found else tuple(range(n))
+    origin, spacing, direction = canonical_geometry(place.grid.shape, list(place.origin), list(place.spacing), list(place.direction), dims, canonical)
+    return Placed(permuted(place.grid, dims), tuple(origin), tuple(spacing), tuple(direction))
+
+
+def _turn(place: Placed, canonical: tuple[float, ...], back: bool) -> Column:
+    """Rows of the map from canonical coordinates to the volume's own, or back."""
+    n = len(place.origin)
+    turn = np.linalg.inv(np.array(place.direction).reshape(n, n)) @ np.diag(canonical)
+    rows = np.linalg.inv(turn) if back else turn
+    return F.array(*[F.array(*map(F.lit, [*map(float, row), 0.0])) for row in rows])
+
+
+def canonical(values: Column, place: Placed, canonical_: tuple[float, ...] = (-1.0, -1.0, 1.0), labels: bool = False) -> Column:
+    """The volume in canonical orientation: axes exchanged and mirrored where that is exact, else sampled through the turn, mirrored at the edge."""
+    found = orientation(list(place.direction), canonical_)
+    if found is None:
+        return warp(values, place.grid, _turn(place, canonical_, False), "reflection", labels)
+    dims, flips = found
+    return flip(permute(values, place.grid, dims), permuted(place.grid, dims), flips)
+
+
+def from_canonical(values: Column, place: Placed, canonical_: tuple[float, ...] = (-1.0, -1.0, 1.0), labels: bool = False) -> Column:
+    """The way back to the source's ``place``: exact, or sampled through the inverse turn."""
+    found = orientation(list(place.direction), canonical_)
+    if found is None:
+        return warp(values, place.grid, _turn(place, canonical_, True), "reflection", labels)
+    dims, flips = found
+    turned = permuted(place.grid, dims)
+    return permute(flip(values, turned, flips), turned, inverse_dims(dims))
+
+
 def displace(values: Column, grid: Grid, fields: list[Column], border: str = "border", labels: bool = False) -> Column:
     """Sampled at each voxel's own displaced place; ``fields`` are displacements in voxels, an array per axis."""
     own = [np.ravel(np.broadcast_to(c, grid.shape)) for c in kernels.open_grid(grid.shape)]
@@ -335,6 +381,68 @@ def integrate(field: DataFrame, columns: list[str], grid: Grid, steps: int) -> D
     return out
 
 
+def _field_udf(run: Callable[..., list[np.ndarray]], grid: Grid):
+    """A struct of fields (f0, f1, ...) from columns of fields, NumPy over Arrow batches; null where one is null or has gaps."""
+    rank = len(grid.shape)
+    kind = f"struct<{','.join(f'f{k}:array<double>' for k in range(rank))}>"
+
+    @F.arrow_udf(kind)
+    def of(*columns: pa.Array) -> pa.Array:
+        read = [kernels.matrix_of(c, grid.size) for c in columns]
+        whole = np.ones(len(columns[0]), bool)
+        for _, missing in read:
+            whole &= True if missing is None else ~missing.any(1)
+        made = run(*[np.nan_to_num(x) for x, _ in read])
+        return pa.StructArray.from_arrays([kernels.lists_of(m, None, whole) for m in made], names=[f"f{k}" for k in range(rank)], mask=pa.array(~whole))
+
+    return of
+
+
+def inverse_field(fields: list[Column], grid: Grid, rounds: int = 20) -> Column:
+    """A struct (f0, f1, ...) of the displacements, an array for each axis, that undo stored ones, by fixed-point iteration."""
+    return _field_udf(lambda *f: kernels.inverted_fields(f, grid.shape, rounds), grid)(*[f.cast("array<double>") for f in fields])
+
+
+def composed_field(first: list[Column], then: list[Column], grid: Grid) -> Column:
+    """A struct (f0, f1, ...): the displacement of going by ``first`` and then by ``then``; a chain of stored transforms is one field."""
+    rank = len(grid.shape)
+    return _field_udf(lambda *f: kernels.composed_fields(f[:rank], f[rank:], grid.shape), grid)(*[f.cast("array<double>") for f in (*first, *then)])
+
+
+def spline_field(coefficients: list[Column], grid: Grid, cells: tuple[int, ...]) -> Column:
+    """A struct (f0, f1, ...): displacements of a stored cubic B-spline, its control points in the lattice of ``cells`` and three more along each axis."""
+    from gridspan.operators.augment import spline_basis
+
+    basis = spline_basis(grid, cells)
+    rank = len(grid.shape)
+
+    @F.arrow_udf(f"struct<{','.join(f'f{k}:array<double>' for k in range(rank))}>")
+    def of(*columns: pa.Array) -> pa.Array:
+        read = [kernels.matrix_of(c, basis.shape[1]) for c in columns]
+        whole = np.ones(len(columns[0]), bool)
+        for _, missing in read:
+            whole &= True if missing is None else ~missing.any(1)
+        return pa.StructArray.from_arrays([kernels.lists_of(np.nan_to_num(x) @ basis.T, None, whole) for x, _ in read], names=[f"f{k}" for k in range(rank)], mask=pa.array(~whole))
+
+    return of(*[c.cast("array<double>") for c in coefficients])
+
+
+def affine_field(rows: Column, grid: Grid) -> Column:
+    """A struct (f0, f1, ...): displacements in voxels of an affine map of voxel places, rows of factors and a shift in array order."""
+    rank = len(grid.shape)
+    unit = np.stack([np.ravel(np.broadcast_to(c, grid.shape)) for c in kernels.open_grid(grid.shape)] + [np.ones(grid.size)])
+
+    @F.arrow_udf(f"struct<{','.join(f'f{k}:array<double>' for k in range(rank))}>")
+    def of(maps: pa.Array) -> pa.Array:
+        read = maps.to_pylist()
+        whole = np.array([m is not None for m in read], bool)
+        factors = np.array([m if m is not None else [[0.0] * (rank + 1)] * rank for m in read], float).reshape(-1, rank, rank + 1)
+        image = factors @ unit - unit[None, :rank]
+        return pa.StructArray.from_arrays([kernels.lists_of(image[:, k], None, whole) for k in range(rank)], names=[f"f{k}" for k in range(rank)], mask=pa.array(~whole))
+
+    return of(rows.cast("array<array<double>>"))
+
+
 def resize_field(field: Column, grid: Grid, out: Grid, axis: int) -> Column:
     """A displacement along an axis on another grid, its values scaled with the extent."""
     factor = out.shape[axis] / grid.shape[axis]
@@ -627,8 +735,10 @@ def patches(volumes: DataFrame, keys: list[str], values: str, grid: Grid, patch:
     return numbered.select(*keys, F.col("__cell.patch_idx").alias("patch_idx"), held.alias(values))
 
 
-def axis_weights(kind: str, patch: int, overlap: int) -> list[float]:
-    """Blending weights along an axis: 1, a squared sine ramp over the overlap, or a bell of an eighth of the patch."""
+def axis_weights(kind: str | Callable[[int, int], list[float]], patch: int, overlap: int) -> list[float]:
+    """Blending weights along an axis: 1, a squared sine ramp over the overlap, a bell of an eighth of the patch, or a function's of patch and overlap."""
+    if callable(kind):
+        return kind(patch, overlap)
     if overlap <= 0 or kind == "mean":
         return [1.0] * patch
     if kind == "cosinus":
@@ -642,26 +752,9 @@ def axis_weights(kind: str, patch: int, overlap: int) -> list[float]:
 def blend(pieces: DataFrame, keys: list[str], values: str, grid: Grid, patch: tuple[int, ...], overlap: tuple[int, ...], kind: str | None) -> DataFrame:
     """keys and the volume put together again from patches: the weighted mean over patches, or for no kind the last patch's voxel.
 
-    A patch number that comes twice counts once, the last of its values by their order. One shuffle, by case: a patch's weighted
-    voxels are added up as arrays, so a task holds one volume of sums and one of weights for each case it works on.
+    A patch number that comes twice counts once, the last of its values by their order. One shuffle, of the patches by case: a task
+    holds one volume of sums and one of weights. Larger volumes are put together as tiles (``tiles.blend``).
     """
-    weights = [axis_weights(kind or "mean", p, o) for p, o in zip(patch, overlap, strict=True)]
-    starts, own = cells(grid.shape, patch, overlap), Grid(patch)
-    once = pieces.groupBy(*keys, "patch_idx").agg(F.max(values).alias(values))
-    table = F.array(*[F.array(*map(F.lit, a)) for a, _ in starts])
-    weight = lambda offset: F.lit(1.0) if kind in (None, "mean") else _product([F.get(F.array(*map(F.lit, w)), c) for w, c in zip(weights, offset, strict=True)])
-    placed = once.withColumn("__start", F.get(table, F.col("patch_idx").cast("int")))
-    voxel = F.transform(
-        F.sequence(F.lit(0), F.lit(own.size - 1)),
-        lambda i: F.struct(grid.place([c + F.get("__start", F.lit(k)) for k, c in enumerate(own.coordinates(i))]).alias("i"), grid.inside([c + F.get("__start", F.lit(k)) for k, c in enumerate(own.coordinates(i))]).alias("in"), F.get(F.col(values), i).cast("double").alias("v"), weight(own.coordinates(i)).alias("w")),
-    )
-    rows = placed.select(*keys, "patch_idx", F.inline(F.filter(voxel, lambda x: x["in"])))
-    value = F.max_by("v", "patch_idx") if kind is None else F.sum(F.col("w") * F.col("v")) / F.greatest(F.sum("w"), F.lit(2.2250738585072014e-308))
-    return flat_form(rows.groupBy(*keys, F.col("i").alias("i")).agg(value.alias(values)), keys, values, Grid((grid.size,)), ["i"])
-
-
-def _product(columns: list[Column]) -> Column:
-    out = columns[0]
-    for c in columns[1:]:
-        out = out * c
-    return out
+    from gridspan.operators import tiles
+
+    return tiles.blend(pieces, keys, values, tiles.Tiling(grid.shape, grid.shape), patch, overlap, kind).drop("tile")

@@ -16,6 +16,11 @@ META_TYPES = {"MET_CHAR": "<i1", "MET_UCHAR": "<u1", "MET_SHORT": "<i2", "MET_US
 NIFTI_TYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4", 1024: "i8", 1280: "u8"}
 
 
+NRRD_TYPES = {"char": "i1", "int8": "i1", "int8_t": "i1", "uchar": "u1", "uint8": "u1", "uint8_t": "u1", "short": "i2", "int16": "i2", "int16_t": "i2", "ushort": "u2", "uint16": "u2", "uint16_t": "u2", "int": "i4", "int32": "i4", "int32_t": "i4", "uint": "u4", "uint32": "u4", "uint32_t": "u4", "longlong": "i8", "int64": "i8", "int64_t": "i8", "ulonglong": "u8", "uint64": "u8", "uint64_t": "u8", "float": "f4", "double": "f8"}
+#: First bytes that hold a text header.
+PROBED = 1 << 16
+
+
 @dataclass(frozen=True)
 class Header:
     """Extents slowest first with channels before them, element type, geometry in x, y, z order; ``offset`` of the first byte."""
@@ -88,6 +93,38 @@ def nifti(data: bytes) -> Header:
     return Header("nii.gz" if packed else "nii", (1, *reversed(size)), order + NIFTI_TYPES[kind], origin, spacing, direction, offset, packed)
 
 
+def nrrd(data: bytes) -> Header:
+    """NRRD with its data behind the header, raw or gzip: lines of field: value up to an empty one, axes fastest first."""
+    end = data.index(b"\n\n") if b"\r\n\r\n" not in data[:PROBED] else data.index(b"\r\n\r\n")
+    skip = 4 if data[end : end + 2] == b"\r\n" else 2
+    fields, attributes = {}, {}
+    for line in data[:end].decode("latin-1").splitlines()[1:]:
+        if line.startswith("#"):
+            continue
+        name, mark, value = line.partition(":=" if ":=" in line else ":")
+        (attributes if mark == ":=" else fields)[name.strip().lower()] = value.strip()
+    if any(k in fields for k in ("data file", "datafile")) or "line skip" in fields or "byte skip" in fields:
+        raise ValueError("data beside the header are not read")
+    if fields["encoding"] not in ("raw", "gzip", "gz"):
+        raise ValueError(f"encoding {fields['encoding']} is not read")
+    sizes = [int(x) for x in fields["sizes"].split()]
+    kind = NRRD_TYPES[fields["type"].replace("unsigned ", "u").replace("signed ", "")]
+    dtype = (">" if fields.get("endian", "little") == "big" else "<") + kind
+    vectors = re.findall(r"none|\(([^)]*)\)", fields.get("space directions", ""))
+    space = [[float(x) for x in v.split(",")] for v in vectors if v]
+    # An axis without a place in space, or more axes than space has, is that of the channels.
+    own = len(sizes) - len(space) if space else (1 if fields.get("kinds", "").split()[:1] in (["vector"], ["RGB-color"], ["list"]) else 0)
+    if own > 1 or (space and own and vectors[0]):
+        raise ValueError("channels are read on the fastest axis only")
+    n = len(sizes) - own
+    spacing = tuple(float(np.linalg.norm(v)) or 1.0 for v in space) if space else tuple(float(x) if x.lower() != "nan" else 1.0 for x in fields.get("spacings", "1 " * len(sizes)).split()[own:])
+    columns = np.array([np.array(v) / s for v, s in zip(space, spacing, strict=True)]).T if space else np.eye(n)
+    origin = [float(x) for x in fields["space origin"].strip("()").split(",")] if "space origin" in fields else [0.0] * n
+    signs = {"right-anterior-superior": (-1, -1, 1), "ras": (-1, -1, 1), "left-anterior-superior": (1, -1, 1), "las": (1, -1, 1)}.get(fields.get("space", "").lower(), (1, 1, 1))[:n]
+    direction = columns * np.array(signs)[:, None]
+    return Header("nrrd", (sizes[0] if own else 1, *reversed(sizes[own:])), dtype, tuple(float(o * s) for o, s in zip(origin, signs, strict=True)), spacing, tuple(direction.ravel().tolist()), end + skip, fields["encoding"] != "raw", bool(own), attributes)
+
+
 def npy(data: bytes) -> Header:
     """NumPy's format, in C order."""
     major = data[6]
@@ -147,12 +184,14 @@ def sniff(name: str, data: bytes) -> str | None:
         return "npy"
     if data[:40].lstrip().startswith((b"ObjectType", b"NDims")):
         return "mha"
+    if data[:5] == b"NRRD0":
+        return "nrrd"
     if name.endswith((".nii", ".nii.gz")):
         return "nii"
     return None
 
 
-READERS = {"mha": meta_image, "nii": nifti, "npy": npy, "dcm": dicom}
+READERS = {"mha": meta_image, "nii": nifti, "npy": npy, "dcm": dicom, "nrrd": nrrd}
 
 
 def header_of(name: str, data: bytes) -> Header | None:
@@ -166,7 +205,8 @@ def pixels(header: Header, data: bytes) -> np.ndarray:
     if header.format == "nii.gz":
         body = gzip.decompress(data)[header.offset :]
     elif header.compressed:
-        body = zlib.decompress(body)
+        # With a zlib or a gzip header.
+        body = zlib.decompress(body, 47)
     count = int(np.prod(header.shape))
     flat = np.frombuffer(body, np.dtype(header.dtype), count)
     if header.interleaved:

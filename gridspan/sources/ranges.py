@@ -165,7 +165,7 @@ def _stream(f, header: headers.Header, length: int):
     """A reader of ranges that come in order, from packed bytes: what lies before a range is unpacked and dropped."""
     at_start = 0 if header.format == "nii.gz" else header.offset
     skip = header.offset if header.format == "nii.gz" else 0
-    state = {"in": at_start, "out": 0, "held": b"", "unpack": zlib.decompressobj(31 if header.format == "nii.gz" else 15)}
+    state = {"in": at_start, "out": 0, "held": b"", "unpack": zlib.decompressobj(47)}
 
     def read(at: int, n: int) -> bytes:
         at += skip

@@ -2,7 +2,7 @@
 
 Files come from Spark's own ``binaryFile`` reader, so any store that Spark reads will do, and are named
 ``root/case/group.ending``. A probe sends a file's first bytes to Python and no more; a region read of an
-uncompressed file sends the bytes of its planes. Formats: MetaImage, NIfTI-1, NumPy arrays, uncompressed
+uncompressed file sends the bytes of its planes (``ranges`` seeks instead). Formats: MetaImage, NIfTI-1, NRRD, NumPy arrays, uncompressed
 DICOM slices, and OME-Zarr 0.5 stores (Zarr 3) with plain or gzip chunks. The metadata of older stores lies in hidden
 files, which Spark's readers pass over. Files of other kinds are left out of catalogues.
 """

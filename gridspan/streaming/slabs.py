@@ -7,7 +7,7 @@ from the checkpoint.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -167,3 +167,40 @@ def streamed_metrics(voxels: DataFrame, keys: list[str], output: str, target: st
     """keys, n, mae, mse: running aggregates of a stream, for the update and complete modes; Spark keeps partial sums as state."""
     d = F.col(output) - F.col(target)
     return voxels.groupBy(*keys).agg(F.count(d).alias("n"), F.avg(F.abs(d)).alias("mae"), F.avg(d * d).alias("mse"))
+
+
+def region_stage(planes: DataFrame, depth: int, shape: tuple[int, ...], pull: Callable[[int], tuple[int, int]], produce: Callable[[np.ndarray, int, int], np.ndarray], out_depth: int | None = None) -> DataFrame:
+    """case, z, values, held: the planes that one region stage makes of a stream of planes (case, z, values), each as soon as what it reads has come.
+
+    ``pull`` gives the input planes [a, b) that output plane z is made of, rising with z; ``produce`` gets these as an array, z and a.
+    State is the planes that outputs still to come read: for a halo of r at most 2 r + 1 in order, and those that came too early; ``held`` is how many
+    stay after a row. A plane that comes again is passed over, and so is one that no output reads any more.
+    """
+    last = depth if out_depth is None else out_depth
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        z, held = 0, {}
+        if state.exists:
+            z, zs, values = state.get
+            held = {k: np.frombuffer(v).reshape(shape) for k, v in zip(zs, values, strict=True)}
+        out = []
+        arrived = sorted((int(k), v) for batch in batches for k, v in zip(batch["z"], batch["values"], strict=True))
+        for k, v in arrived:
+            if z < last and k >= pull(z)[0]:
+                held.setdefault(k, np.array(v, float).reshape(shape))
+            while z < last and all(p in held for p in range(*pull(z))):
+                a, b = pull(z)
+                made = produce(np.stack([held[p] for p in range(a, b)]), z, a)
+                z += 1
+                low = pull(z)[0] if z < last else depth
+                held = {p: x for p, x in held.items() if p >= low}
+                out.append((key[0], z - 1, np.ravel(made).tolist(), len(held)))
+        state.update((z, sorted(held), [held[p].tobytes() for p in sorted(held)]))
+        yield pd.DataFrame(out, columns=["case", "z", "values", "held"])
+
+    return planes.groupBy("case").applyInPandasWithState(run, "case string, z int, values array<double>, held int", "z int, zs array<int>, vs array<binary>", "append", GroupStateTimeout.NoTimeout)
+
+
+def halo(depth: int, radius: int) -> Callable[[int], tuple[int, int]]:
+    """The planes within ``radius``, cut at the volume's ends."""
+    return lambda z: (max(0, z - radius), min(depth, z + radius + 1))

@@ -31,6 +31,30 @@ def test_order_by_ranges(spark):
     assert ordering.with_rank(df.limit(0), ["v"]).count() == 0 and ordering.quantiles(df.where("v is null"), ["k"], "v", [0.5], ["m"]).count() == 0
 
 
+def test_order_with_few_first_keys_and_odd_values(spark):
+    df = spark.range(4000).select((F.col("id") % 2).alias("a"), F.when(F.col("id") % 7 == 0, None).otherwise(F.col("id") % 90).alias("b"), F.col("id").alias("c"))
+    ranged = df.withColumn("r", ordering.range_of(df, ["a", "b", "c"], 8))
+    sizes = [r["count"] for r in ranged.groupBy("r").count().collect()]
+    assert len(sizes) >= 7 and max(sizes) < 1200
+    want = {tuple(r): i for i, r in enumerate(sorted(df.collect(), key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2])))}
+    assert all(want[(r["a"], r["b"], r["c"])] == r["rank"] for r in ordering.with_rank(df, ["a", "b", "c"], ranges=8).collect())
+
+
+def test_quantiles_of_odd_values(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    groups = {"wide": list(rng.normal(size=500) * 10.0 ** rng.integers(-300, 300, 500)), "ties": [1.0] * 900 + [2.0] * 100, "signs": [-0.0, 0.0, -1.5, 1.5, -3.0], "one": [7.0], "close": list(1e9 + rng.random(400)), "ends": [float("inf"), 1.0, 2.0]}
+    rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [(None, 5.0), (None, 6.0), ("none", None), ("none", float("nan")), ("one", float("nan"))]
+    qs = [0.0, 0.1, 0.5, 0.97, 1.0]
+    got = {r["k"]: [r[f"q{i}"] for i in range(5)] for r in ordering.quantiles(spark.createDataFrame(rows, "k string, v double").repartition(5), ["k"], "v", qs, [f"q{i}" for i in range(5)]).collect()}
+    assert got.keys() == {*groups, None} and got[None] == pytest.approx([5, 5.1, 5.5, 5.97, 6])
+    for k, vs in groups.items():
+        if k != "ends":
+            np.testing.assert_allclose(got[k], np.quantile(vs, qs), rtol=1e-12, err_msg=k)
+    assert got["ends"][0] == 1.0 and got["ends"][2] == 2.0 and got["ends"][4] == float("inf")
+
+
 def test_blocks_of_a_long_log(spark):
     log = spark.range(250).select(F.lit("a").alias("k"), F.col("id").alias("step"), F.when(F.col("id") == 9, float("nan")).otherwise(F.col("id").cast("double")).alias("v"))
     blocks = ordering.last_of(log, ["k"], ["step"], 4, block=20)

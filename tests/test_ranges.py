@@ -31,6 +31,11 @@ def root(tmp_path_factory):
     plain[76:108] = np.ones(8, "<f4").tobytes()
     plain[108:112] = np.array([352], "<f4").tobytes()
     (root / "a" / "N.nii.gz").write_bytes(gzip.compress(bytes(plain) + np.arange(120, dtype="<i2").tobytes()))
+    for name, packed, big in (("RAW", False, ">"), ("PACKED", True, "<")):
+        head = f"NRRD0004\n# made here\ntype: short\ndimension: 4\nspace: right-anterior-superior\nsizes: 2 4 5 6\nspace directions: none (0.5,0,0) (0,1,0) (0,0,2)\nspace origin: (1,2,3)\nendian: {'big' if big == '>' else 'little'}\nencoding: {'gzip' if packed else 'raw'}\nscanner:=x\n\n"
+        body = rng.integers(-9, 9, (6, 5, 4, 2)).astype(f"{big}i2").tobytes()
+        (root / "b" / f"{name}.nrrd").write_bytes(head.encode() + (gzip.compress(body) if packed else body))
+    (root / "b" / "BESIDE.nhdr").write_text("NRRD0004\ntype: short\nsizes: 2 2\nencoding: raw\ndata file: x.raw\n\n")
     (root / "a" / "notes.txt").write_text("nothing")
     (root / "a" / "broken.mha").write_text("ObjectType = Image\nDimSize = x\nElementDataFile = LOCAL\n")
     return str(root)
@@ -55,6 +60,15 @@ def test_equals_whole_reads(spark, root):
     assert all(heads[k][c] == own[k][c] for k in heads for c in ("shape", "dtype", "origin", "spacing", "direction", "format", "length"))
 
 
+def test_nrrd_headers(spark, root):
+    heads = {r["grp"]: r for r in ranges.heads(spark, root).where("case = 'b'").collect()}
+    assert "BESIDE" not in heads
+    for name, dtype, packed in (("RAW", ">i2", False), ("PACKED", "<i2", True)):
+        h = heads[name]
+        assert (h["shape"], h["dtype"], h["compressed"], h["interleaved"], h["origin"], h["spacing"]) == ([2, 6, 5, 4], dtype, packed, True, [-1.0, -2.0, 3.0], [0.5, 1.0, 2.0])
+        assert h["direction"] == [-1.0, 0.0, 0.0, 0.0, -1.0, 0.0, 0.0, 0.0, 1.0] and h["attributes"] == {"scanner": "x"}
+
+
 def test_filters_reach_the_reader(spark, root):
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     try:

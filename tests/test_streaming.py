@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from gridspan.operators import volume
 from gridspan.sources import logs
-from gridspan.streaming import slabs, windows
+from gridspan.operators import kernels
+from gridspan.streaming import control, slabs, windows
 
 
 def stream(spark, folder, schema, batches):
@@ -136,3 +137,63 @@ def test_log_tail(spark, tmp_path):
     live = logs.live(lines, "value").withColumn("loss", F.try_element_at("metrics", F.lit("Net:MAE"))).select("stage", "step", "loss")
     _, rows = drained(windows.newest(live, ["stage"], "step", ["loss"]), tmp_path, "complete", "tail")
     assert [tuple(r) for r in rows] == [("Training", 3, pytest.approx(0.3))]
+
+
+def test_a_region_stage_on_planes(spark, tmp_path):
+    """A streamed box mean equals the whole one, planes out of order and repeated ones included; state holds 2 r + 1 planes; a restart goes on."""
+    depth, shape, radius = 9, (3, 4), 1
+    cube = np.random.default_rng(3).normal(size=(depth, *shape))
+    pieces = [("a", z, cube[z].ravel().tolist()) for z in range(depth)]
+    batches = [pieces[:2], [pieces[3], pieces[2]], [pieces[2]], pieces[4:8]]
+    produce = lambda window, z, a: kernels.box_mean(window, radius)[z - a]
+    planes = stream(spark, tmp_path, "case string, z int, values array<double>", batches)
+    done = slabs.region_stage(planes, depth, shape, slabs.halo(depth, radius), produce)
+
+    def run():
+        query = done.writeStream.outputMode("append").format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+        query.awaitTermination()
+        return {r["z"]: r for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+
+    assert sorted(run()) == list(range(7))
+    spark.createDataFrame(pieces[8:], "case string, z int, values array<double>").write.mode("append").parquet(f"{tmp_path}/in/9")
+    rows = run()
+    assert sorted(rows) == list(range(depth)) and max(r["held"] for r in rows.values()) <= 2 * radius + 1
+    want = kernels.box_mean(cube, radius)
+    for z, r in rows.items():
+        np.testing.assert_allclose(np.array(r["values"]).reshape(shape), want[z], atol=1e-12)
+
+
+def test_a_stream_stops_after_its_patience(spark, tmp_path):
+    scores = [3.0, 2.0, 2.5, 2.4, 1.0, 0.9, 0.95, 0.99, 0.5, 0.4]
+    rows = stream(spark, tmp_path, "loss double", [[(s,)] for s in scores])
+    watch = control.Patience(spark, f"{tmp_path}/memory", F.avg("loss"), patience=2)
+    query = rows.writeStream.foreachBatch(watch.watch).option("checkpointLocation", f"{tmp_path}/check").start()
+    listener = control.stop_when(query, watch.over)
+    try:
+        assert query.awaitTermination(120)
+    finally:
+        spark.streams.removeListener(listener)
+    # 2.5 and 2.4 better nothing. What has begun meanwhile ends first.
+    held = watch.state()
+    assert watch.over() and held["best"] <= 2.0 and 3 <= held["batch"] < len(scores) - 1
+    before = held["batch"]
+    query = rows.writeStream.foreachBatch(control.Patience(spark, f"{tmp_path}/memory", F.avg("loss"), patience=100).watch).option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert watch.state()["batch"] == len(scores) - 1 > before and watch.state()["best"] == 0.4
+
+
+def test_a_control_file_stops_a_stream(spark, tmp_path):
+    rows = stream(spark, tmp_path, "x int", [[(k,)] for k in range(6)])
+    seen = []
+
+    def take(batch, number):
+        seen.append(number)
+        if number == 1:
+            (tmp_path / "stop").write_text("")
+
+    query = rows.writeStream.foreachBatch(take).option("checkpointLocation", f"{tmp_path}/check").start()
+    listener = control.stop_when(query, control.flagged(spark, f"{tmp_path}/stop"))
+    try:
+        assert query.awaitTermination(120) and seen[:2] == [0, 1]
+    finally:
+        spark.streams.removeListener(listener)

@@ -93,6 +93,22 @@ def test_similarity_statistics_and_planes(spark, cases):
     assert voxels == {i: v for i, v in np.ndenumerate(data["a"])}
 
 
+@pytest.mark.parametrize("kind", ["mean", "cosinus", "gaussian", None])
+def test_patches_blend_into_tiles(cases, kind):
+    data, df = cases
+    patch, overlap = (4, 5, 4), (2, 1, 2)
+    pieces = volume.patches(df, KEYS, "v", volume.Grid(SHAPE), patch, overlap)
+    noisy = pieces.withColumn("v", F.zip_with("v", F.transform("v", lambda x: F.col("patch_idx") * 0.01), lambda x, y: x + y))
+    want = whole(volume.blend(noisy, KEYS, "v", volume.Grid(SHAPE), patch, overlap, kind), SHAPE)
+    tiling = Tiling(SHAPE, (3, 4, 5))
+    got = whole(tiles.joined_rows(tiles.blend(noisy.unionByName(noisy), KEYS, "v", tiling, patch, overlap, kind), KEYS, ["v"], tiling), SHAPE)
+    same = whole(volume.blend(pieces, KEYS, "v", volume.Grid(SHAPE), patch, overlap, kind), SHAPE)
+    for k, x in data.items():
+        np.testing.assert_allclose(got[k], want[k], atol=1e-12)
+        np.testing.assert_allclose(same[k], x, atol=1e-12)
+        assert not np.allclose(want[k], x)
+
+
 def test_odd_tiles(spark):
     tiling = Tiling((2, 3), (2, 2))
     df = spark.createDataFrame([("n", None, "t"), ("x", [1.0, None, 3.0, 4.0, 5.0, float("nan")], "t")], "case string, v array<double>, tile string")
