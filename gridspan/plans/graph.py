@@ -10,10 +10,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridspan.functions.arrays import dot, let, total
+from gridspan.operators import kernels
 from gridspan.operators.volume import Grid, permute, voxels_of
 
 
@@ -222,3 +225,34 @@ def reparametrised(mean: Column, log_deviation: Column, noise: Column) -> Column
     """mean + exp(log deviation) * noise."""
     spread = F.zip_with(log_deviation, noise, lambda s, n: F.exp(s) * n)
     return F.zip_with(mean, spread, lambda m, s: m + s)
+
+
+def attention_gate(x: Column, gate: Column, grid: Grid, w_x: list[list[float]], w_g: list[list[float]], psi: list[float], biases: tuple[list[float], list[float], float] | None = None) -> Column:
+    """``x`` times its attention: what both inputs' channels say at half resolution, through a rectifier and a logistic function, repeated to full size.
+
+    ``x`` is channel first on ``grid`` of even extents, ``gate`` channel first on half of it; ``w_x`` and ``w_g`` have a row for each inner
+    channel, ``psi`` a factor. Biases are those of the three, 0 without. Null inputs give null.
+    """
+    if any(n % 2 for n in grid.shape):
+        raise ValueError("a gate halves even extents")
+    half = Grid(tuple(n // 2 for n in grid.shape))
+    a, b, c = np.array(w_x, float), np.array(w_g, float), np.array(psi, float)
+    bx, bg, bp = biases or ([0.0] * len(w_x), [0.0] * len(w_g), 0.0)
+    every = (slice(None), *[slice(None, None, 2)] * len(grid.shape))
+
+    @F.arrow_udf("array<double>")
+    def run(rows: pa.Array, gates: pa.Array) -> pa.Array:
+        out = []
+        for r, g in zip(kernels.rows_of(rows), kernels.rows_of(gates), strict=True):
+            if r is None or g is None:
+                out.append(None)
+                continue
+            full, low = r.reshape(a.shape[1], *grid.shape), g.reshape(b.shape[1], half.size)
+            inner = a @ full[every].reshape(a.shape[1], -1) + b @ low + np.add(bx, bg)[:, None]
+            share = (1 / (1 + np.exp(-(c @ np.maximum(inner, 0) + bp)))).reshape(half.shape)
+            for axis in range(share.ndim):
+                share = np.repeat(share, 2, axis)
+            out.append((full * share).ravel())
+        return kernels.list_column(out)
+
+    return run(x.cast("array<double>"), gate.cast("array<double>"))

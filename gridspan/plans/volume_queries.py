@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from gridspan.operators import augment, metrics, pointwise, volume
+from gridspan.operators import augment, histograms, intervals, metrics, pointwise, volume
 from gridspan.plans import chain, graph
 from gridspan.plans.catalogue import CUBE, CUBED, VOX, arrays, beside, bell, copies, cube_points, draw, query, rounded, table
 
@@ -272,3 +272,43 @@ def chain_undo_statistics(spark, sf_dir):
     back = steps.undo_recorded(steps.apply_recorded(own, "v", CUBE), "v", CUBE)
     held = back.select("vec_id", F.size(F.flatten(F.map_values("attributes"))).cast("long").alias("attributes"))
     return cube_points(back, "v").join(held, "vec_id")
+
+
+def _knots_sql(name: str, value: str) -> str:
+    """Least value, mean, the middle of the values above the mean by 256 bins, and greatest value of a column."""
+    return (
+        f"e{name} AS (SELECT vec_id, min({value}) AS k0, avg({value}) AS k1, max({value}) AS k3 FROM s GROUP BY vec_id), "
+        f"b{name} AS (SELECT vec_id, least(floor(({value} - k1) / ((k3 - k1) / 256)), 255) AS bin, count(*) AS c FROM s JOIN e{name} USING (vec_id) WHERE {value} >= k1 GROUP BY 1, 2), "
+        f"u{name} AS (SELECT *, sum(c) OVER (PARTITION BY vec_id ORDER BY bin) AS upto, sum(c) OVER (PARTITION BY vec_id) AS total FROM b{name}), "
+        f"k{name} AS (SELECT vec_id, k0, k1, k1 + (bin + (total * 0.5e0 - (upto - c)) / c) * (k3 - k1) / 256 AS k2, k3 FROM u{name} JOIN e{name} USING (vec_id) WHERE upto >= total * 0.5e0 AND upto - c < total * 0.5e0)"
+    )
+
+
+def _segment(j: int) -> str:
+    return f"q.k{j} + (a - p.k{j}) / (p.k{j + 1} - p.k{j}) * (q.k{j + 1} - q.k{j})"
+
+
+@query(
+    "WITH s AS (SELECT a.vec_id, unnest(range(64))::INT AS x, unnest(a.embedding)::DOUBLE AS a, unnest(b.embedding)::DOUBLE AS b FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1), "
+    f"{_knots_sql('a', 'a')}, {_knots_sql('b', 'b')} SELECT s.vec_id, x, round(CASE WHEN a >= p.k3 THEN q.k3 WHEN a >= p.k2 THEN {_segment(2)} WHEN a >= p.k1 THEN {_segment(1)} ELSE {_segment(0)} END, 4) AS value FROM s JOIN ka p USING (vec_id) JOIN kb q USING (vec_id)"
+)
+def histogram_match(spark, sf_dir):
+    """Each vector's values matched to the next one's by histograms of 256 levels, counted over rows of voxels."""
+    both = beside(spark, sf_dir, 1)
+    long = lambda c: both.select("vec_id", F.posexplode(c).alias("x", "value"))
+    return rounded(histograms.match(long("v0"), long("v1"), ["vec_id"], "value"))
+
+
+_SPANS = "i AS (SELECT user_id, event_id, epoch_us(ts) AS a, epoch_us(ts) + 60000000 * (1 + CASE WHEN event_id % 50 = 0 THEN 50000 WHEN event_id % 7 = 0 THEN 900 ELSE 0 END) AS b FROM events)"
+
+
+@query(f"WITH {_SPANS} SELECT l.event_id, count(*) AS met, sum(r.event_id)::BIGINT AS ids FROM i l JOIN i r ON l.user_id = r.user_id AND l.a < r.b AND r.a < l.b GROUP BY l.event_id")
+def interval_join(spark, sf_dir):
+    """Spans of a user's events, from a minute to a month, and the spans that each overlaps, its own included."""
+    events = table(spark, sf_dir, "events")
+    start = F.unix_micros(F.col("ts").cast("timestamp"))
+    long = F.when(F.col("event_id") % 50 == 0, 50_000).when(F.col("event_id") % 7 == 0, 900).otherwise(0)
+    left = events.select("user_id", "event_id", start.alias("a"), (start + (long + 1).cast("long") * 60_000_000).alias("b"))
+    right = left.select("user_id", F.col("event_id").alias("other"), F.col("a").alias("c"), F.col("b").alias("d"))
+    met = intervals.overlapping(left, right, ["user_id"], [intervals.Axis(("a", "b"), ("c", "d"))])
+    return met.groupBy("event_id").agg(F.count("*").alias("met"), F.sum("other").alias("ids"))
