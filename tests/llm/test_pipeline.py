@@ -86,3 +86,18 @@ def test_stages(spark, documents, tmp_path, monkeypatch):
         sequences[p["sequence_id"]] += range(p["offset"], p["offset"] + p["length"])
     assert {i: sorted(c) for i, c in covered.items()} == {i: list(range(len(x))) for i, x in ids.items()}
     assert all(sorted(s) == list(range(len(s))) and len(s) <= 4096 for s in sequences.values())
+
+
+def test_run_on_odd_tables(spark, documents, tmp_path):
+    """An empty table, null and repeated ids, null texts and columns of clashing names go through whole."""
+    good = [r["text"] for r in documents.where("doc_id is not null").orderBy("doc_id").select("text").limit(60).collect() if r["text"] and plain_quality(r["text"])][:4]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, component_id string, start int, quality_report int"
+    odd = [(None, good[0]), (None, good[0]), (None, good[1]), (7, good[2]), (7, good[2]), (7, good[3]), (8, None), (None, None), (9, "")]
+    for name, rows in (("empty", []), ("odd", odd)):
+        folder = tmp_path / name
+        folder.mkdir()
+        spark.createDataFrame([(i, t, None, None, None, "c", 1, 2) for i, t in rows], schema).write.parquet(str(folder / "documents.parquet"))
+        pieces = corpus_pipeline.run(spark, str(folder)).collect()
+        assert sum(p["start"] == 0 for p in pieces) == (4 if rows else 0)
+        # One row of each group of copies stays; its id may be null or that of another text.
+        assert sorted((p["doc_id"] for p in pieces if p["start"] == 0), key=repr) == ([7, 7, None, None] if rows else [])
