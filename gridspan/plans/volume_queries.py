@@ -299,7 +299,7 @@ def histogram_match(spark, sf_dir):
     return rounded(histograms.match(long("v0"), long("v1"), ["vec_id"], "value"))
 
 
-_SPANS = "i AS (SELECT user_id, event_id, epoch_us(ts) AS a, epoch_us(ts) + 60000000 * (1 + CASE WHEN event_id % 50 = 0 THEN 50000 WHEN event_id % 7 = 0 THEN 900 ELSE 0 END) AS b FROM events)"
+_SPANS = "i AS (SELECT user_id, event_id, epoch_us(ts) AS a, epoch_us(ts) + 60000000::BIGINT * (1 + CASE WHEN event_id % 50 = 0 THEN 50000 WHEN event_id % 7 = 0 THEN 900 ELSE 0 END) AS b FROM events)"
 
 
 @query(f"WITH {_SPANS} SELECT l.event_id, count(*) AS met, sum(r.event_id)::BIGINT AS ids FROM i l JOIN i r ON l.user_id = r.user_id AND l.a < r.b AND r.a < l.b GROUP BY l.event_id")
