@@ -12,8 +12,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridspan.functions.arrays import average, let, sample_variance, total
+from gridspan.operators import kernels
 
 SMOOTH = 1e-6
 
@@ -149,41 +151,72 @@ def registration_error(moved: DataFrame, fixed: DataFrame, keys: list[str], axes
     return joined.groupBy(*keys).agg(F.avg(distance).alias("tre"), F.max(distance).alias("worst"))
 
 
-def _joint(bins: int):
-    """Sums, over the voxels of two arrays, of the products of their soft bin weights: an array of bins * bins."""
-    width = 0.5 / (bins - 1)
-    centres, k = np.linspace(0, 1, bins), 1 / (2 * width * width)
+#: Groups that a worker sums up at once, parts that a group's tasks are dealt to before they meet, values weighed at once.
+HELD, SALTS, WEIGHED = 256, 64, 1 << 20
 
-    def weights(values) -> np.ndarray:
-        w = np.exp(-k * (np.clip(np.array(values, float), 0, 1)[:, None] - centres) ** 2)
-        return w / w.sum(1, keepdims=True)
 
-    @F.arrow_udf("array<double>")
-    def joint(x: pa.Array, y: pa.Array) -> pa.Array:
-        return pa.array([None if p.as_py() is None or q.as_py() is None else (weights(p.as_py()).T @ weights(q.as_py())).ravel().tolist() for p, q in zip(x, y, strict=True)], pa.list_(pa.float64()))
+def _bin_weights(values: np.ndarray, bins: int) -> np.ndarray:
+    """Each value's shares in soft Gaussian bins over [0, 1]."""
+    width = 0.5 / (bins - 1)
+    w = np.exp(-((np.clip(values, 0, 1)[:, None] - np.linspace(0, 1, bins)) ** 2) / (2 * width * width))
+    return w / w.sum(1, keepdims=True)
+
 
-    return joint
+def _joint_sum(a: np.ndarray, b: np.ndarray, bins: int) -> np.ndarray:
+    """Sums, over the voxels of two arrays, of the products of their bin weights."""
+    step = max(1, WEIGHED // bins)
+    return sum((_bin_weights(a[i : i + step], bins).T @ _bin_weights(b[i : i + step], bins) for i in range(0, len(a), step)), np.zeros((bins, bins)))
 
 
 def mutual_information(blocks: DataFrame, keys: list[str], a: str, b: str, bins: int = 23) -> DataFrame:
     """keys, n, mutual_information of two intensities in [0, 1], with soft Gaussian bins; the loss is its negative.
 
-    ``a`` and ``b`` are arrays of the same voxels, without nulls: a whole volume in a row, or any of its blocks. A block costs one
-    matrix product; of each one bins * bins sums go to the shuffle, whatever its number of voxels.
+    ``a`` and ``b`` are arrays of the same voxels, without nulls: a whole volume in a row, or any of its blocks; rows with a null array don't
+    count. A block costs one matrix product. Workers add up the blocks of a group that they meet, so a task sends bins * bins sums for
+    each group it holds; a group's sums meet in SALTS parts first, then in one.
     """
-    tables = blocks.select(*keys, F.size(a).cast("long").alias("__n"), _joint(bins)(F.col(a), F.col(b)).alias("__t"))
-    cells = tables.select(*keys, "__n", F.posexplode("__t").alias("__at", "__s")).groupBy(*keys, "__at").agg(F.sum("__s").alias("__s"), F.sum("__n").alias("__n"))
-    # bins * bins cells a group: one small array.
-    held = cells.groupBy(*keys).agg(F.max("__n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("__at", "__s"))), lambda c: c["__s"]).alias("__t"))
-
-    def information(p: Column) -> Column:
-        each = F.sequence(F.lit(0), F.lit(bins - 1))
-        rows = F.transform(each, lambda i: total(F.slice(p, i * bins + 1, F.lit(bins))))
-        columns = F.transform(each, lambda j: total(F.transform(each, lambda i: F.get(p, i * bins + j))))
-        term = lambda a, b: total(F.transform(p, lambda x, at: x * F.log((x + 1e-7) / (F.get(a, F.floor(at / bins).cast("int")) * F.get(b, at % bins) + 1e-7) + 1e-7)))
-        return let(rows, lambda a: let(columns, lambda b: term(a, b)))
-
-    return held.select(*keys, "n", let(F.transform("__t", lambda s: s / F.col("n")), information).alias("mutual_information"))
+    kinds = [blocks.schema[k] for k in keys]
+    schema = T.StructType([*kinds, T.StructField("__n", T.LongType()), T.StructField("__t", T.ArrayType(T.DoubleType()))])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+        types: list = []
+
+        def flushed() -> pa.RecordBatch:
+            columns = [pa.array([k[i] for k in held], types[i]) for i in range(len(keys))]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([n for n, _ in held.values()], pa.int64()), kernels.list_column([t for _, t in held.values()])], names=schema.names)
+
+        for batch in batches:
+            types = [batch.schema.field(i).type for i in range(len(keys))]
+            names = zip(*[batch.column(i).to_pylist() for i in range(len(keys))], strict=True) if keys else [()] * batch.num_rows
+            for key, x, y in zip(names, kernels.rows_of(batch.column(len(keys))), kernels.rows_of(batch.column(len(keys) + 1)), strict=True):
+                if x is None or y is None or not len(x):
+                    continue
+                own = held.setdefault(key, [0, np.zeros((bins, bins))])
+                own[0] += len(x)
+                own[1] += _joint_sum(x, y, bins)
+                if len(held) > HELD:
+                    yield flushed()
+                    held = {}
+        if held:
+            yield flushed()
+
+    def met(parts: pa.Table) -> tuple[int, np.ndarray]:
+        return sum(parts["__n"].to_pylist()), kernels.matrix_of(parts["__t"].combine_chunks(), bins * bins)[0].sum(0)
+
+    def part(parts: pa.Table) -> pa.Table:
+        n, t = met(parts)
+        return pa.table([*[parts[k].slice(0, 1) for k in keys], pa.array([n], pa.int64()), kernels.list_column([t])], names=schema.names)
+
+    def information(parts: pa.Table) -> pa.Table:
+        n, t = met(parts)
+        p = t.reshape(bins, bins) / n
+        value = (p * np.log((p + 1e-7) / (p.sum(1, keepdims=True) * p.sum(0, keepdims=True) + 1e-7) + 1e-7)).sum()
+        return pa.table([*[parts[k].slice(0, 1) for k in keys], pa.array([n], pa.int64()), pa.array([value])], names=[*keys, "n", "mutual_information"])
+
+    summed = blocks.select(*keys, F.col(a).cast("array<double>"), F.col(b).cast("array<double>")).mapInArrow(sums, schema)
+    salted = summed.withColumn("__salt", F.spark_partition_id() % SALTS).groupBy(*keys, "__salt").applyInArrow(part, schema)
+    return salted.groupBy(*keys).applyInArrow(information, T.StructType([*kinds, T.StructField("n", T.LongType()), T.StructField("mutual_information", T.DoubleType())]))
 
 
 def features_of(features: Callable[[np.ndarray], np.ndarray], image: Column) -> Column:

@@ -247,3 +247,23 @@ def test_feature_criteria(spark):
     assert {r["k"]: r["loss"] for r in tiles.collect()} == {k: float(k) for k in range(5)}
     assert features.projected(df.where("k < 5"), lambda x: x, "a", "a", 1).agg(F.max("loss")).first()[0] == 0
     assert features.frechet(df.where("k < 5"), df.where("k < 5"), lambda x: x, "a") == pytest.approx(0, abs=1e-6)
+
+
+def test_mutual_information_of_blocks(spark, monkeypatch):
+    """A volume in one row or in many blocks, over more groups than a worker holds; null arrays and keys."""
+    monkeypatch.setattr(metrics, "HELD", 3)
+    rng = np.random.default_rng(5)
+    data = {k: (rng.random(60), rng.random(60)) for k in [*range(9), None]}
+    whole = spark.createDataFrame([(k, a.tolist(), b.tolist()) for k, (a, b) in data.items()] + [(99, None, [0.5])], "k int, a array<double>, b array<double>")
+    blocks = spark.createDataFrame([(k, a[i : i + 7].tolist(), b[i : i + 7].tolist()) for k, (a, b) in data.items() for i in range(0, 60, 7)], "k int, a array<double>, b array<double>").repartition(5)
+
+    def plain(a, b, bins=11):
+        t, width = np.linspace(0, 1, bins), 0.5 / (bins - 1)
+        wa, wb = (np.exp(-((v[:, None] - t) ** 2) / (2 * width**2)) for v in (a, b))
+        p = (wa / wa.sum(1, keepdims=True)).T @ (wb / wb.sum(1, keepdims=True)) / len(a)
+        return sum(p[i, j] * math.log((p[i, j] + 1e-7) / (p[i].sum() * p[:, j].sum() + 1e-7) + 1e-7) for i in range(bins) for j in range(bins))
+
+    for df in (whole, blocks):
+        got = {r["k"]: (r["n"], r["mutual_information"]) for r in metrics.mutual_information(df, ["k"], "a", "b", 11).collect()}
+        assert got.keys() == data.keys() and all(got[k] == (60, pytest.approx(plain(*v))) for k, v in data.items())
+    assert metrics.mutual_information(whole.limit(0), ["k"], "a", "b").count() == 0
