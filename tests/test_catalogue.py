@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from gridspan.plans import case_queries, catalogue, order_queries, tile_queries, volume_queries  # noqa: F401
+from gridspan.plans import case_queries, catalogue, order_queries, stream_queries, tile_queries, volume_queries  # noqa: F401
 
 
 @pytest.fixture(scope="module")
