@@ -25,6 +25,8 @@ from pyspark.sql import types as T
 
 from gridspan.operators import kernels, volume
 
+#: Bytes of parts that are sent at once.
+SENT = 4 << 20
 Box = tuple[tuple[int, ...], tuple[int, ...]]
 Window = Callable[[int, int], tuple[int, int]]
 Kernel = Callable[[list[np.ndarray], tuple[int, ...], Box], list[np.ndarray]]
@@ -294,28 +296,41 @@ def blend(pieces: DataFrame, keys: list[str], column: str, tiling: Tiling, patch
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, missing = kernels.matrix_of(batch.column(len(keys) + 1), size)
+            rows, numbers, patches, lows, sizes, held, gaps = ([] for _ in range(7))
+
+            def sent(rows=rows, numbers=numbers, patches=patches, lows=lows, sizes=sizes, held=held, gaps=gaps, batch=batch, missing=missing) -> pa.RecordBatch:
+                values = kernels.list_column(held)
+                if missing is not None:
+                    values = pa.ListArray.from_arrays(values.offsets, pa.array(np.concatenate(held), pa.float64(), mask=np.concatenate(gaps)))
+                take = pa.array(rows)
+                out = pa.RecordBatch.from_arrays([*[batch.column(i).take(take) for i in range(len(keys))], pa.array(numbers, pa.int32()), pa.array(patches, pa.int64()), pa.array(lows, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.int32())), values], names=parts_schema.names)
+                for part in (rows, numbers, patches, lows, sizes, held, gaps):
+                    part.clear()
+                return out
+
             for r, index in enumerate(batch.column(len(keys)).to_pylist()):
                 if index is None or not 0 <= index < len(starts):
                     continue
                 start, _ = starts[index]
                 stop = [min(a + p, n) for a, p, n in zip(start, patch, tiling.shape, strict=True)]
                 whole, lost = x[r].reshape(patch), None if missing is None else missing[r].reshape(patch)
-                numbers, lows, sizes, held, gaps = [], [], [], [], []
                 for met in itertools.product(*[range(a // t, -(-b // t)) for a, b, t in zip(start, stop, tiling.tile, strict=True)]):
                     cuts = [tiling.cut(axis, k) for axis, k in enumerate(met)]
                     lo = [max(a, c) for a, (c, _) in zip(start, cuts, strict=True)]
                     hi = [min(b, d) for b, (_, d) in zip(stop, cuts, strict=True)]
                     own = tuple(slice(a - s, b - s) for a, b, s in zip(lo, hi, start, strict=True))
+                    rows.append(r)
                     numbers.append(tiling.number(met))
+                    patches.append(index)
                     lows.append(lo)
                     sizes.append([b - a for a, b in zip(lo, hi, strict=True)])
                     held.append(np.ravel(whole[own]))
-                    gaps.append(np.zeros(held[-1].size, bool) if lost is None else np.ravel(lost[own]))
-                values = kernels.list_column(held)
-                if lost is not None:
-                    values = pa.ListArray.from_arrays(values.offsets, pa.array(np.concatenate(held), pa.float64(), mask=np.concatenate(gaps)))
-                take = pa.array([r] * len(numbers))
-                yield pa.RecordBatch.from_arrays([*[batch.column(i).take(take) for i in range(len(keys))], pa.array(numbers, pa.int32()), pa.array([index] * len(numbers), pa.int64()), pa.array(lows, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.int32())), values], names=parts_schema.names)
+                    if lost is not None:
+                        gaps.append(np.ravel(lost[own]))
+                if len(held) * size * 8 > SENT:
+                    yield sent()
+            if held:
+                yield sent()
 
     made_schema = _fields(pieces, keys, [column])
 
@@ -326,9 +341,13 @@ def blend(pieces: DataFrame, keys: list[str], column: str, tiling: Tiling, patch
         sums, weights, gaps = np.zeros(shape), np.zeros(shape), np.ones(shape, bool)
         held: dict[int, tuple] = {}
         values = parts[column].combine_chunks()
-        for r, (index, lo, n) in enumerate(zip(parts["patch"].to_pylist(), parts["lo"].to_pylist(), parts["size"].to_pylist(), strict=True)):
-            x, missing = kernels.matrix_of(values.slice(r, 1), math.prod(n))
-            if index not in held or tuple(x[0]) > tuple(held[index][2][0]):
+        flat = values.flatten()
+        nulls = np.asarray(flat.is_null()) if flat.null_count else None
+        at = 0
+        for x, index, lo, n in zip(kernels.rows_of(values), parts["patch"].to_pylist(), parts["lo"].to_pylist(), parts["size"].to_pylist(), strict=True):
+            missing = None if nulls is None else nulls[at : at + x.size]
+            at += x.size
+            if index not in held or tuple(x) > tuple(held[index][2]):
                 held[index] = lo, n, x, missing
         for index in sorted(held):
             lo, n, x, missing = held[index]
