@@ -94,6 +94,10 @@ def _bound(df: DataFrame, column: str, step: Step, operation: Callable[[Column,
     return df.withColumn(column, let(F.col(column), _on(operation, grid)))
 
 
+def _seen(step: Step, grid: Grid, keys: list[str]) -> Callable[[Column], Column]:
+    return lambda held: step.undo_seen(held["values"], grid, {k: held[k] for k in keys})
+
+
 def _composed(parts: list[Callable[[np.ndarray], np.ndarray]]) -> Callable[[np.ndarray], list[np.ndarray]]:
     def run(x: np.ndarray) -> list[np.ndarray]:
         for f in parts:
@@ -157,8 +161,9 @@ class Chain:
             held = F.col(attributes)
             if s.invert and s.undo_seen:
                 keys = list(s.see(F.col(column)))
-                seen = {k: parse.peek(held, k).try_cast("double") for k in keys}
-                df = df.withColumn(column, s.undo_seen(F.col(column), g, seen))
+                # Read from the map once a row, not once a voxel.
+                seen = F.struct(F.col(column).alias("values"), *[parse.peek(held, k).try_cast("double").alias(k) for k in keys])
+                df = df.withColumn(column, let(seen, _seen(s, g, keys)))
                 for k in keys:
                     held = parse.pop(held, k)
             elif s.invert and s.undo:
