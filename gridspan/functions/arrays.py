@@ -67,7 +67,7 @@ def running(xs: Column, zero: Column, merge: Callable[[Column, Column], Column])
         blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / BLOCK).cast("int")), lambda k: F.slice(xs, k * BLOCK + 1, F.lit(BLOCK)))
         return let(blocks, lambda blocks: let(_fold(F.transform(blocks, lambda b: F.aggregate(b, zero, merge)), zero, merge), lambda before: F.flatten(F.transform(blocks, lambda b, k: F.slice(_fold(b, F.get(before, k), merge), 1, F.size(b))))))
 
-    return F.when(F.size(xs) == 0, F.slice(xs, 1, 0)).otherwise(let(xs, over))
+    return let(xs, lambda xs: F.when(F.size(xs) == 0, F.slice(xs, 1, 0)).otherwise(over(xs)))
 
 
 def matrix(rows: list[list[float]]) -> Column:

@@ -49,34 +49,38 @@ def _number(text: Column) -> Column:
 
 def progress(text: Column) -> Column:
     """struct(narrative, percent, step, total, elapsed, remaining, rate, rate_unit); all but the narrative null where the line has no progress."""
-    left = _before_last(text, "[")
-    times = F.split(F.substring_index(F.substring_index(text, "[", -1), "]", 1), ",")
-    clock = F.split(F.get(times, F.lit(0)), "<")
-    speed = F.trim(F.get(times, F.lit(1)))
-    unit = F.trim(F.ltrim(speed, F.lit("0123456789.")))
-    share = F.substring_index(F.translate(_before_last(left, "%"), ":", " "), " ", -1)
-    counts = F.split(F.substring_index(F.substring_index(left, "%", -1), "|", -1), "/")
-    whole = lambda i: F.trim(F.get(counts, F.lit(i))).try_cast("bigint")
-    found = F.struct(
-        _number(share).alias("percent"),
-        whole(0).alias("step"),
-        whole(1).alias("total"),
-        F.trim(F.get(clock, F.lit(0))).alias("elapsed"),
-        F.trim(F.get(clock, F.lit(1))).alias("remaining"),
-        _number(F.substring(speed, F.lit(1), F.length(speed) - F.length(F.ltrim(speed, F.lit("0123456789."))))).alias("rate"),
-        unit.alias("rate_unit"),
-    )
-
-    def checked(found: Column) -> Column:
-        sure = (F.size(counts) == 2) & (F.size(clock) == 2) & found["percent"].isNotNull() & found["step"].isNotNull() & found["total"].isNotNull() & found["rate"].isNotNull() & found["rate_unit"].isin("it/s", "s/it")
-        return F.when(sure, found)
-
-    def named(found: Column) -> Column:
-        rest = _before_last(left, "%")
-        narrative = F.when(found.isNull(), text).otherwise(F.substring(rest, F.lit(1), F.length(rest) - F.length(share)))
-        return F.struct(narrative.alias("narrative"), *[found[c].alias(c) for c in ("percent", "step", "total", "elapsed", "remaining", "rate", "rate_unit")])
-
-    return let(let(found, checked), named)
+
+    def cut(text: Column, left: Column, rest: Column) -> Column:
+        times = F.split(F.substring_index(F.substring_index(text, "[", -1), "]", 1), ",")
+        share = F.substring_index(F.translate(rest, ":", " "), " ", -1)
+        counts = F.split(F.substring_index(F.substring_index(left, "%", -1), "|", -1), "/")
+        return let(times, lambda times: let(F.split(F.get(times, F.lit(0)), "<"), lambda clock: let(F.trim(F.get(times, F.lit(1))), lambda speed: let(share, lambda share: let(counts, lambda counts: read(text, rest, clock, speed, share, counts))))))
+
+    def read(text: Column, rest: Column, clock: Column, speed: Column, share: Column, counts: Column) -> Column:
+        whole = lambda i: F.trim(F.get(counts, F.lit(i))).try_cast("bigint")
+        unit = F.ltrim(speed, F.lit("0123456789."))
+        found = F.struct(
+            _number(share).alias("percent"),
+            whole(0).alias("step"),
+            whole(1).alias("total"),
+            F.trim(F.get(clock, F.lit(0))).alias("elapsed"),
+            F.trim(F.get(clock, F.lit(1))).alias("remaining"),
+            _number(F.substring(speed, F.lit(1), F.length(speed) - F.length(unit))).alias("rate"),
+            F.trim(unit).alias("rate_unit"),
+        )
+
+        def checked(found: Column) -> Column:
+            sure = (F.size(counts) == 2) & (F.size(clock) == 2) & found["percent"].isNotNull() & found["step"].isNotNull() & found["total"].isNotNull() & found["rate"].isNotNull() & found["rate_unit"].isin("it/s", "s/it")
+            return F.when(sure, found)
+
+        def named(found: Column) -> Column:
+            narrative = F.when(found.isNull(), text).otherwise(F.substring(rest, F.lit(1), F.length(rest) - F.length(share)))
+            return F.struct(narrative.alias("narrative"), *[found[c].alias(c) for c in ("percent", "step", "total", "elapsed", "remaining", "rate", "rate_unit")])
+
+        return let(let(found, checked), named)
+
+    # Each part is bound once: Spark computes a repeated expression again wherever a lambda holds it.
+    return let(text, lambda text: let(_before_last(text, "["), lambda left: let(_before_last(left, "%"), lambda rest: cut(text, left, rest))))
 
 
 def readings(text: Column) -> Column:
@@ -92,22 +96,25 @@ def readings(text: Column) -> Column:
 def _reading(cells: Column, name: str, nested: int, unit: str) -> Column:
     """The amount of the first reading of a name, or that of the parenthesis ``nested`` further on, without its unit."""
     ends = F.transform(cells, lambda c: F.endswith(F.concat(F.lit(" "), c["name"]), F.lit(f" {name}")))
-    at = F.array_position(ends, F.lit(True)).cast("int")
-    amount = F.get(cells, at - 1 + nested)["amount"]
-    return F.when((at > 0) & F.endswith(amount, F.lit(unit)), _number(F.rtrim(amount, F.lit(unit))))
+    amount = lambda at: F.when(at > 0, F.get(cells, at - 1 + nested)["amount"])
+    return let(let(F.array_position(ends, F.lit(True)).cast("int"), amount), lambda amount: F.when(F.endswith(amount, F.lit(unit)), _number(F.rtrim(amount, F.lit(unit)))))
 
 
 def balanced(text: Column, prefix: str) -> Column:
     """What stands between the parenthesis that ends ``prefix`` and the one that closes it; null without either."""
 
     def of(rest: Column) -> Column:
-        steps = F.transform(F.split(rest, ""), lambda c: F.when(c == "(", 1).when(c == ")", -1).otherwise(0))
-        # Depth before each character; the closing one is the first that comes at depth 0 and leads below.
-        depth = F.zip_with(running(steps, F.lit(0), lambda a, d: a + d), steps, lambda a, d: a + d)
-        end = F.array_position(F.transform(depth, lambda d: d < 0), F.lit(True)).cast("int")
-        return F.when(end > 0, F.substring(rest, F.lit(1), end - 1))
+        # What stands before each closing parenthesis: its opening ones deepen, the closing one leads back; the first that leads below the start is the end.
+        def met(a: Column, piece: Column) -> Column:
+            depth = a["depth"] + F.length(piece) - F.length(F.translate(piece, "(", "")) - 1
+            end = F.coalesce(a["end"], F.when(depth < 0, a["chars"] + F.length(piece)))
+            return F.struct(depth.alias("depth"), (a["chars"] + F.length(piece) + 1).alias("chars"), end.alias("end"))
+
+        start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("chars"), F.lit(None).cast("int").alias("end"))
+        closed = lambda pieces: F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), start, met)["end"]
+        return let(let(F.split(rest, r"\)"), closed), lambda end: F.when(end.isNotNull(), F.substring(rest, F.lit(1), end)))
 
-    return F.when(F.contains(text, F.lit(prefix)), let(F.substring(text, F.instr(text, prefix) + len(prefix), F.length(text)), of))
+    return let(text, lambda text: F.when(F.contains(text, F.lit(prefix)), let(F.substring(text, F.instr(text, prefix) + len(prefix), F.length(text)), of)))
 
 
 def model_metrics(body: Column) -> Column:
@@ -124,7 +131,8 @@ def model_metrics(body: Column) -> Column:
         made = F.zip_with(F.transform(words, lambda w, i: F.struct(w.alias("word"), value(i).alias("value"))), last, lambda w, m: F.struct(m["model"].alias("model"), m["lr"].alias("lr"), name(w["word"]).alias("metric"), inside(w["word"]).alias("weight"), w["value"].alias("value"), is_name(w["word"]).alias("named")))
         return F.transform(F.filter(made, lambda m: m["named"] & m["value"].isNotNull() & m["model"].isNotNull()), lambda m: m.dropFields("named"))
 
-    return F.when(body.isNull(), F.array().cast("array<struct<model:string,lr:double,metric:string,weight:double,value:double>>")).otherwise(let(F.filter(_words(body), lambda w: w != ":"), of))
+    none = F.array().cast("array<struct<model:string,lr:double,metric:string,weight:double,value:double>>")
+    return let(body, lambda body: F.when(body.isNull(), none).otherwise(let(F.filter(_words(body), lambda w: w != ":"), of)))
 
 
 def scores(narrative: Column) -> Column:
@@ -140,18 +148,19 @@ def live(lines: DataFrame, column: str) -> DataFrame:
     Lines without progress and metrics have nulls and an empty map; a null line has no label either. Metrics are named
     model:metric, in evaluations as logged; of one name the last stays.
     """
-    text = plain(F.col(column))
-    head = F.substring_index(text, ":", 1)
-    words = _words(head)
-    evaluation = (F.try_element_at(words, F.lit(-2)) == SCORED) & F.contains(text, F.lit(":"))
-    evaluation = F.coalesce(evaluation, F.lit(False))
-    label = F.when(evaluation, F.concat(F.lit(f"{SCORED} "), F.upper(F.element_at(words, -1)))).otherwise(F.substring(F.trim(head), 1, LABEL_CHARS))
+    # Columns, not repeated expressions: what several parts need is computed once a line.
+    lines = lines.withColumn("__text", plain(F.col(column)))
+    text, words, evaluation = F.col("__text"), F.col("__words"), F.col("__scored")
+    lines = lines.withColumns({"__head": F.substring_index(text, ":", 1), "__words": _words(F.substring_index(text, ":", 1))})
+    lines = lines.withColumn("__scored", F.coalesce((F.try_element_at(words, F.lit(-2)) == SCORED) & F.contains(text, F.lit(":")), F.lit(False)))
+    label = F.when(evaluation, F.concat(F.lit(f"{SCORED} "), F.upper(F.element_at(words, -1)))).otherwise(F.substring(F.trim("__head"), 1, LABEL_CHARS))
     stage = F.when(evaluation, "Evaluation").when(F.try_element_at(words, F.lit(-1)).isin(*STAGES), F.element_at(words, -1)).otherwise(label)
-    hidden = lines.withColumns({"__progress": progress(text), "__cells": readings(text), "__models": model_metrics(balanced(text, LOSS)), "stage": stage, "label": label, "__scored": evaluation})
+    hidden = lines.withColumns({"__progress": progress(text), "__cells": readings(text), "__models": model_metrics(balanced(text, LOSS)), "stage": stage, "label": label})
     said = F.col("__progress.narrative")
     scored = scores(F.substring(said, F.instr(said, ":") + 1, F.length(said)))
     trained = F.transform("__models", lambda m: F.struct(F.concat(m["model"], F.lit(":"), m["metric"]).alias("key"), m["value"].alias("value")))
-    entries = F.when(F.col("__scored"), scored).otherwise(trained)
+    hidden = hidden.withColumn("__entries", F.when(evaluation, scored).otherwise(trained))
+    entries = F.col("__entries")
 
     def latest(entries: Column) -> Column:
         return F.map_from_entries(F.filter(entries, lambda e, i: ~F.array_contains(F.transform(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"]), e["key"])))
@@ -168,4 +177,4 @@ def live(lines: DataFrame, column: str) -> DataFrame:
             "lr": F.get("__models", F.lit(0))["lr"],
             "metrics": F.when(entries.isNull(), F.create_map().cast("map<string,double>")).otherwise(let(entries, latest)),
         }
-    ).drop("__progress", "__cells", "__models", "__scored")
+    ).drop("__text", "__head", "__words", "__progress", "__cells", "__models", "__scored", "__entries")

@@ -205,3 +205,15 @@ def test_live_lines(spark):
     assert (g["memory_gpu_gb"], g["memory_gpu_percent"], g["memory_gb"], g["memory_percent"]) == (19.55, 76.22, 33.96, 27.6)
     assert all(x["step"] is None and x["rate"] is None and x["metrics"] == {} for x in (h, i, j, k))
     assert m["metrics"] == {"A:Dice": 0.75, "A:HD": float("-inf")}
+
+
+def test_live_lines_compute_each_part_once(spark):
+    lines = spark.createDataFrame([(LINES[0],)], "line string")
+    plan = logs.live(lines, "line").select("step", "metrics")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 1 and len(plan) < 20_000
+
+
+def test_balanced_parentheses(spark):
+    texts = ["x Loss (a(b)c) d)", "Loss (", "Loss ()", "Loss (a(b)", "Loss ((((a)b)c)d)e", "no (a)", None, "Loss (" + "(a)" * 3000 + "é) b"]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(texts)), "n int, t string").orderBy("n").select(logs.balanced(F.col("t"), "Loss (")).collect()]
+    assert got == ["a(b)c", None, "", None, "(((a)b)c)d", None, None, "(a)" * 3000 + "é"]
