@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -21,6 +22,8 @@ MEMO_BYTES, LONGEST_KEY = 80 << 20, 64
 EDGE_MARKS = frozenset(b".,;:!?")
 # Letters of these ranges are in NFC, are \p{L} in every Unicode version and have one-to-one lower case.
 PLAIN_WORD = re.compile(r"[A-Za-zÀ-ÖØ-Þß-öø-ÿ]+").fullmatch
+# ASCII marks that are pre-tokens of their own behind a plain word: no apostrophe, which begins endings, and no underscore.
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^`{|}~"
 
 
 @lru_cache(maxsize=1)
@@ -40,11 +43,13 @@ def _alphabet_table() -> dict[int, str]:
 
 
 def as_alphabet(data: bytes) -> str:
+    if data.isalpha():  # ASCII letters stand for themselves
+        return data.decode()
     return data.decode("latin-1").translate(_alphabet_table())
 
 
 def pack_ids(ids) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class BoundedMemo(dict):
@@ -79,8 +84,8 @@ class WordMemo(BoundedMemo):
     """bytes of a chunk without ASCII white space -> its ids as little-endian unsigned 32-bit integers.
 
     For tokenizers that drop white space: no token crosses it, so a text's ids are those of its chunks.
-    A plain word goes to the BPE model in lower case at once; one final punctuation mark after a plain
-    word is a pre-token of its own; everything else takes the library's whole chain. ``spell`` spells out
+    A plain word goes to the BPE model in lower case at once; a run of ASCII marks behind a plain word, no apostrophe
+    among them, is encoded by itself, since no pre-token crosses from letters to marks; everything else takes the library's whole chain. ``spell`` spells out
     what looks like a special token; without it such a string becomes that token, as the library does by itself.
     """
 
@@ -89,17 +94,19 @@ class WordMemo(BoundedMemo):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = spell
         self.model = self.tokenizer.model
+        self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         # Special tokens that hold white space would be cut at it.
         self.whole_texts = not spell and any(t.special and set(t.content) & set(" \t\n\r\v\f") for t in self.tokenizer.get_added_tokens_decoder().values())
 
     def compute(self, chunk: bytes) -> bytes:
-        text = chunk.decode("utf-8", "replace")
-        if PLAIN_WORD(text):
-            low = text.lower()
-            return self[low.encode()] if low != text else pack_ids([t.id for t in self.model.tokenize(as_alphabet(chunk))])
-        if chunk[-1] in EDGE_MARKS and PLAIN_WORD(text[:-1]):
-            return self[chunk[:-1]] + self[chunk[-1:]]
-        return self._whole(text)
+        word = chunk.rstrip(MARKS)
+        marks, text = chunk[len(word) :], word.decode("utf-8", "replace")
+        if word.isalpha() or PLAIN_WORD(text):
+            low = text.lower().encode()
+            if marks:
+                return self[low] + self[marks]
+            return self[low] if low != word else pack_ids([t.id for t in self.model.tokenize(as_alphabet(word))])
+        return self._whole(chunk.decode("utf-8", "replace"))
 
     def _whole(self, text: str) -> bytes:
         return pack_ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -107,6 +114,10 @@ class WordMemo(BoundedMemo):
     def encode(self, data: bytes) -> bytes:
         if self.whole_texts:
             return self._whole(data.decode("utf-8", "replace"))
+        low = data.lower()
+        # One entry for all spellings, unless they tell strings apart: added tokens, and letters that combine with a mark in one case only.
+        if b"\xcc" not in data and not any(s in low for s in self.added):
+            data = low
         return b"".join(map(self.__getitem__, data.split()))
 
 

@@ -80,6 +80,17 @@ def test_memos_are_bounded(monkeypatch):
     assert b"x" * 65 not in memo
 
 
+def test_only_marks_and_odd_words_take_the_whole_chain(monkeypatch):
+    from gridspan.llm import vocab
+
+    memo = vocab.WordMemo(public_tokenizers.path("word_bpe_49k.json"))
+    taken, whole = [], memo._whole
+    monkeypatch.setattr(memo, "_whole", lambda text: taken.append(text) or whole(text))
+    for text in ["Word$$$ word,*** WORD!! Élan&&& don't a_b,", "T\u0308a H\u0331, I\u0307 <|ENDOFTEXT|> a,\u0301 x<|endoftext|>. A.b"]:
+        assert memo.encode(text.encode()) == whole(text)
+    assert taken[:6] == ["$$$", ",***", "!!", "&&&", "don't", "a_b,"]
+
+
 def test_packing_rest_and_groups():
     packer = packing.TierPacker((4, 8))
     for i, n in enumerate([8, 7, 5, 3, 3, 2, 1, 20]):
