@@ -8,7 +8,7 @@ hold few of their terms: those survive edits. Only these are compared; denser on
 Document frequencies are counted over all documents: each task sums its own before the shuffle. The
 lexicon is broadcast; a term in it occurs in at least ``least`` of all documents, so it has at most
 (mean distinct terms of a document) / ``least`` entries, however large the corpus. With a mean of 500 terms that
-is 500,000 entries at most: 4 MB broadcast, and in each Python worker a dictionary and a table of subsets of some 100 MB.
+is 500,000 entries at most: 4 MB broadcast, and in each Python worker a table of subsets of some 40 MB.
 
 A document without a term in the lexicon takes all its terms in their place, in the subsets of the first size.
 """
@@ -16,8 +16,8 @@ A document without a term in the lexicon takes all its terms in their place, in
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .histogram_sort import written
-from .vocab import BoundedMemo
 
 #: Share of documents that hold a term: the band of inverse document frequencies is -log of these.
 LEAST, MOST = 0.001, 0.1
@@ -38,27 +37,25 @@ COPIES = 4
 DENSER = 3
 SEED = 20240229
 EDGES = b".,;:!?()[]{}|\"'"
-COUNT_ENTRIES = 500_000
+#: Terms of documents that are gathered before they are counted: 16 MB.
+COUNT_ENTRIES = 2_000_000
 HEX = 8
 EMPTY = "0" * HEX
 
 
-class TermMemo(BoundedMemo):
-    """A chunk between ASCII white space -> the 64-bit hash of its term: lower case in ASCII, no edge punctuation; 0 for none."""
+class Terms:
+    """Texts to the hashes of their terms. Nothing is kept from text to text: a hash costs less than a dictionary's miss."""
 
-    entry_bytes = 130
+    def terms(self, data: bytes) -> np.ndarray:
+        """The sorted 64-bit hashes of a text's distinct terms: what stands between ASCII white space, in lower case in ASCII, without edge punctuation."""
+        terms = set(map(bytes.strip, set(data.lower().split()), repeat(EDGES)))
+        terms.discard(b"")
+        # Unsigned hashes less 2**63, in signed numbers.
+        found = np.fromiter(map(xxhash.xxh64_intdigest, terms, repeat(SEED)), np.uint64, len(terms)) ^ np.uint64(1 << 63)
+        return np.sort(found.view(np.int64))
 
-    def compute(self, chunk: bytes) -> int:
-        term = chunk.strip(EDGES).lower()
-        return xxhash.xxh64_intdigest(term, SEED) - (1 << 63) if term else 0
 
-    def terms(self, data: bytes) -> set[int]:
-        found = set(map(self.__getitem__, set(data.split())))
-        found.discard(0)
-        return found
-
-
-_memo = TermMemo()
+_memo = Terms()
 
 
 def term_frequencies(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
@@ -66,18 +63,20 @@ def term_frequencies(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     schema = pa.schema([("term", pa.int64()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        held, size = [], 0
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], schema=schema)
+            terms, counts = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(terms), pa.array(counts, pa.int64())], schema=schema)
 
         for batch in batches:
             for value in batch.column(0):
-                counts.update(_memo.terms(value.as_py()))
-                if len(counts) > COUNT_ENTRIES:
+                held.append(terms := _memo.terms(value.as_py()))
+                size += len(terms)
+                if size > COUNT_ENTRIES:
                     yield out()
-                    counts.clear()
-        if counts:
+                    held, size = [], 0
+        if size:
             yield out()
 
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
@@ -110,21 +109,20 @@ def subset_masks(lexicon: np.ndarray) -> np.ndarray:
 
 class Fingerprinter:
     def __init__(self, lexicon: np.ndarray):
-        self.place = dict(zip(lexicon.tolist(), range(len(lexicon)), strict=True))
         self.lexicon, self.masks = lexicon, subset_masks(lexicon)
 
     def __call__(self, data: bytes) -> str:
         """Subset hashes as hexadecimal digits, one after the other; an empty subset's digits are zeros."""
         terms = _memo.terms(data)
-        places = [p for t in terms if (p := self.place.get(t)) is not None]
-        if places:
-            # The lexicon is sorted, so sorted places are sorted terms.
-            rows = np.sort(np.array(places))
+        rows = np.searchsorted(self.lexicon, terms)
+        rows = rows[self.lexicon[np.minimum(rows, len(self.lexicon) - 1)] == terms] if len(self.lexicon) else rows[:0]
+        if len(rows):
+            # The lexicon is sorted, so places of sorted terms are sorted.
             subset, at = np.nonzero(self.masks[rows].T)
             data, ends = self.lexicon[rows[at]].tobytes(), (8 * np.cumsum(np.bincount(subset, minlength=self.masks.shape[1]))).tolist()
         else:
             # No term in the band: all terms stand in, in each subset of the first size.
-            all_terms, rest = np.sort(np.array(list(terms), np.int64)).tobytes(), self.masks.shape[1] - COPIES
+            all_terms, rest = terms.tobytes(), self.masks.shape[1] - COPIES
             data, ends = all_terms * COPIES, [len(all_terms) * k for k in range(1, COPIES + 1)] + [len(all_terms) * COPIES] * rest
         return "".join(hashlib.blake2b(data[start:end], digest_size=HEX // 2).hexdigest() if start < end else EMPTY for start, end in zip([0, *ends], ends))
 

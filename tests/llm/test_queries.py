@@ -585,6 +585,16 @@ def test_imatch_tells_edits_from_neighbours(documents):
     assert r[0] > 5 * r[1]
 
 
+def test_imatch_terms_are_sorted_arrays_counted_without_a_dictionary(spark):
+    import xxhash
+
+    term = lambda w: xxhash.xxh64_intdigest(w, imatch.SEED) - (1 << 63)
+    got = imatch._memo.terms(b"(One) two, ONE\x0b... two\x1cthree \xc3\x89. !")
+    assert got.dtype == np.int64 and got.tolist() == sorted(map(term, (b"one", b"two", b"two\x1cthree", b"\xc3\x89")))
+    docs = spark.createDataFrame([("a b a",), ("B, c",), (None,), ("",)], "text string")
+    assert {r["term"]: r["n"] for r in imatch.term_frequencies(docs).collect()} == {term(b"a"): 1, term(b"b"): 2, term(b"c"): 1}
+
+
 def test_imatch_finds_near_copies_of_any_length():
     import random
 
