@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from gridspan.operators import kernels, volume
 
-#: Bytes of parts that are sent at once.
+#: Bytes of tiles that are worked on and sent at once.
 SENT = 4 << 20
 Box = tuple[tuple[int, ...], tuple[int, ...]]
 Window = Callable[[int, int], tuple[int, int]]
@@ -59,6 +59,14 @@ def _fields(df: DataFrame, keys: list[str], columns: Sequence[str], extra: Seque
     return T.StructType([df.schema[k] for k in keys] + [T.StructField(n, t) for n, t in (("tile", T.IntegerType()), *extra)] + [T.StructField(c, T.ArrayType(T.DoubleType())) for c in columns])
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of some SENT bytes, a row at least: what is made of a slice is sent before the next one is looked at."""
+    for batch in batches:
+        rows = max(1, SENT * batch.num_rows // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _shaped(flat: np.ndarray | None, shape: Sequence[int]) -> np.ndarray:
     return np.full(shape, np.nan) if flat is None else flat.reshape(shape)
 
@@ -94,7 +102,7 @@ def map_tiles(tiles: DataFrame, keys: list[str], columns: list[str], tiling: Til
     schema = _fields(tiles, keys, names)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             held = [kernels.rows_of(batch.column(len(keys) + 1 + i)) for i in range(len(columns))]
             numbers = [batch.column(len(keys) + 1 + len(columns) + i).to_pylist() for i in range(len(beside))]
             made: list[list[np.ndarray]] = [[] for _ in names]
@@ -132,7 +140,7 @@ def exchange(tiles: DataFrame, keys: list[str], columns: list[str], source: Tili
     parts_schema = _fields(tiles, keys, columns, [("lo", T.ArrayType(T.IntegerType())), ("size", T.ArrayType(T.IntegerType()))])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             held = [kernels.rows_of(batch.column(len(keys) + 1 + i)) for i in range(len(columns))]
             for r, tile in enumerate(batch.column(len(keys)).to_pylist()):
                 start, stop = source.box(tile)

@@ -176,3 +176,14 @@ def test_outputs_take_the_place_of_a_group(spark, cases):
     for k, x in data.items():
         np.testing.assert_allclose(np.array(done[k]["v"]).reshape(SHAPE), x, atol=1e-12)
         assert done[k]["origin"] == [1.0, 2.0, 3.0] and done[k]["spacing"] == [1.5, 1.5, 3.0] and done[k]["direction"] is None
+
+
+def test_batches_are_worked_on_in_slices_of_some_bytes():
+    import pyarrow as pa
+
+    rows = [np.full(1000, float(i)) for i in range(3000)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows))), tiles.kernels.list_column(rows)], names=["tile", "v"])
+    parts = list(tiles.sliced(iter([batch, batch.slice(0, 0)])))
+    assert len(parts) > 5 and all(p.nbytes <= tiles.SENT for p in parts)
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    assert [x is None or x[0] for p in parts for x in tiles.kernels.rows_of(p.column(1))] == [*map(float, range(3000)), True]
